@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,9 @@ from tessera.functions.text import name_or_null
 from tessera.session import cut_lineage, release
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below"
+SOLVED = "node string, status string, root string, depth int, path array<string>, n_descendants long"
+LOCAL_ROWS = 100_000
+"""Most live nodes that one task takes in memory to end the contraction."""
 
 
 def parent_links(rows: DataFrame, node: str, parent: str) -> DataFrame:
@@ -30,7 +36,8 @@ def _contract(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFra
     intermediate table both are read from.
 
     Live nodes have ``node, up`` (live parent, null at a root), ``hops`` (original edges to it), ``via`` (the nodes
-    spliced out in between, nearest to the node first) and ``size`` (descendants already folded into the node).
+    spliced out in between, nearest to the node first), ``size`` (descendants already folded into the node) and
+    ``extra`` (the nodes spliced out above it, with all that was folded into them).
     """
     # rake: a leaf hands its size to its parent; sums are made before the shuffle, so wide parents are harmless
     children = live.where("up is not null").groupBy(F.col("up").alias("node")).agg(
@@ -39,38 +46,41 @@ def _contract(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFra
     counted = live.join(children, "node", "left")
     leaf = F.col("n_children").isNull() & F.col("up").isNotNull()
     folded = counted.where(leaf).groupBy(F.col("up").alias("node")).agg(
-        F.count("*").alias("raked"), F.sum(F.col("size") + F.lit(1)).alias("raked_size")
+        F.count("*").alias("raked"), F.sum(F.col("size") + F.col("extra") + F.lit(1)).alias("raked_size")
     )
     seen = cut_lineage(
         counted.join(folded, "node", "left").select(
             "node", "up", "hops", "via",
             (F.col("size") + F.coalesce("raked_size", F.lit(0))).alias("size"),
+            "extra",
             leaf.alias("leaf"),
             (F.coalesce("n_children", F.lit(0)) - F.coalesce("raked", F.lit(0))).alias("left"),
             "n_children", "child",
         )
     )
-    raked = seen.where("leaf").select("node", "up", "hops", "via", "size", F.lit(None).cast("string").alias("child"))
+    raked = seen.where("leaf").select(
+        "node", "up", "hops", "via", "size", "extra", F.lit(None).cast("string").alias("child"), F.lit(None).cast("long").alias("between")
+    )
     kept = seen.where("not leaf")
 
     # compress: splice out inner nodes with exactly one child, no two of them neighbours (by coins that change each turn)
     coin = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
     only_child = F.when((F.col("left") == 1) & (F.col("n_children") == 1), F.col("child"))
     inner = kept.select(
-        "node", "up", "hops", "via", "size",
+        "node", "up", "hops", "via", "size", "extra",
         only_child.alias("only_child"),
         # a root or the last node of a cycle, with nothing else left below it
         (F.when(F.col("up").isNull(), F.col("left") == 0).otherwise((F.col("up") == F.col("node")) & (F.col("left") == 1))).alias("idle"),
     )
     chain = inner.where("only_child is not null and up is not null and up != node")
-    heads = chain.where(coin).select("node", "up", "hops", "via", "size", "only_child")
-    tails = chain.where(~coin).select(F.col("node").alias("only_child"))
-    ends = inner.where("only_child is null").select(F.col("node").alias("only_child"))
+    heads = chain.where(coin).select("node", "up", "hops", "via", "size", "extra", "only_child")
+    tails = chain.where(~coin).select(F.col("node").alias("only_child"), F.col("extra").alias("between"))
+    ends = inner.where("only_child is null").select(F.col("node").alias("only_child"), F.col("extra").alias("between"))
     # the child must stay in this step: it is no chain node at all, or one with the other coin
-    spliced = heads.join(tails.unionByName(ends), "only_child", "left_semi")
+    spliced = heads.join(tails.unionByName(ends), "only_child")
     jump = spliced.select(
         F.col("only_child").alias("node"), F.col("node").alias("mid"), F.col("up").alias("new_up"),
-        F.col("hops").alias("mid_hops"), F.col("via").alias("mid_via"),
+        F.col("hops").alias("mid_hops"), F.col("via").alias("mid_via"), (F.col("size") + F.col("extra") + F.lit(1)).alias("mid_extra"),
     )
     remaining = (
         inner.join(spliced.select("node"), "node", "left_anti")
@@ -81,43 +91,61 @@ def _contract(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFra
             F.when(F.col("mid").isNull(), F.col("hops")).otherwise(F.col("hops") + F.col("mid_hops")).alias("hops"),
             F.when(F.col("mid").isNull(), F.col("via")).otherwise(F.concat("via", F.array("mid"), "mid_via")).alias("via"),
             "size",
+            (F.col("extra") + F.coalesce("mid_extra", F.lit(0))).alias("extra"),
             "idle",
         )
     )
-    compressed = spliced.select("node", "up", "hops", "via", "size", F.col("only_child").alias("child"))
+    compressed = spliced.select("node", "up", "hops", "via", "size", "extra", F.col("only_child").alias("child"), "between")
     return remaining, raked.unionByName(compressed), seen
 
 
-def hierarchy(links: DataFrame, max_rounds: int = 200) -> DataFrame:
+def hierarchy(links: DataFrame, max_rounds: int = 200, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """Root, depth, path and number of descendants of every node of ``links`` (``node, parent``; see ``parent_links``).
 
     Columns ``node, status, root, depth, path, n_descendants``. ``status`` is ``tree``, ``cycle`` (the node lies on a
     cycle) or ``below`` (it only hangs below one); the latter two have root ``''``, depth -1 and -2, a null path and
     null descendants. Rounds of leaf raking and unary-chain splicing shrink every tree to its root in a number of
     rounds that is logarithmic in its size whatever its depth; the recorded contractions are then undone in reverse
-    order. What cannot shrink further is one node per cycle, its own parent. An empty table gives no rows.
+    order. What cannot shrink further is one node per cycle, its own parent. Once at most ``local_rows`` nodes are
+    live one task contracts what is left in memory; that bound keeps the last, nearly empty rounds off the cluster.
+    An empty table gives no rows.
     """
-    live = links.select("node", F.col("parent").alias("up"), F.lit(1).alias("hops"), F.array().cast("array<string>").alias("via"), F.lit(0).cast("long").alias("size"))
+    live = links.select(
+        "node", F.col("parent").alias("up"), F.lit(1).alias("hops"), F.array().cast("array<string>").alias("via"),
+        F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("extra"),
+    )
     rounds: list[DataFrame] = []
-    done: list[DataFrame] = []
+    cores: list[DataFrame] = []
     for turn in range(max_rounds):
         remaining, record, seen = _contract(live, turn)
         both = cut_lineage(
-            remaining.withColumns({"child": F.lit(None).cast("string"), "taken": F.lit(False)}).unionByName(
+            remaining.withColumns({"child": F.lit(None).cast("string"), "between": F.lit(None).cast("long"), "taken": F.lit(False)}).unionByName(
                 record.withColumns({"taken": F.lit(True), "idle": F.lit(False)})
             )
         )
         release(seen)
         rounds.append(both)
-        done.append(both.where("idle").select("node", "up", "size"))
-        live = both.where("not taken and not idle").drop("taken", "idle", "child")
-        if live.isEmpty():
+        cores.append(_solve_idle(both.where("idle")))
+        live = both.where("not taken and not idle").drop("taken", "idle", "child", "between")
+        n_live = live.count()
+        if n_live <= local_rows:
+            if n_live:
+                cores.append(live.withColumnRenamed("size", "size_").coalesce(1).mapInPandas(_solve_local, SOLVED))
             break
     else:
         raise RuntimeError(f"the hierarchy did not contract in {max_rounds} rounds")
-    cores = reduce(DataFrame.unionByName, done)
+    solved = cut_lineage(reduce(DataFrame.unionByName, cores))
+    for both in reversed(rounds):
+        grown = cut_lineage(_undo(solved, both.where("taken").drop("taken", "idle")))
+        release(solved)
+        solved = grown
+    release(*rounds)
+    return solved
+
+
+def _solve_idle(cores: DataFrame) -> DataFrame:
     tree = F.col("up").isNull()
-    solved = cores.select(
+    return cores.select(
         "node",
         F.when(tree, TREE).otherwise(CYCLE).alias("status"),
         F.when(tree, F.col("node")).otherwise("").alias("root"),
@@ -125,13 +153,34 @@ def hierarchy(links: DataFrame, max_rounds: int = 200) -> DataFrame:
         F.when(tree, F.array("node")).alias("path"),
         F.when(tree, F.col("size")).alias("n_descendants"),
     )
-    solved = cut_lineage(solved)
-    for both in reversed(rounds):
-        grown = cut_lineage(_undo(solved, both.where("taken").drop("taken", "idle")))
-        release(solved)
-        solved = grown
-    release(*rounds)
-    return solved
+
+
+def _solve_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rake all leaves of the last live nodes, one after another; what is left lies on cycles. Then undo the raking."""
+    rows = {r.node: r for batch in batches for r in batch.itertuples(index=False)}
+    up = {n: None if pd.isna(r.up) else r.up for n, r in rows.items()}
+    size = {n: int(r.size_) for n, r in rows.items()}
+    children = Counter(u for u in up.values() if u is not None)
+    leaves, raked = [n for n in rows if not children[n]], []
+    while leaves:
+        n = leaves.pop()
+        raked.append(n)
+        if (u := up[n]) is not None:
+            size[u] += size[n] + 1 + int(rows[n].extra)
+            children[u] -= 1
+            if not children[u]:
+                leaves.append(u)
+    solved = {n: (n, CYCLE, "", -1, None, None) for n in set(rows) - set(raked)}
+    for n in reversed(raked):
+        if up[n] is None:
+            solved[n] = (n, TREE, n, 0, [n], size[n])
+        else:
+            _, status, root, depth, path, _ = solved[up[n]]
+            if status == TREE:
+                solved[n] = (n, TREE, root, depth + int(rows[n].hops), [*path, *reversed(list(rows[n].via)), n], size[n])
+            else:
+                solved[n] = (n, BELOW, "", -2, None, None)
+    yield pd.DataFrame(list(solved.values()), columns=["node", "status", "root", "depth", "path", "n_descendants"]).astype({"n_descendants": "Int64"})
 
 
 def _undo(solved: DataFrame, record: DataFrame) -> DataFrame:
@@ -159,7 +208,7 @@ def _attach(solved: DataFrame, record: DataFrame) -> DataFrame:
         F.when(tree, F.col("up_root")).otherwise("").alias("root"),
         F.when(tree, F.col("up_depth") + F.col("hops")).when(F.col("status") == CYCLE, -1).otherwise(-2).alias("depth"),
         F.when(tree, F.concat("up_path", F.reverse("via"), F.array("node"))).alias("path"),
-        F.when(tree, F.col("size") + F.coalesce(F.col("child_size") + F.lit(1), F.lit(0))).alias("n_descendants"),
+        F.when(tree, F.col("size") + F.coalesce(F.col("child_size") + F.col("between") + F.lit(1), F.lit(0))).alias("n_descendants"),
     )
 
 
