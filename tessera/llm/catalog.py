@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials
+from tessera.llm import credentials, handwritten
 from tessera.sources.tables import table
 
 
+def _p1_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.find_not_handwritten(table(spark, d, "files", "id", "path", "content"))
+
+
+def _p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1_reasons(spark, d).select("file_id")
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "files", "id", "path", "content")).select("file_id", "line_no").distinct()
 
@@ -19,7 +27,7 @@ def _p4_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": _p4_found, "p4_redacted": _p4_redacted}
+    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted}
 
 
 def oracle_sql() -> dict[str, str]:
