@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, handwritten
+from tessera.llm import credentials, handwritten, leakage, packing, reading
 from tessera.sources.tables import table
 
 
@@ -26,8 +26,36 @@ def _p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, d, "files", "id", "path", "content"))
 
 
+def _p8_packs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents", "doc_id", "text"))
+
+
+def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_fill(_p8_packs(spark, d))
+
+
+def _p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
+
+
+def _p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9_leaks(spark, d).select("doc_id", "item_id")
+
+
+def _p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked_items(_p9_leaks(spark, d))
+
+
+def _p10_levels(spark: SparkSession, d: str) -> DataFrame:
+    return reading.reading_levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "doc_levels", "doc_id", "grade"))
+
+
+def _p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.demanding(_p10_levels(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted}
+    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted, "p8_packs": _p8_packs, "p8_fill": _p8_fill, "p9_found": _p9_found, "p9_leaked_items": _p9_leaked_items, "p10_found": _p10_found, "p10_levels": _p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
