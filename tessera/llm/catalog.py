@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, handwritten, leakage, packing, reading
+from tessera.llm import credentials, docpairs, handwritten, leakage, packing, reading
 from tessera.sources.tables import table
 
 
@@ -26,6 +26,15 @@ def _p4_redacted(spark: SparkSession, d: str) -> DataFrame:
     return credentials.redact_credentials(table(spark, d, "files", "id", "path", "content"))
 
 
+def _p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    columns = ("id", "file_id", "kind", "name", "qualified_name", "start_line", "signature", "docstring")
+    return docpairs.pair_documentation(table(spark, d, "symbols", *columns))
+
+
+def _p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p6_pairs(spark, d).select("symbol_id")
+
+
 def _p8_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents", "doc_id", "text"))
 
@@ -55,7 +64,7 @@ def _p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted, "p8_packs": _p8_packs, "p8_fill": _p8_fill, "p9_found": _p9_found, "p9_leaked_items": _p9_leaked_items, "p10_found": _p10_found, "p10_levels": _p10_levels}
+    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted, "p6_found": _p6_found, "p6_pairs": _p6_pairs, "p8_packs": _p8_packs, "p8_fill": _p8_fill, "p9_found": _p9_found, "p9_leaked_items": _p9_leaked_items, "p10_found": _p10_found, "p10_levels": _p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
