@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import credentials, docpairs, handwritten, leakage, packing, reading
+from tessera.llm import credentials, docpairs, handwritten, leakage, packing, reading, syntax
 from tessera.sources.tables import table
 
 
@@ -18,6 +18,22 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _p1_reasons(spark, d).select("file_id")
 
 
+def _p2_checked(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.check_files(table(spark, d, "files", "id", "path", "language", "content"))
+
+
+def _p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_checked(spark, d).where("not valid").select("file_id")
+
+
+def _p2_failures(spark: SparkSession, d: str) -> DataFrame:
+    return _p2_checked(spark, d).where("not valid")
+
+
+def _p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(_p2_checked(spark, d))
+
+
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
     return credentials.find_credentials(table(spark, d, "files", "id", "path", "content")).select("file_id", "line_no").distinct()
 
@@ -64,7 +80,7 @@ def _p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p4_found": _p4_found, "p4_redacted": _p4_redacted, "p6_found": _p6_found, "p6_pairs": _p6_pairs, "p8_packs": _p8_packs, "p8_fill": _p8_fill, "p9_found": _p9_found, "p9_leaked_items": _p9_leaked_items, "p10_found": _p10_found, "p10_levels": _p10_levels}
+    return {"p1_found": _p1_found, "p1_reasons": _p1_reasons, "p2_found": _p2_found, "p2_failures": _p2_failures, "p2_rates": _p2_rates, "p4_found": _p4_found, "p4_redacted": _p4_redacted, "p6_found": _p6_found, "p6_pairs": _p6_pairs, "p8_packs": _p8_packs, "p8_fill": _p8_fill, "p9_found": _p9_found, "p9_leaked_items": _p9_leaked_items, "p10_found": _p10_found, "p10_levels": _p10_levels}
 
 
 def oracle_sql() -> dict[str, str]:
