@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_problems
+from tessera.plans import data_problems, resolution, search
 
-MODULES = (data_problems,)
+MODULES = (data_problems, search, resolution)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
