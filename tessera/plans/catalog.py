@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_problems, resolution, search
+from tessera.plans import data_problems, graph, resolution, search, stats
 
-MODULES = (data_problems, search, resolution)
+MODULES = (data_problems, search, resolution, graph, stats)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
