@@ -60,12 +60,14 @@ def graph_export_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def related_tests(spark: SparkSession, d: str) -> DataFrame:
-    """Tests of each symbol: by test edges, and test blocks of the same file."""
+    """Per symbol: tests that point at it by an edge, and test blocks in its file. Both are counted before the join, so a
+    file or symbol with very many tests makes no pairs."""
     symbols = graph.symbols(spark, d)
-    linked = graph.edges(spark, d).where("edge_type in ('TESTS', 'TESTS_SYMBOL') and dst is not null and src is not null").select(F.col("dst").alias("qname"), F.col("src").alias("test"))
-    blocks = symbols.where("kind = 'test_block'").select("file_id", F.col("qname").alias("test"))
-    beside = symbols.where(F.col("kind").isin("function", "method", "class")).join(blocks, "file_id").select("qname", "test")
-    return linked.join(symbols.select("qname"), "qname", "left_semi").unionByName(beside).distinct()
+    tests = graph.edges(spark, d).where("edge_type in ('TESTS', 'TESTS_SYMBOL') and dst is not null and src is not null")
+    linked = tests.select("dst", "src").distinct().groupBy(F.col("dst").alias("qname")).agg(F.count("*").alias("n_linked"))
+    beside = symbols.where("kind = 'test_block'").groupBy("file_id").agg(F.count("*").alias("n_beside"))
+    found = symbols.where(F.col("kind").isin("function", "method", "class")).select("qname", "file_id").join(linked, "qname", "left").join(beside, "file_id", "left")
+    return found.where("n_linked is not null or n_beside is not null").select("qname", F.coalesce("n_linked", F.lit(0)).alias("n_linked"), F.coalesce("n_beside", F.lit(0)).alias("n_beside"))
 
 
 def substring_search(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +135,10 @@ FROM edges_c WHERE src IN (SELECT qname FROM symbols_c) AND dst IN (SELECT qname
 FROM edges_c LEFT JOIN symbols_c a ON a.qname = src LEFT JOIN symbols_c b ON b.qname = dst WHERE dst IS NOT NULL)
 SELECT rel_type, count(*) AS n, count(*) FILTER (kept) AS kept, count(*) FILTER (NOT kept) AS skipped FROM e GROUP BY 1""",
     "related_tests": C
-    + """SELECT dst AS qname, src AS test FROM edges_c WHERE edge_type IN ('TESTS', 'TESTS_SYMBOL') AND src IS NOT NULL AND dst IN (SELECT qname FROM symbols_c)
-UNION SELECT a.qname, b.qname FROM symbols_c a JOIN symbols_c b USING (file_id) WHERE a.kind IN ('function', 'method', 'class') AND b.kind = 'test_block'""",
+    + """, l AS (SELECT dst AS qname, count(DISTINCT src) AS n_linked FROM edges_c WHERE edge_type IN ('TESTS', 'TESTS_SYMBOL') AND src IS NOT NULL AND dst IS NOT NULL GROUP BY 1),
+b AS (SELECT file_id, count(*) AS n_beside FROM symbols_c WHERE kind = 'test_block' GROUP BY 1)
+SELECT qname, coalesce(n_linked, 0) AS n_linked, coalesce(n_beside, 0) AS n_beside FROM symbols_c LEFT JOIN l USING (qname) LEFT JOIN b USING (file_id)
+WHERE kind IN ('function', 'method', 'class') AND (n_linked IS NOT NULL OR n_beside IS NOT NULL)""",
     "substring_search": C
     + """SELECT id, max(score) AS score FROM (SELECT 'file:' || path AS id, 1.0::DOUBLE AS score FROM files_c WHERE contains(lower(path), 'token')
 UNION ALL SELECT 'symbol:' || qname, CASE WHEN kind = 'route' THEN 0.8 ELSE 0.9 END FROM symbols_c WHERE contains(lower(qname), 'token')) x GROUP BY 1 ORDER BY score DESC, id LIMIT 50""",
