@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_problems, graph, inference, resolution, search, stats
+from tessera.plans import data_problems, graph, inference, maintenance, resolution, search, stats
 
-MODULES = (data_problems, search, resolution, graph, stats, inference)
+MODULES = (data_problems, search, resolution, graph, stats, inference, maintenance)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
