@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_problems, graph, inference, maintenance, resolution, search, stats, workflow
+from tessera.plans import data_problems, graph, inference, maintenance, parsing, resolution, search, stats, workflow
 
-MODULES = (data_problems, search, resolution, graph, stats, inference, maintenance, workflow)
+MODULES = (data_problems, search, resolution, graph, stats, inference, maintenance, workflow, parsing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
