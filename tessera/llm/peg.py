@@ -204,5 +204,7 @@ class Grammar:
         else:
             v = self.fresh()
             self.emit(node[1], src, v, d)
+            if node[0] == "not" and self.tracing_on:
+                self.out(d, f"if {v} >= 0 and {src} > far: far = {src}")
             hit, miss = (src, -1) if node[0] == "and" else (-1, src)
             self.out(d, f"{dst} = {hit} if {v} >= 0 else {miss}")
