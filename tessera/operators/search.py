@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 K1, B = 1.5, 0.75
 TOKEN = "([A-Za-z_][A-Za-z0-9_]+)"
 # Stop words of the index.
@@ -22,9 +24,10 @@ def whole_tokens(text: Column | str) -> Column:
 
 
 def sub_tokens(tokens: Column) -> Column:
-    """Runs of letters and runs of digits inside the tokens, where they are not the token itself."""
+    """Runs of letters and runs of digits inside the tokens, where they are not the token itself. Only tokens with a
+    digit or an underscore have any, so only those are searched."""
     parts = F.transform(
-        tokens,
+        F.filter(tokens, lambda t: t.rlike("[0-9_]")),
         lambda t: F.filter(
             F.regexp_extract_all(t, F.lit("([a-z]+|[0-9]+)"), F.lit(1)), lambda s: (s != t) & (F.length(s) > 1) & ~s.isin(*STOP_WORDS)
         ),
@@ -61,10 +64,16 @@ def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
     """``query_id, key, score`` of every document that shares a term with a query (``query_id, query``).
 
     Query terms count once. The terms of all queries are one small table that is broadcast only below Spark's size
-    limit; documents keep just their postings for those terms before anything is shuffled.
+    limit; documents keep just their postings for those terms before anything is shuffled, and those are written once,
+    since frequencies and scores both read them.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(F.concat(whole_tokens("query"), sub_tokens(whole_tokens("query"))))).alias("term"))
-    wanted = postings(docs, key, text).join(terms.select("term").distinct(), "term")
+    vocabulary = terms.select("term").distinct()
+    tokens = docs.select(key, whole_tokens(text).alias("tokens"))
+    exploded = tokens.select(
+        key, F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode(F.concat("tokens", sub_tokens(F.col("tokens")))).alias("term")
+    )
+    wanted = cut_lineage(exploded.join(vocabulary, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
     scored = (
         wanted.join(doc_freq(wanted), "term")
         .crossJoin(F.broadcast(collection_stats(docs, key, text)))

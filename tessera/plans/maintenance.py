@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import incremental as i
 from tessera.operators import processes, retrieval, search, vectors
 from tessera.plans.search import QUERY, SYMBOL_DOCS, bm25_sql
+from tessera.session import cut_lineage
 from tessera.sources import graph
 from tessera.sources.tables import table
 
@@ -117,7 +118,7 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     symbols = graph.symbols(spark, d, "signature", "docstring")
-    seeds = _seeds(spark, d, symbols)
+    seeds = cut_lineage(_seeds(spark, d, symbols))
     norm = seeds.crossJoin(F.broadcast(seeds.agg(F.max("rrf").alias("m")))).select("qname", (F.col("rrf") / F.col("m")).alias("norm"), "sources")
     targets = processes.resolved_targets(graph.edges(spark, d, "confidence"), symbols)
     reached = retrieval.expand(norm, targets, MODE, 2)

@@ -307,7 +307,9 @@ def parse_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [r for p, l, t in zip(batch["path"], batch["language"], batch["content"]) for r in parse_text(p, l, t.lstrip("﻿"))]
-            yield pd.DataFrame(rows, columns=COLUMNS).astype({"start_line": "Int32", "end_line": "Int32"})
+            # missing values stay None: a column of numbers that stand for missing text can't be sent back
+            frame = pd.DataFrame([tuple(r.get(c) for c in COLUMNS) for r in rows], columns=COLUMNS, dtype=object)
+            yield frame.astype({"start_line": "Int32", "end_line": "Int32", "confidence": "float64"})
 
     chosen = files.select("path", "language", "content").where("path is not null and language is not null and content is not null")
     return chosen.mapInPandas(run, SCHEMA)
