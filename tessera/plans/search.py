@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera.operators import search as s
 from tessera.sources import graph
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 QUERY = "the session token store fails to resolve a route when the cache is stale"
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", "doc_id", "text")
+    return spread(table(spark, d, "documents", "doc_id", "text"))
 
 
 def tokenize_postings(spark: SparkSession, d: str) -> DataFrame:
