@@ -166,7 +166,7 @@ class Automaton:
         width = len(kinds)
         member = {s: {self.classes[b] for b in s} for s in sets}
 
-        def closure(states: set[int]) -> frozenset:
+        def closure(states: frozenset) -> frozenset:
             todo, seen = list(states), set(states)
             while todo:
                 for t in nfa.free[todo.pop()]:
@@ -175,8 +175,9 @@ class Automaton:
                         todo.append(t)
             return frozenset(s for s in seen if nfa.moves[s] or s in accept)
 
-        base = closure({start})
+        base = closure(frozenset([start]))
         index, rows, hits, todo = {base: 0}, [], [], [base]
+        known: dict[frozenset, int] = {frozenset(): 0}
         for current in todo:
             targets: list[set[int]] = [set() for _ in range(width)]
             for s in current:
@@ -184,13 +185,15 @@ class Automaton:
                     for k in member[chars]:
                         targets[k].add(t)
             row = []
-            for t in targets:
-                nxt = closure(t) | base
-                if nxt not in index:
-                    index[nxt] = len(index)
-                    todo.append(nxt)
-                    assert len(index) <= max_states, "the patterns need too many states"
-                row.append(index[nxt])
+            for t in map(frozenset, targets):
+                if t not in known:
+                    nxt = closure(t) | base
+                    if nxt not in index:
+                        index[nxt] = len(index)
+                        todo.append(nxt)
+                        assert len(index) <= max_states, "the patterns need too many states"
+                    known[t] = index[nxt]
+                row.append(known[t])
             rows.append(row)
             hits.append(sum({accept[s] for s in current if s in accept}))
         self.width = width

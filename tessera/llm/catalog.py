@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import credentials, docpairs, handwritten, leakage, packing, reading, syntax
-from tessera.sources.tables import table
+from tessera.sources.tables import spread, table
 
 
 def _p1_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return handwritten.find_not_handwritten(table(spark, d, "files", "id", "path", "content"))
+    return handwritten.find_not_handwritten(spread(table(spark, d, "files", "id", "path", "content")))
 
 
 def _p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -19,7 +19,7 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p2_checked(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.check_files(table(spark, d, "files", "id", "path", "language", "content"))
+    return syntax.check_files(spread(table(spark, d, "files", "id", "path", "language", "content")))
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -35,11 +35,11 @@ def _p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.find_credentials(table(spark, d, "files", "id", "path", "content")).select("file_id", "line_no").distinct()
+    return credentials.find_credentials(spread(table(spark, d, "files", "id", "path", "content"))).select("file_id", "line_no").distinct()
 
 
 def _p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return credentials.redact_credentials(table(spark, d, "files", "id", "path", "content"))
+    return credentials.redact_credentials(spread(table(spark, d, "files", "id", "path", "content")))
 
 
 def _p6_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p8_packs(spark: SparkSession, d: str) -> DataFrame:
-    return packing.pack_documents(table(spark, d, "documents", "doc_id", "text"))
+    return packing.pack_documents(spread(table(spark, d, "documents", "doc_id", "text")))
 
 
 def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def _p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p9_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find_leaks(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
+    return leakage.find_leaks(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "benchmark", "item_id", "text"))
 
 
 def _p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +72,7 @@ def _p9_leaked_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _p10_levels(spark: SparkSession, d: str) -> DataFrame:
-    return reading.reading_levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "doc_levels", "doc_id", "grade"))
+    return reading.reading_levels(spread(table(spark, d, "documents", "doc_id", "text")), table(spark, d, "doc_levels", "doc_id", "grade"))
 
 
 def _p10_found(spark: SparkSession, d: str) -> DataFrame:
