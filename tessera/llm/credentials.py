@@ -59,6 +59,8 @@ TOKEN = re.compile(
 )
 #: a token that is written as joined literals is looked for in the line with the joints taken out
 JOINT = re.compile(r"""(["'`])[ \t]*(?:\+|\.\.|\.)?[ \t]*\\?\n?[ \t]*(["'`])""")
+#: what stands between a literal and one that is added to it
+ADDED = re.compile(r"""[ \t]*(?:[+.][ \t]*(?:\r?\n[ \t]*)?|\\?\r?\n[ \t]*[+.][ \t]*)(["'`])""")
 ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----((?:.|\n){0,20000}?)-----END \1-----")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/@:"'`<>]*:(?P<v>[^\s"'`/@]+(?:@(?=[^\s"'`/@]*@)[^\s"'`/@]+)*)@""")
 NAMED = re.compile(
@@ -73,6 +75,7 @@ QUERY = re.compile(r"""[?&;]\w*(?i:token|key|secret|password|pwd|signature)=(?P<
 HEADER = re.compile(r"""(?:["'\s])(?i:basic|bearer|token)\s+(?P<v>[A-Za-z0-9+/_=.\-]{12,})""")
 REMARK = re.compile(rf"""(?i:\b(?:{SECRET_WORDS}|logins?)\b)[^\n]{{0,60}}?(?:\s(?:was|is|are|now)\s+|->\s*|\s/\s|=\s*|:\s+)(?P<v>[^\s"'`,;)]+)[ \t\r*/#\->]*$""")
 COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')|(?:\s//|\s#)\s")
+# Extensions of languages in which a value must be a literal.
 CODE = frozenset("py js ts tsx jsx java go cs rs kt c cc cpp h rb php swift scala".split())
 UUID = re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}")
 
@@ -108,14 +111,13 @@ def _joined(text: str, begin: int, quote: str) -> tuple[str, list[tuple[int, int
         end = text.find(quote, at)
         while end > 0 and len(quote) == 1 and text[end - 1] == "\\":
             end = text.find(quote, end + 1)
-        if end < 0 or ("\n" in text[at:end]):
+        if end < 0 or "\n" in text[at:end]:
             return (value, parts) if parts else None
         value += text[at:end]
         parts.append((at, end))
-        more = re.compile(r"[ \t]*(?:\+|\.)?[ \t]*(?:\\?\r?\n[ \t]*)?(?:\+[ \t]*)?([\"'`])").match(text, end + len(quote))
-        if not more or not text[end + len(quote) : more.end() - 1].strip(" \t\r\n\\"):
-            if not (more and text[end + len(quote) : more.end() - 1] and False):
-                return value, parts
+        more = ADDED.match(text, end + len(quote))
+        if not more:
+            return value, parts
         quote, at = more.group(1), more.end()
 
 
@@ -167,7 +169,7 @@ def _spans_at(text: str, line_start: int, line_end: int, end: int, kinds: set[st
             if not NAME_OK.search(m.group("name")):
                 continue
             begin = line_start + m.end()
-            if m.group("q") and not (m.group("sep") != ":" and False):
+            if m.group("q"):
                 got = _joined(text, begin, m.group("q"))
                 if got and _usable(got[0]):
                     yield got[1], "value"
