@@ -124,7 +124,8 @@ def test_tiles_are_longest_first_and_do_not_overlap():
         assert all((doc[a : a + n] == item[b : b + n]).all() and n >= leakage.TILE for a, b, n in got)
         longest = max((n for i in range(len(doc)) for j in range(len(item)) for n in range(1, 31) if i + n <= len(doc) and j + n <= len(item) and (doc[i : i + n] == item[j : j + n]).all()), default=0)
         assert (max(n for *_, n in got) == longest) if longest >= leakage.TILE else not got
-    assert covered(np.array([1, 2, 3], np.uint64), np.array([1, 2, 3], np.uint64), np.array([True, True, False])) == 2
+    nine = np.arange(1, 10, dtype=np.uint64)
+    assert covered(nine, nine, np.array([True] * 8 + [False])) == 8 and covered(nine[:5], nine, np.ones(9, bool)) == 0
 
 
 def test_leak_frames(spark):
