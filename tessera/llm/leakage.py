@@ -17,7 +17,10 @@ TILE = 3
 """Least words of a tile."""
 LEAST_WORDS = 20
 LEAST_PASSAGE = 7
-"""Words below which a common run is a turn of phrase and no passage."""
+"""Words below which a common run can be a turn of phrase; alone it is no passage, beside a longer one it counts unless
+it is a turn of phrase of the test set."""
+CONTEXTS = 3
+"""Different surroundings in the test set from which on a short run is a turn of phrase: the frame of tasks of one make."""
 EDITS = 1 / 8
 BLOCK_ITEMS = 20_000
 """Items sent to the workers at once; a larger test set is taken in as many blocks as needed."""
@@ -39,12 +42,31 @@ def sentences_of(text: str) -> list[list[str]]:
     return [w for s in SENTENCE.split(text) if (w := words_of(s))]
 
 
+def turns_of(texts: list[str]) -> set[int]:
+    """Keys of the runs of fewer than ``LEAST_PASSAGE`` words that stand in ``CONTEXTS`` or more different surroundings."""
+    hashed = [np.r_[np.uint64(1), word_keys([w for x in sentences_of(t) for w in x]), np.uint64(2)] for t in texts]
+    turns: set[int] = set()
+    for n in range(TILE, LEAST_PASSAGE):
+        wide = [rolling(h, n + 2) for h in hashed]
+        runs = [rolling(h[1:-1], n) for h in hashed]
+        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.uint64), *runs]), np.concatenate([np.zeros(0, np.uint64), *wide])]), axis=1)
+        keys, contexts = np.unique(pairs[0], return_counts=True)
+        turns.update(keys[contexts >= CONTEXTS].tolist())
+    return turns
+
+
+def word_keys(words: list[str]) -> np.ndarray:
+    """Values of words that do not depend on a vocabulary."""
+    return pd.util.hash_array(np.array(words, object)) if words else np.zeros(0, np.uint64)
+
+
 class Index:
     """Words and seeds of a block of items. ``shared`` holds sentences that occur in several items (of all blocks);
-    their words do not count and make no seeds."""
+    their words do not count and make no seeds. ``turns`` are the keys of the test set's turns of phrase."""
 
-    def __init__(self, items: list[tuple[int, str]], shared: set[str]):
+    def __init__(self, items: list[tuple[int, str]], shared: set[str], turns: set[int] | None = None):
         self.vocabulary: dict[str, int] = {}
+        self.turns: list[set[tuple[int, int]]] = []
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
         owners: dict[int, set[int]] = defaultdict(set)
         for n, (item, text) in enumerate(items):
@@ -55,6 +77,8 @@ class Index:
                 counts += [own] * len(sentence)
             a, own = np.array(ids, np.uint64), np.array(counts, bool)
             self.items.append((item, a, own))
+            hashed = word_keys([w for x in sentences_of(text or "") for w in x]) if turns else a[:0]
+            self.turns.append({(j, j + m) for m in range(TILE, LEAST_PASSAGE) for j, k in enumerate(rolling(hashed, m).tolist()) if k in turns} if turns else set())
             keys = rolling(a, SEED)
             for i in range(len(keys)):
                 if own[i : i + SEED].all():
@@ -127,8 +151,10 @@ def tiles(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def passages(found: list[tuple[int, int, int]], own: np.ndarray) -> list[int]:
-    """Words of the item in each passage: tiles that follow one another in both texts with few words changed between."""
+def passages(found: list[tuple[int, int, int]], own: np.ndarray, turns: set[tuple[int, int]] = frozenset()) -> list[int]:
+    """Words of the item in each passage: tiles that follow one another in both texts with few words changed between.
+
+    A passage that is one of ``turns``, the item's places of turns of phrase, counts for nothing."""
     best: list[int] = []
     used: set[int] = set()
     for start in range(len(found)):
@@ -151,16 +177,17 @@ def passages(found: list[tuple[int, int, int]], own: np.ndarray) -> list[int]:
         span = end_t - first
         if edits <= max(1, EDITS * span):
             used.update(chain)
-            best.append(int(own[first:end_t].sum()))
+            best.append(0 if (first, end_t) in turns else int(own[first:end_t].sum()))
         else:
             used.add(start)
-            best.append(int(own[j : j + n].sum()))
+            best.append(0 if (j, j + n) in turns else int(own[j : j + n].sum()))
     return best
 
 
-def covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray) -> int:
-    """Words of the item that the document holds in its two best passages."""
-    return sum(sorted(n for n in passages(tiles(doc, item), own) if n >= LEAST_PASSAGE)[-2:])
+def covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray, turns: set[tuple[int, int]] = frozenset()) -> int:
+    """Words of the item that the document holds in its two best passages, the longer of which is clearly one."""
+    best = sorted(passages(tiles(doc, item), own, turns))[-2:]
+    return sum(best) if best and best[-1] >= LEAST_PASSAGE else 0
 
 
 def leaks(texts: list[str], index: Index) -> Iterator[tuple[int, int, int]]:
@@ -188,7 +215,7 @@ def leaks(texts: list[str], index: Index) -> Iterator[tuple[int, int, int]]:
             continue
         item, words, own = index.items[n]
         doc = stream[ends[d - 1] if d else 0 : ends[d]]
-        total = covered(doc, words, own)
+        total = covered(doc, words, own, index.turns[n])
         if total >= LEAST_WORDS:
             yield d, item, total
 
@@ -215,9 +242,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
             for s in {" ".join(s) for s in sentences_of(text)}:
                 shared_of[s] = shared_of.get(s, 0) + 1
     shared = {s for s, n in shared_of.items() if n > 1}
+    turns = turns_of([text for rows in blocks for _, text in rows])
     chosen = documents.select("doc_id", "text").where("text is not null and text != ''")
     for rows in blocks:
-        index = spark.sparkContext.broadcast(Index(rows, shared))
+        index = spark.sparkContext.broadcast(Index(rows, shared, turns))
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:

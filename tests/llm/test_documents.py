@@ -105,6 +105,22 @@ def test_leaks_whole_in_part_and_changed():
     assert found(" ".join(words).upper().replace(" ", ",  ")) == [(0, 1)]
 
 
+def test_the_second_passage_may_be_short():
+    words = words_of(ITEM)[:26]
+    for n in (14, 15, 16, 17):
+        assert found(" ".join(words[:n]) + " and then something else entirely in between " + " ".join(words[n + 1 : 21])) == [(0, 1)], n
+        assert found(" ".join(words[:n]) + " and then something else entirely in between " + " ".join(words[n + 1 : 20])) == [], n
+
+
+def test_a_short_turn_of_phrase_of_the_test_set_adds_nothing():
+    words = words_of(ITEM)[:26]
+    items = [(1, ITEM), *((n, f"check the {a} find the cause and match {b}") for n, (a, b) in enumerate((("pump", "hose"), ("tank", "seal"), ("gear", "bolt")), 2))]
+    turns = leakage.turns_of([t for _, t in items])
+    text = " ".join(words[:16]) + " and then something else entirely in between find the cause and match"
+    assert [n for *_, n in leaks([text], Index(items, set()))] == [21]
+    assert [n for *_, n in leaks([text], Index(items, set(), turns))] == []
+
+
 def test_non_leaks():
     words = words_of(ITEM)
     assert found(" ".join(words[:15])) == []
