@@ -62,11 +62,12 @@ def word_keys(words: list[str]) -> np.ndarray:
 
 class Index:
     """Words and seeds of a block of items. ``shared`` holds sentences that occur in several items (of all blocks);
-    their words do not count and make no seeds. ``turns`` are the keys of the test set's turns of phrase."""
+    their words do not count and make no seeds. ``turns`` are the keys of the test set's turns of phrase; the words of an
+    item outside them are its content."""
 
-    def __init__(self, items: list[tuple[int, str]], shared: set[str], turns: set[int] | None = None):
+    def __init__(self, items: list[tuple[int, str]], shared: set[str], turns: set[int] = frozenset()):
         self.vocabulary: dict[str, int] = {}
-        self.turns: list[set[tuple[int, int]]] = []
+        self.content: list[np.ndarray] = []
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
         owners: dict[int, set[int]] = defaultdict(set)
         for n, (item, text) in enumerate(items):
@@ -78,15 +79,17 @@ class Index:
             a, own = np.array(ids, np.uint64), np.array(counts, bool)
             self.items.append((item, a, own))
             hashed = word_keys([w for x in sentences_of(text or "") for w in x]) if turns else a[:0]
-            self.turns.append({(j, j + m) for m in range(TILE, LEAST_PASSAGE) for j, k in enumerate(rolling(hashed, m).tolist()) if k in turns} if turns else set())
+            content = np.ones(len(a), bool)
+            for m in range(TILE, LEAST_PASSAGE):
+                for j, k in enumerate(rolling(hashed, m).tolist()):
+                    if k in turns:
+                        content[j : j + m] = False
+            self.content.append(content)
             keys = rolling(a, SEED)
             for i in range(len(keys)):
                 if own[i : i + SEED].all():
                     owners[int(keys[i])].add(n)
-        # a seed of several items tells little; an item without seeds of its own uses what it has
-        self.seeds = {k: v for k, v in owners.items() if len(v) <= 2}
-        lone = set(range(len(self.items))) - {n for v in self.seeds.values() for n in v}
-        self.seeds |= {k: v for k, v in owners.items() if v & lone}
+        self.seeds = dict(owners)
         self.keys = np.array(sorted(self.seeds), np.uint64)
         self.bitmap = np.zeros(1 << BITS, bool)
         self.bitmap[bucket(self.keys)] = True
@@ -151,10 +154,19 @@ def tiles(doc: np.ndarray, item: np.ndarray) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def passages(found: list[tuple[int, int, int]], own: np.ndarray, turns: set[tuple[int, int]] = frozenset()) -> list[int]:
+def passages(found: list[tuple[int, int, int]], own: np.ndarray, content: np.ndarray | None = None) -> list[int]:
     """Words of the item in each passage: tiles that follow one another in both texts with few words changed between.
 
-    A passage that is one of ``turns``, the item's places of turns of phrase, counts for nothing."""
+    A passage that does not hold most of its words of ``content`` is the frame of a task with other content and counts
+    for nothing."""
+
+    def words(chain: list[int], first: int, end: int) -> int:
+        if content is not None:
+            held = sum(int(content[j : j + n].sum()) for _, j, n in (found[k] for k in chain))
+            if 2 * held <= int(content[first:end].sum()):
+                return 0
+        return int(own[first:end].sum())
+
     best: list[int] = []
     used: set[int] = set()
     for start in range(len(found)):
@@ -177,16 +189,16 @@ def passages(found: list[tuple[int, int, int]], own: np.ndarray, turns: set[tupl
         span = end_t - first
         if edits <= max(1, EDITS * span):
             used.update(chain)
-            best.append(0 if (first, end_t) in turns else int(own[first:end_t].sum()))
+            best.append(words(chain, first, end_t))
         else:
             used.add(start)
-            best.append(0 if (j, j + n) in turns else int(own[j : j + n].sum()))
+            best.append(words([start], j, j + n))
     return best
 
 
-def covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray, turns: set[tuple[int, int]] = frozenset()) -> int:
+def covered(doc: np.ndarray, item: np.ndarray, own: np.ndarray, content: np.ndarray | None = None) -> int:
     """Words of the item that the document holds in its two best passages, the longer of which is clearly one."""
-    best = sorted(passages(tiles(doc, item), own, turns))[-2:]
+    best = sorted(passages(tiles(doc, item), own, content))[-2:]
     return sum(best) if best and best[-1] >= LEAST_PASSAGE else 0
 
 
@@ -206,18 +218,18 @@ def leaks(texts: list[str], index: Index) -> Iterator[tuple[int, int, int]]:
     slot = np.minimum(np.searchsorted(index.keys, keys[at]), len(index.keys) - 1)
     at = at[index.keys[slot] == keys[at]]
     owner = np.searchsorted(np.array(ends), at, side="right")
-    candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for d, k in zip(owner.tolist(), keys[at].tolist()):
-        for n in index.seeds[k]:
-            candidates[d, n].add(k)
-    for (d, n), seeds in sorted(candidates.items()):
-        if len(seeds) < 2:
-            continue
-        item, words, own = index.items[n]
+    held, first = np.unique(owner, return_index=True)
+    for d, own_at in zip(held.tolist(), np.split(at, first[1:])):
         doc = stream[ends[d - 1] if d else 0 : ends[d]]
-        total = covered(doc, words, own, index.turns[n])
-        if total >= LEAST_WORDS:
-            yield d, item, total
+        hits: dict[int, int] = defaultdict(int)
+        for k in np.unique(keys[own_at]).tolist():
+            for n in index.seeds[k]:
+                hits[n] += 1
+        for n in sorted(n for n, h in hits.items() if h >= 2):
+            item, words, own = index.items[n]
+            total = covered(doc, words, own, index.content[n])
+            if total >= LEAST_WORDS:
+                yield d, item, total
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -226,8 +238,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words count in one or two passages in which up to one word in eight differs; sentences of several items do not
     count. Null and empty texts hold nothing; repeated documents and items count each; other columns are not read.
     Documents are read once per block of items, whole, without a shuffle. A pair is looked at once it shares two
-    seeds of ``SEED`` words that at most two items have: with one word in eight changed, twenty words in two passages
-    always leave such runs.
+    seeds of ``SEED`` words, however many items have them: with one word in eight changed, twenty words in two passages
+    always leave such runs. What tasks of one make share is told by its surroundings in the whole test set, not by block.
     """
     spark = documents.sparkSession
     items = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id")

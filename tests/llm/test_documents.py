@@ -121,6 +121,16 @@ def test_a_short_turn_of_phrase_of_the_test_set_adds_nothing():
     assert [n for *_, n in leaks([text], Index(items, set(), turns))] == []
 
 
+def test_wordings_of_many_items_are_looked_at():
+    variants = [(n, ITEM.replace("care", x)) for n, x in enumerate(("care", "haste", "skill", "luck"), 1)]
+    lone = (9, "quite another opening sentence here. the relay report from venhap loses its daily mailbag whenever tuldul starts to sample a window find the cause and fix it at once.")
+    items = [*variants, lone]
+    turns = leakage.turns_of([t for _, t in items])
+    text = "before it " + " ".join(words_of(ITEM)[:22]) + " after it"
+    for chosen in (items, items[2:]):
+        assert sorted(i for _, i, _ in leaks([text], Index(chosen, set(), turns))) == sorted(i for i, _ in chosen)
+
+
 def test_non_leaks():
     words = words_of(ITEM)
     assert found(" ".join(words[:15])) == []
