@@ -21,6 +21,7 @@ KNOWN_FOLDERS = ("node_modules", "bower_components", "vendor", "third_party", "t
 KNOWN_NAMES = r"(?i)(\.min\.(js|ts|css)|\.bundle\.js|_pb2(_grpc)?\.py|\.pb\.(go|cc|h)|\.g\.(cs|dart)|\.designer\.cs|\.generated\.\w+|_generated\.\w+|\.gen\.(go|ts))$"
 
 HEAD_LINES = 14
+"""Lines whose comments are read even if code stands between them; the run of comments that begins a file is read whole."""
 
 # what a tool writes at the head of a file that it made; each alternative must begin a comment line
 GENERATED = re.compile(
@@ -41,6 +42,9 @@ VENDORED = re.compile(
     |(?:!\s*)?[\w.\-@/]+\s+(?:-\s+)?(?:version\s+|v)\d+\.\d+[\w.\-]*(?:\s*\|.*|\s*)$|(?:!\s*)?[\w.\-@/]+\s+v?\d+\.\d+\.\d+\s*(?:\||,|\(|-).*licen[sc]e)"""
 )
 COMMENT_START = re.compile(r"^\s*(?://[/!]?|#+!?|/\*+!?|\*+|--|;+|<!--|'''|\"\"\")\s?")
+PACKAGE = re.compile(r"^\s*package\s+[\w.]+\s*;?\s*$")
+#: openings of comments of several lines, which leave the rest to the closing
+BLOCK = {"/*": "*/", "<!--": "-->", '"""': '"""', "'''": "'''"}
 SOURCE_MAP = re.compile(r"(?m)^//[#@] sourceMappingURL=")
 WORDS = re.compile(r"[A-Za-z_$][\w$]*")
 LITERAL = re.compile(r"""b?"(?:[^"\\\n]|\\.)*"|b?'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?<![\w.])[-+]?(?:0[xX][0-9A-Fa-f_]+|\d[\d_.eE]*)""")
@@ -51,13 +55,32 @@ def _template(line: str) -> str:
     return f"{indent}:{WORDS.sub('w', LITERAL.sub('0', line.strip()))}"
 
 
+def head_comments(lines: list[str]) -> Iterator[str]:
+    """What the comment lines at the head of a file say: those of the leading run of comment, blank, shebang and package
+    lines, however long, and those of the first ``HEAD_LINES`` lines. Inside a docstring only marked lines count."""
+    closing, leading = "", True
+    for i, line in enumerate(lines):
+        if not leading and i >= HEAD_LINES:
+            return
+        m = COMMENT_START.match(line)
+        inside = bool(closing)
+        rest = line.strip()
+        if inside:
+            if closing in rest:
+                closing = ""
+        elif opened := next((o for o in BLOCK if rest.startswith(o)), None):
+            closing = "" if BLOCK[opened] in rest[len(opened) :] else BLOCK[opened]
+        elif rest and not m and not PACKAGE.match(line):
+            leading = False
+        if m or (inside and leading and closing not in ('"""', "'''")):
+            yield line[m.end() if m else 0 :].strip(" \t*/-#!")
+
+
 def judge(content: str) -> str | None:
     """What the content says: ``generated``, ``vendored``, ``minified``, ``data`` or nothing."""
     text = content.lstrip("﻿").replace("\r\n", "\n")
     lines = text.split("\n")
-    for line in lines[:HEAD_LINES]:
-        m = COMMENT_START.match(line)
-        said = line[m.end() :].strip(" \t*/-#!") if m else ""
+    for said in head_comments(lines):
         if not said:
             continue
         if GENERATED.search(said):

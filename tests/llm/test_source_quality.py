@@ -98,6 +98,15 @@ def test_what_contents_say():
     assert judge("") is None and judge("x = 1\n") is None
 
 
+def test_heads_are_read_whole():
+    mark, licence = "Code generated by tool 1.2. DO NOT EDIT.", ["Licensed under" + " the terms" * i + " of the box." for i in range(15)]
+    for head in ("".join(f"// {x}\n" for x in licence) + "\n", "/*\n" + "\n".join(licence) + "\n*/\n\n", "/*\n" + "".join(f" * {x}\n" for x in licence * 3) + " */\npackage a\n\n"):
+        assert judge(head + f"// {mark}\nvar x = 1\n") == "generated"
+        assert judge(head + "// Vendored copy of box 1.2.3, unmodified.\nvar x = 1\n") == "vendored"
+        assert judge(head + f"var x = 1\n// {mark}\n") is None
+    assert judge("/*\n" + "\n".join(licence) + f"\n{mark}\n*/\nvar x = 1\n") == "generated"
+
+
 def test_attributes_take_the_deepest_and_latest_rule(spark):
     rows = [
         (1, "r/.gitattributes", "gen/** linguist-generated\n*.lock.py linguist-generated=true\n# c\n*.py text\n"), (2, "r/gen/keep/.gitattributes", "*.py -linguist-generated\n"),
