@@ -16,7 +16,7 @@ from tessera.session import cut_lineage
 # Extensions of configuration and data files, which are never cases.
 NOT_SOURCE = ("json", "yaml", "yml", "ini", "env", "toml", "xml", "md", "txt", "cfg", "properties", "gitattributes")
 
-# The default attribute rules, used as prior evidence when patterns are mined.
+# The default attribute rules, which hold unless attribute files make an exception.
 KNOWN_FOLDERS = ("node_modules", "bower_components", "vendor", "third_party", "thirdparty", "site-packages", "external", "deps", "__generated__")
 KNOWN_NAMES = r"(?i)(\.min\.(js|ts|css)|\.bundle\.js|_pb2(_grpc)?\.py|\.pb\.(go|cc|h)|\.g\.(cs|dart)|\.designer\.cs|\.generated\.\w+|_generated\.\w+|\.gen\.(go|ts))$"
 
@@ -160,30 +160,35 @@ def apply_attributes(files: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.groupBy("id").agg(F.max_by("marked", F.struct(F.length("directory"), "line")).alias("marked"))
 
 
-def mine_folders(folders: DataFrame, least: int = 6, share: float = 0.25, prior: int = 6) -> tuple[DataFrame, DataFrame]:
+def mine_folders(folders: DataFrame, least: int = 6, share: float = 0.25) -> tuple[DataFrame, DataFrame]:
     """Folder names whose files are mostly not hand-written, and pairs of folders that are exceptions to them.
 
-    ``folders`` has ``folder`` (the path without the file), ``n`` and ``n_said`` (files whose content says so). A name
-    is kept if the lower confidence bound of its share exceeds ``share``; known names start with ``prior`` such files.
-    An exception is a kept name with a child folder of at least ``least`` files of which nearly none says so.
+    ``folders`` has ``folder`` (the path without the file), ``n`` and ``n_said`` (files whose content or attribute file
+    says so) and may have ``n_unset`` (files of which an attribute file says that they are hand-written). The known names
+    are always kept, others, counted outside the known ones, with at least ``least`` files of which more than ``share`` say so. An exception is a kept name
+    with a child folder of at least ``least`` files of which nearly none says so; as third-party copies need not name
+    themselves, below a known name only attribute files make one, by unsetting most of the child's files.
     """
+    if "n_unset" not in folders.columns:
+        folders = folders.withColumn("n_unset", F.lit(0))
     parts = F.filter(F.split("folder", "/"), lambda x: x != "")
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-    listed = folders.select(inner.alias("parts"), "n", "n_said")
-    known = F.when(F.col("name").isin(*KNOWN_FOLDERS), prior).otherwise(0)
-    singles = listed.select(F.explode(F.array_distinct("parts")).alias("name"), "n", "n_said").groupBy("name").agg(
+    listed = folders.select(inner.alias("parts"), "n", "n_said", "n_unset")
+    known = F.col("name").isin(*KNOWN_FOLDERS)
+    # what lies below a known folder tells nothing of other names there
+    outer = F.filter("parts", lambda x, i: ~F.arrays_overlap(F.slice("parts", F.lit(1), i), F.array(*map(F.lit, KNOWN_FOLDERS))))
+    singles = listed.select(F.explode(F.array_distinct(outer)).alias("name"), "n", "n_said").groupBy("name").agg(
         F.sum("n").alias("n"), F.sum("n_said").alias("n_said")
     )
-    p = (F.col("n_said") + known) / (F.col("n") + known)
-    bound = p - 1.64 * F.sqrt(p * (1 - p) / (F.col("n") + known))
-    kept = singles.where((F.col("n") + known >= least) & (bound > share)).select("name")
+    kept = singles.where(known | ((F.col("n") >= least) & (F.col("n_said") > share * F.col("n")))).select("name")
     pairs = listed.where(F.size("parts") > 1).select(
-        F.explode(F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts") - 1).alias("b"))).alias("p"), "n", "n_said"
+        F.explode(F.arrays_zip(F.slice("parts", F.lit(1), F.size("parts") - 1).alias("a"), F.slice("parts", F.lit(2), F.size("parts") - 1).alias("b"))).alias("p"), "n", "n_said", "n_unset"
     )
+    silent = (F.col("n") >= least) & (F.col("n_said") < 0.05 * F.col("n"))
     exceptions = (
         pairs.groupBy(F.col("p.a").alias("name"), F.col("p.b").alias("child"))
-        .agg(F.sum("n").alias("n"), F.sum("n_said").alias("n_said"))
-        .where((F.col("n") >= least) & (F.col("n_said") < 0.05 * F.col("n")))
+        .agg(F.sum("n").alias("n"), F.sum("n_said").alias("n_said"), F.sum("n_unset").alias("n_unset"))
+        .where(F.when(known, 2 * F.col("n_unset") > F.col("n")).otherwise(silent))
         .join(kept, "name", "left_semi")
         .where(~F.col("child").isin(*KNOWN_FOLDERS))
         .select("name", "child")
@@ -204,7 +209,11 @@ def find_not_handwritten(files: DataFrame) -> DataFrame:
     rules = attribute_rules(chosen)
     source = chosen.where(~_extension("path").isin(*NOT_SOURCE))
     judged = cut_lineage(source.mapInPandas(_judge_batches, "id long, path string, said string").withColumn("folder", F.regexp_replace("path", r"[^/]*$", "")))
-    folders = judged.groupBy("folder").agg(F.count("*").alias("n"), F.count("said").alias("n_said"))
+    marked = cut_lineage(apply_attributes(judged.select("id", "path"), rules))
+    seen = judged.join(marked, "id", "left")
+    says = F.coalesce("marked", F.col("said").isNotNull()).cast("long")
+    unset = F.coalesce(~F.col("marked"), F.lit(False)).cast("long")
+    folders = seen.groupBy("folder").agg(F.count("*").alias("n"), F.sum(says).alias("n_said"), F.sum(unset).alias("n_unset"))
     kept, exceptions = mine_folders(folders)
     parts = F.filter(F.split("folder", "/"), lambda x: x != "")
     steps = folders.select("folder", F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))).alias("depth", "name"))
@@ -213,12 +222,10 @@ def find_not_handwritten(files: DataFrame) -> DataFrame:
     placed = matched.groupBy("folder").agg(F.max_by(F.col("except").isNull(), "depth").alias("by_place"))
     placed = cut_lineage(placed.where("by_place").join(folders, "folder").select("folder", "n"))
     in_place = salted_join(judged.select("id", "path", "folder"), placed, "folder", weight="n", salt="id").select("id", F.lit(True).alias("by_place"))
-    marked = apply_attributes(judged.select("id", "path"), rules)
     declared = rules.select("repo").distinct().withColumn("declared", F.lit(True))
     verdict = (
-        judged.withColumn("repo", F.substring_index("path", "/", 1))
+        seen.withColumn("repo", F.substring_index("path", "/", 1))
         .join(in_place, "id", "left")
-        .join(marked, "id", "left")
         .join(declared, "repo", "left")
     )
     place = F.when(F.col("marked"), "declared").when(F.col("marked").isNull() & F.col("declared").isNull() & F.col("by_place"), "place")

@@ -124,6 +124,21 @@ def test_mined_folders_and_their_exceptions(spark):
     assert {"gen", "build"} == {r.name for r in kept.collect()} and {(r.name, r.child) for r in exceptions.collect()} == {("build", "scripts")}
 
 
+def test_folders_do_not_depend_on_the_size_of_the_input(spark):
+    for n in (1, 10, 1000):
+        rows = [("r/vendor/a/", 10 * n, n), ("r/vendor/b/", 10 * n, 0), ("r/build/", 100 * n, 28 * n), ("r/src/", 100 * n, 20 * n)]
+        kept, exceptions = mine_folders(spark.createDataFrame(rows, "folder string, n long, n_said long"))
+        assert {"vendor", "build"} <= {r.name for r in kept.collect()} and "src" not in {r.name for r in kept.collect()} and exceptions.count() == 0
+
+
+def test_patterns_are_mined_from_attribute_files(spark):
+    rows = [(0, "r/.gitattributes", "made/** linguist-generated\nvendor/ours/** -linguist-vendored\n")]
+    rows += [(10 + i, f"r/made/a{i}.py", "x = 1") for i in range(6)] + [(20 + i, f"r/vendor/ours/a{i}.py", "x = 1") for i in range(6)]
+    rows += [(1, "q/made/b.py", "x = 1"), (2, "q/vendor/ours/b.py", "x = 1"), (3, "q/vendor/b.py", "x = 1"), (4, "q/src/b.py", "x = 1")]
+    df = spark.createDataFrame(rows, "id long, path string, content string")
+    assert {r.file_id for r in find_not_handwritten(df).collect()} == {1, 3, *range(10, 16)}
+
+
 def test_not_handwritten_frame(spark):
     generated = "# Code generated by t. DO NOT EDIT.\nx = 1\n"
     rows = [(1, "r/a.py", generated), (2, "r/node_modules/b.js", "run()"), (3, None, generated), (4, "r/c.json", generated), (5, "r/d.py", None), (1, "r/a.py", generated)]
