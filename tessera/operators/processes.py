@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage, release
 
 FOLLOW = ("CALLS", "QUERIES", "CALLS_EXTERNAL", "FETCHES", "ROUTES_TO")
+METHOD = r"^(?:http::)?(?:([A-Za-z]+)\s+)?(.*)$"
+ROUTE_CONFIDENCE = 0.8
 TERMINAL = ("QUERIES", "CALLS_EXTERNAL", "FETCHES")
 MAX_DEPTH, MIN_CONFIDENCE = 8, 0.5
 
@@ -90,17 +92,58 @@ def entry_traces(symbols: DataFrame, targets: DataFrame, kind: str, edge_type: s
     ).withColumn("_r", F.row_number().over(first_of_id)).where("_r = 1").drop("_r")
 
 
+def _log(confidence: Column | str) -> Column:
+    return F.log(F.greatest(F.lit(0.01), F.least(F.lit(1.0), confidence)))
+
+
+def fetch_traces(symbols: DataFrame, edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """First steps of the flows from a user interface: one for each caller, method and address of its ``FETCHES`` edges.
+
+    Method and address are those of ``metadata_json``, else of the name (``http::GET /a``). A route of the same
+    normalised path follows (one of the same method or of any, else the first), then its handler; without a handler
+    the trace ends there.
+    """
+
+    def told(frame: DataFrame, column: str, key: str, name: str, group: int) -> Column:
+        said = F.get_json_object(column, f"$.{key}") if column in frame.columns else F.lit(None).cast("string")
+        return F.coalesce(F.nullif(said, F.lit("")), F.regexp_extract(name, METHOD, group))
+
+    consumer = F.coalesce("dst", "dst_name")
+    fetches = edges.where((F.col("edge_type") == "FETCHES") & (F.col("confidence") >= MIN_CONFIDENCE) & consumer.isNotNull() & F.col("src").isNotNull())
+    named = fetches.withColumn("dst_name", F.coalesce("dst_name", "dst"))
+    asked = named.select("edge_id", "src", consumer.alias("consumer"), "confidence", told(named, "metadata_json", "http_method", "dst_name", 1).alias("method"), told(named, "metadata_json", "url", "dst_name", 2).alias("url"))
+    one = asked.withColumn("process_id", slug(F.concat_ws("::", F.lit("ui_to_api_flow"), "src", "method", "url")))
+    first = one.withColumn("_r", F.row_number().over(Window.partitionBy("process_id").orderBy("src", "edge_id"))).where("_r = 1").drop("_r")
+    of_kind = symbols.where("kind = 'route'")
+    routes = of_kind.select("qname", F.upper(told(of_kind, "extras", "http_method", "name", 1)).alias("verb"), normalize_path(told(of_kind, "extras", "path", "name", 2)).alias("place")).where("place is not null")
+    asking = first.where("url != ''").select("process_id", F.upper("method").alias("asked"), normalize_path("url").alias("place"))
+    other = F.coalesce((F.col("verb") != F.col("asked")) & (F.col("verb") != "ANY"), F.lit(True))
+    matched = asking.join(routes, "place").groupBy("process_id").agg(F.min(F.struct(other.alias("other"), "qname"))["qname"].alias("route"))
+    handling = targets.where("edge_type = 'HANDLES_ROUTE'")
+    order = F.struct(F.col("dst").isNull().alias("u"), (-F.col("confidence")).alias("c"), "edge_id")
+    handlers = handling.groupBy(F.col("src").alias("route")).agg(F.min(F.struct(order.alias("order"), F.col("target").alias("handler"), F.col("confidence").alias("sure"))).alias("h"))
+    steps = first.join(matched, "process_id", "left").join(handlers, "route", "left")
+    n_steps = F.lit(1) + F.col("route").isNotNull().cast("int") + F.col("h").isNotNull().cast("int")
+    return steps.select(
+        "process_id", F.lit("ui_to_api_flow").alias("process_type"), F.col("src").alias("entrypoint"), F.coalesce("h.handler", "route", "consumer").alias("at"),
+        F.array_compact(F.array("src", "consumer", "route", "h.handler")).alias("visited"), n_steps.alias("n_steps"),
+        (_log("confidence") + F.when(F.col("route").isNotNull(), _log(F.lit(ROUTE_CONFIDENCE))).otherwise(0.0) + F.when(F.col("h").isNotNull(), _log(F.coalesce("h.sure", F.lit(0.0)))).otherwise(0.0)).alias("log_sum"),
+        F.when(F.col("h").isNotNull(), MAX_DEPTH).otherwise(n_steps).alias("max_depth"),
+    )
+
+
 def build(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """All processes: ``process_id, process_type, entrypoint, terminal, n_steps, confidence, path``.
 
-    Route flows begin at a route's handler, test flows at what a test block tests (half as deep). The confidence is the
+    Route flows begin at a route's handler, test flows at what a test block tests (half as deep), flows from a user
+    interface at an edge that fetches, with the route and handler that answer it. The confidence is the
     geometric mean of the steps'.
     """
     targets = resolved_targets(edges, symbols)
     starts = cut_lineage(
         entry_traces(symbols, targets, "route", "HANDLES_ROUTE", MIN_CONFIDENCE, "api_flow", MAX_DEPTH).unionByName(
             entry_traces(symbols, targets, "test_block", "TESTS", MIN_CONFIDENCE - 0.05, "test_flow", MAX_DEPTH // 2)
-        )
+        ).unionByName(fetch_traces(symbols, edges, targets))
     )
     ended = walk(starts.drop("process_type", "entrypoint"), cut_lineage(best_steps(targets)))
     return ended.join(starts.select("process_id", "process_type", "entrypoint"), "process_id").select(

@@ -29,7 +29,7 @@ def role_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trace_walk(spark: SparkSession, d: str) -> DataFrame:
-    return p.build(graph.symbols(spark, d), graph.edges(spark, d, "confidence", "precision_level"))
+    return p.build(graph.symbols(spark, d, "extras"), graph.edges(spark, d, "confidence", "precision_level", "metadata_json"))
 
 
 def processes_touching(spark: SparkSession, d: str) -> DataFrame:
