@@ -144,7 +144,8 @@ class Automaton:
     """The union of ``patterns`` (name, pattern, fold case), unanchored, made deterministic.
 
     ``find`` gives the end offset and the bit set of names for every place where a pattern ends. No pattern may match a
-    NUL byte, which separates texts; ``overlap`` must be at least the longest match that has to be seen whole.
+    NUL byte, which separates texts. Matches may be of any length: where a chunk's state after the ``overlap`` is not the
+    one that the chunk before ended in, it is run again from there until both agree.
     """
 
     def __init__(self, patterns: list[tuple[str, str, bool]], chunk: int = 4096, overlap: int = 512, max_states: int = 60_000):
@@ -214,13 +215,35 @@ class Automaton:
         state = np.zeros(count, np.int32)
         ends, masks = [], []
         starts = np.arange(count, dtype=np.int64) * step
+        entered = state
         for j in range(size):
             state = self.table[state + chunks[j]]
+            if j == self.overlap - 1:
+                entered = state
             hit = self.hits[state // self.width]
             if hit.any():
                 at = np.flatnonzero(hit)
                 ends.append(starts[at] + j + 1)
                 masks.append(hit[at])
+        for c in range(1, count):
+            true, held = int(state[c - 1]), int(entered[c])
+            if true == held:
+                continue
+            at = int(starts[c]) + self.overlap
+            stop = int(starts[c]) + size
+            more, found = [], []
+            while at < stop and true != held:
+                kind = int(padded[at])
+                true, held = int(self.table[true + kind]), int(self.table[held + kind])
+                at += 1
+                if hit := int(self.hits[true // self.width]):
+                    more.append(at)
+                    found.append(hit)
+            if true != held:
+                state[c] = true
+            if more:
+                ends.append(np.array(more, np.int64))
+                masks.append(np.array(found, np.int64))
         if not ends:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         end, mask = np.concatenate(ends), np.concatenate(masks)

@@ -61,7 +61,7 @@ TOKEN = re.compile(
 JOINT = re.compile(r"""(["'`])[ \t]*(?:\+|\.\.|\.)?[ \t]*\\?\n?[ \t]*(["'`])""")
 #: what stands between a literal and one that is added to it
 ADDED = re.compile(r"""[ \t]*(?:[+.][ \t]*(?:\r?\n[ \t]*)?|\\?\r?\n[ \t]*[+.][ \t]*)(["'`])""")
-ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----((?:.|\n){0,20000}?)-----END \1-----")
+ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/@:"'`<>]*:(?P<v>[^\s"'`/@]+(?:@(?=[^\s"'`/@]*@)[^\s"'`/@]+)*)@""")
 NAMED = re.compile(
     rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)["'\]]*\s*(?::\s*[A-Za-z&'?\[\]<>]+(?:[ \t]+[A-Za-z]+)?\s*(?==))?(?P<sep>:=|=>|=(?!=)|:(?!:))[ \t]*
@@ -148,8 +148,13 @@ def _spans_at(text: str, line_start: int, line_end: int, end: int, kinds: set[st
                     yield parts, "token"
     if "armor" in kinds:
         m = ARMOR.match(text, text.rfind("-----BEGIN", line_start, end))
-        if m and len(re.findall(r"[A-Za-z0-9+/=]", m.group(2).replace("\\n", ""))) >= 48 and len(set(m.group(2))) > 12:
-            yield [(m.start(2), m.end(2))], "private key"
+        if m:
+            # the next head of the same kind ends what has no end mark of its own
+            following = text.find(m.group(0), m.end())
+            stop = text.find(f"-----END {m.group(1)}-----", m.end(), following if following >= 0 else len(text))
+            body = text[m.end() : max(stop, m.end())]
+            if len(re.findall(r"[A-Za-z0-9+/=]", body.replace("\\n", ""))) >= 48 and len(set(body)) > 12:
+                yield [(m.end(), stop)], "private key"
     if "url" in kinds:
         for m in URL.finditer(line):
             v = m.group("v")

@@ -70,6 +70,18 @@ def test_chunks_do_not_change_the_result():
     assert lines(text) == [3001] and lines("é" * 5000 + "\n" + text) == [3002]
 
 
+def test_no_credential_is_too_long():
+    block = "PGP PRIVATE KEY BLOCK"
+    body = "\n".join("MIIEpQIBAAKCAQEA7c9fXyZ0123456789abcdefghijklmnopqrstuvw" + f"{i:04}" for i in range(900))
+    text = f"a\n-----BEGIN {block}-----\n{body}\n-----END {block}-----\nb\n"
+    found = scan([text], ["asc"])[0]
+    assert [x[0] for x in found] == [2] and "MIIE" not in redact(text, found)
+    for before in range(3000, 4200, 150):
+        for user in (600, 5000, 9000):
+            url = "x" * before + "\npostgres://" + "u" * user + ":s3cr3tPw9@db.example/x\n"
+            assert lines(url, "yaml") == [2], (before, user)
+
+
 def test_frames(spark):
     df = spark.createDataFrame([(1, "a.py", f't = "{GHP}"', 0), (2, None, f't = "{GHP}"', 0), (3, "b.py", None, 0), (4, "c.py", "", 0), (1, "a.py", f't = "{GHP}"', 0)], "id long, path string, content string, line_no int")
     assert sorted(r.file_id for r in find_credentials(df).collect()) == [1, 1, 2]
