@@ -20,6 +20,14 @@ def test_what_says_something():
         assert not informative(text, "lock_cursor", sig), text
 
 
+def test_one_word_in_a_condition_says_something():
+    sig = "def first_of(items)"
+    for text in ("Throws an error if the list is empty.", "Returns null if missing.", "@throws Error on overflow", "Returns the first of the items unless closed."):
+        assert informative(text, "first_of", sig), text
+    for text in ("Returns the items if given.", "Throws an exception.", "@throws IOException", "Returns null.", "Gets the first of the items.", "Returns the gadget."):
+        assert not informative(text, "first_of", sig), text
+
+
 def test_assignment_is_optimal():
     r = random.Random(4)
     for _ in range(60):
