@@ -25,9 +25,12 @@ def local_session(app: str = "tessera", cores: str = "*", partitions: int = 8, m
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session, which a cluster shares between
-    executors; only where that is unset (tests) a temporary folder."""
+    executors. Only a local session (tests) may leave it unset; it then gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError(f"spark.checkpoint.dir is unset: the executors of {master or 'this session'} share no folder for intermediate tables")
         folder = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -44,13 +47,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     df.coalesce(parallelism(spark)).write.parquet(path)
     cut = spark.read.schema(df.schema).parquet(path)
     cut._tessera_path = path
+    _OPEN[path] = cut
     return cut
 
 
+_OPEN: dict[str, DataFrame] = {}
+
+
+def release_all() -> None:
+    """Delete the tables of all ``cut_lineage`` calls of this process that were not released: those behind results, once
+    the results are written."""
+    release(*_OPEN.values())
+
+
 def release(*cuts: DataFrame) -> None:
     """Delete the tables behind frames that ``cut_lineage`` made and nothing reads any more."""
-    for df in cuts:
+    for df in list(cuts):
         jvm, path = df.sparkSession._jvm, df._tessera_path
+        _OPEN.pop(path, None)
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 

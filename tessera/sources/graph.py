@@ -33,11 +33,21 @@ def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+def with_contents(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """``rows`` with the ``content`` of their ``id``, which is unique in both. Ids that are small enough for Spark's own
+    broadcast limit go to the scan of the contents; else both sides are shuffled once by id."""
+    return contents.join(rows, "id").select(*rows.columns, "content")
+
+
 def files(spark: SparkSession, d: str, content: bool = False) -> DataFrame:
-    """One row per path, the one indexed last: ``file_id, path, language, hash, size_bytes, indexed_at`` (``content``)."""
-    columns = ["id", "path", "hash", "size_bytes", "indexed_at", *(["content"] if content else [])]
-    rows = table(spark, d, "files", *columns).where("path is not null")
+    """One row per path, the one indexed last: ``file_id, path, language, hash, size_bytes, indexed_at`` (``content``).
+
+    Rows are ranked without their contents; with ``content`` those of the chosen ids are read by a scan of their own.
+    """
+    rows = table(spark, d, "files", "id", "path", "hash", "size_bytes", "indexed_at").where("path is not null")
     rows = latest(rows, "path", F.col("indexed_at").desc_nulls_last(), F.desc("id"))
+    if content:
+        rows = with_contents(rows, table(spark, d, "files", "id", "content"))
     return rows.withColumnRenamed("id", "file_id").withColumn("language", language_of("path"))
 
 
