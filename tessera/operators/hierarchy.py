@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import name_or_null
-from tessera.session import cut_lineage, release
+from tessera.session import cut_lineage, parallelism, release
 
 TREE, CYCLE, BELOW = "tree", "cycle", "below"
-SOLVED = "node string, status string, root string, depth int, path array<string>, n_descendants long"
-LOCAL_ROWS = 100_000
-"""Most live nodes that one task takes in memory to end the contraction."""
+STRETCH_ROWS = 20_000
+"""Live nodes of one stretch of names, which one task contracts inside; larger trees have more stretches."""
+STEP = "node string, up string, hops int, via array<string>, size long, extra long, child string, between long, taken boolean, idle boolean"
 
 
 def parent_links(rows: DataFrame, node: str, parent: str) -> DataFrame:
@@ -99,38 +98,123 @@ def _contract(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame, DataFra
     return remaining, raked.unionByName(compressed), seen
 
 
-def hierarchy(links: DataFrame, max_rounds: int = 200, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def _contract_stretches(live: DataFrame, n_live: int, stretch_rows: int) -> DataFrame:
+    """Rake and compress inside stretches of neighbouring names: rows of ``STEP``, what remains and what was taken out.
+
+    Names of one tree mostly share their beginning, so one shuffle by ranges of names does the work of many global
+    steps. Names are distinct, so stretches are even whatever the shape of the trees.
+    """
+    children = live.where("up is not null").groupBy(F.col("up").alias("node")).agg(F.count("*").alias("n_children"))
+    counted = live.join(children, "node", "left").select("node", "up", "hops", "via", "size", "extra", F.coalesce("n_children", F.lit(0)).alias("n_children"))
+    stretches = max(1, min(4 * parallelism(live.sparkSession), -(-n_live // stretch_rows)))
+    return counted.repartitionByRange(stretches, "node").mapInArrow(_contract_stretch, STEP)
+
+
+def _contract_stretch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contract the nodes of one stretch as far as their neighbours are in it.
+
+    A leaf is raked if its parent is here; an inner node is spliced out if its only child is here. So a node with a child
+    elsewhere is never taken out, and what is taken out hangs from one that stays, after what went later is looked through.
+    """
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    at = {r["node"]: r for r in rows}
+    below: dict[str, set[str]] = {}
+    for r in rows:
+        if r["up"] in at:
+            below.setdefault(r["up"], set()).add(r["node"])
+    gone: dict[str, dict] = {}
+    todo = [r["node"] for r in rows]
+    while todo:
+        node = todo.pop()
+        r = at[node]
+        up = r["up"]
+        if node in gone or up is None or up == node:
+            continue
+        here = below.get(node, ())
+        if not r["n_children"] and up in at:
+            gone[node] = r | {"child": None, "between": None}
+            parent = at[up]
+            parent["size"] += r["size"] + r["extra"] + 1
+            parent["n_children"] -= 1
+            below[up].discard(node)
+            todo.append(up)
+        elif r["n_children"] == 1 and len(here) == 1:
+            (child,) = here
+            c = at[child]
+            gone[node] = r | {"child": child, "between": c["extra"]}
+            c["up"], c["hops"], c["via"] = up, c["hops"] + r["hops"], [*c["via"], node, *r["via"]]
+            c["extra"] += r["size"] + r["extra"] + 1
+            if up in at:
+                below[up].discard(node)
+                below[up].add(child)
+                todo.append(up)
+    # what was taken out hangs from what stays: look through those that went later
+    for node in reversed(gone):
+        r = gone[node]
+        if (above := gone.get(r["up"])) is not None:
+            r["hops"] += above["hops"]
+            r["via"] = [*r["via"], r["up"], *above["via"]]
+            r["up"] = above["up"]
+        if (lower := gone.get(r["child"])) is not None:
+            if lower["child"] is None:
+                r["size"], r["between"] = r["size"] + r["between"] + 1 + lower["size"], None
+            else:
+                r["between"] += 1 + lower["size"] + lower["between"]
+            r["child"] = lower["child"]
+    out = []
+    for r in rows:
+        taken = gone.get(r["node"])
+        if taken is not None:
+            out.append(taken | {"taken": True, "idle": False})
+        else:
+            idle = r["n_children"] == 0 if r["up"] is None else r["up"] == r["node"] and r["n_children"] == 1
+            out.append(r | {"child": None, "between": None, "taken": False, "idle": idle})
+    schema = pa.schema(
+        [("node", pa.string()), ("up", pa.string()), ("hops", pa.int32()), ("via", pa.list_(pa.string())), ("size", pa.int64()), ("extra", pa.int64()),
+         ("child", pa.string()), ("between", pa.int64()), ("taken", pa.bool_()), ("idle", pa.bool_())]
+    )
+    for i in range(0, len(out), 10_000):
+        yield pa.RecordBatch.from_pylist(out[i : i + 10_000], schema)
+
+
+def _contract_once(live: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """One global rake and compress as rows of ``STEP``, and the table to release once they are written."""
+    remaining, record, seen = _contract(live, turn)
+    left = remaining.withColumns({"child": F.lit(None).cast("string"), "between": F.lit(None).cast("long"), "taken": F.lit(False)})
+    return left.unionByName(record.withColumns({"taken": F.lit(True), "idle": F.lit(False)})), seen
+
+
+def hierarchy(links: DataFrame, max_rounds: int = 200, stretch_rows: int = STRETCH_ROWS) -> DataFrame:
     """Root, depth, path and number of descendants of every node of ``links`` (``node, parent``; see ``parent_links``).
 
     Columns ``node, status, root, depth, path, n_descendants``. ``status`` is ``tree``, ``cycle`` (the node lies on a
     cycle) or ``below`` (it only hangs below one); the latter two have root ``''``, depth -1 and -2, a null path and
-    null descendants. Rounds of leaf raking and unary-chain splicing shrink every tree to its root in a number of
-    rounds that is logarithmic in its size whatever its depth; the recorded contractions are then undone in reverse
-    order. What cannot shrink further is one node per cycle, its own parent. Once at most ``local_rows`` nodes are
-    live one task contracts what is left in memory; that bound keeps the last, nearly empty rounds off the cluster.
-    An empty table gives no rows.
+    null descendants. Rounds of leaf raking and unary-chain splicing shrink every tree to its root, in turn inside
+    stretches of ``stretch_rows`` neighbouring names and over all nodes at once; the latter alone ends in a number of
+    rounds that is logarithmic in the size of a tree whatever its depth. The recorded contractions are then undone in
+    reverse order. What cannot shrink further is one node per cycle, its own parent. An empty table gives no rows.
     """
-    live = links.select(
-        "node", F.col("parent").alias("up"), F.lit(1).alias("hops"), F.array().cast("array<string>").alias("via"),
-        F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("extra"),
+    live = first = cut_lineage(
+        links.select(
+            "node", F.col("parent").alias("up"), F.lit(1).alias("hops"), F.array().cast("array<string>").alias("via"),
+            F.lit(0).cast("long").alias("size"), F.lit(0).cast("long").alias("extra"),
+        )
     )
+    n_live = live.count()
     rounds: list[DataFrame] = []
     cores: list[DataFrame] = []
     for turn in range(max_rounds):
-        remaining, record, seen = _contract(live, turn)
-        both = cut_lineage(
-            remaining.withColumns({"child": F.lit(None).cast("string"), "between": F.lit(None).cast("long"), "taken": F.lit(False)}).unionByName(
-                record.withColumns({"taken": F.lit(True), "idle": F.lit(False)})
-            )
-        )
-        release(seen)
+        if turn % 2:
+            step, seen = _contract_once(live, turn)
+            both = cut_lineage(step)
+            release(seen)
+        else:
+            both = cut_lineage(_contract_stretches(live, n_live, stretch_rows))
         rounds.append(both)
         cores.append(_solve_idle(both.where("idle")))
         live = both.where("not taken and not idle").drop("taken", "idle", "child", "between")
         n_live = live.count()
-        if n_live <= local_rows:
-            if n_live:
-                cores.append(live.withColumnRenamed("size", "size_").coalesce(1).mapInPandas(_solve_local, SOLVED))
+        if not n_live:
             break
     else:
         raise RuntimeError(f"the hierarchy did not contract in {max_rounds} rounds")
@@ -139,7 +223,7 @@ def hierarchy(links: DataFrame, max_rounds: int = 200, local_rows: int = LOCAL_R
         grown = cut_lineage(_undo(solved, both.where("taken").drop("taken", "idle")))
         release(solved)
         solved = grown
-    release(*rounds)
+    release(first, *rounds)
     return solved
 
 
@@ -155,34 +239,6 @@ def _solve_idle(cores: DataFrame) -> DataFrame:
     )
 
 
-def _solve_local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rake all leaves of the last live nodes, one after another; what is left lies on cycles. Then undo the raking."""
-    rows = {r.node: r for batch in batches for r in batch.itertuples(index=False)}
-    up = {n: None if pd.isna(r.up) else r.up for n, r in rows.items()}
-    size = {n: int(r.size_) for n, r in rows.items()}
-    children = Counter(u for u in up.values() if u is not None)
-    leaves, raked = [n for n in rows if not children[n]], []
-    while leaves:
-        n = leaves.pop()
-        raked.append(n)
-        if (u := up[n]) is not None:
-            size[u] += size[n] + 1 + int(rows[n].extra)
-            children[u] -= 1
-            if not children[u]:
-                leaves.append(u)
-    solved = {n: (n, CYCLE, "", -1, None, None) for n in set(rows) - set(raked)}
-    for n in reversed(raked):
-        if up[n] is None:
-            solved[n] = (n, TREE, n, 0, [n], size[n])
-        else:
-            _, status, root, depth, path, _ = solved[up[n]]
-            if status == TREE:
-                solved[n] = (n, TREE, root, depth + int(rows[n].hops), [*path, *reversed(list(rows[n].via)), n], size[n])
-            else:
-                solved[n] = (n, BELOW, "", -2, None, None)
-    yield pd.DataFrame(list(solved.values()), columns=["node", "status", "root", "depth", "path", "n_descendants"]).astype({"n_descendants": "Int64"})
-
-
 def _undo(solved: DataFrame, record: DataFrame) -> DataFrame:
     """Put the nodes of one contraction back: first those spliced out (their child is solved), then the raked leaves."""
     spliced = _attach(solved, record.where("child is not null"))

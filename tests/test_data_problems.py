@@ -4,7 +4,12 @@ import datetime as dt
 import random
 from collections import Counter, defaultdict
 
-from tessera.operators.hierarchy import descendants, hierarchy, parent_links
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.operators.hierarchy import _contract_stretch, descendants, hierarchy, parent_links
 from tessera.operators.references import orphan_references, orphans_by_period
 from tessera.operators.skew import FragmentPlan, heavy_keys, key_counts, key_results, pack_loads, salted_join
 
@@ -150,14 +155,39 @@ def random_parents(seed, n):
     return {f"n{i}": None if r.random() < 0.1 else (f"n{i - 1}" if r.random() < 0.5 and i else f"n{r.randrange(n)}") for i in range(n)}
 
 
-def test_tree_contraction_alone(spark):
-    check_tree(spark, random_parents(1, 24), local_rows=0)
+@pytest.mark.parametrize("rows", [1, 5, 40])
+def test_tree_contraction_in_stretches_of_any_size(spark, rows):
+    check_tree(spark, random_parents(rows, 60), stretch_rows=rows)
 
 
-def test_tree_contraction_with_a_local_end(spark):
+def test_tree_contraction_of_a_chain_and_random_trees(spark):
     check_tree(spark, {f"c{i}": f"c{i - 1}" if i else None for i in range(150)} | random_parents(3, 80))
 
 
+@given(st.lists(st.one_of(st.none(), st.integers(0, 11)), min_size=1, max_size=12), st.integers(0, 4))
+@settings(max_examples=200, deadline=None)
+def test_one_stretch_is_contracted_exactly(parents, elsewhere):
+    """Nodes of one stretch in memory, some of whose children are elsewhere: what is taken out hangs from what stays."""
+    n = len(parents)
+    up = {f"n{i}": None if p is None else f"n{p % n}" for i, p in enumerate(parents)}
+    here = [f"n{i}" for i in range(n - min(elsewhere, n - 1))]
+    kids = Counter(u for u in up.values() if u)
+    rows = [{"node": x, "up": up[x], "hops": 1, "via": [], "size": 0, "extra": 0, "n_children": kids[x]} for x in here]
+    schema = pa.schema([("node", pa.string()), ("up", pa.string()), ("hops", pa.int32()), ("via", pa.list_(pa.string())), ("size", pa.int64()), ("extra", pa.int64()), ("n_children", pa.int64())])
+    out = [r for b in _contract_stretch(iter([pa.RecordBatch.from_pylist(rows, schema)])) for r in b.to_pylist()]
+    stays = {r["node"] for r in out if not r["taken"]} | (set(up) - set(here))
+    assert {r["node"] for r in out} == set(here)
+    for r in out:
+        walk, at = [], up[r["node"]]
+        for _ in range(r["hops"] - 1):
+            walk.append(at)
+            at = up[at]
+        if r["up"] is not None:
+            assert r["via"] == walk and at == r["up"]
+        if r["taken"]:
+            assert r["up"] in stays and (r["child"] is None or r["child"] in stays) and not kids[r["node"]] - sum(up[x] == r["node"] for x in here)
+
+
 def test_parent_links_clean_names(spark):
     df = spark.createDataFrame([(" a ", None, 1), ("b", "\ta", 1), ("b", "a ", 1), ("c", " ", 1), ("d", "gone", 1), (None, "a", 1), ("", "a", 1)], "q string, p string, node int")
     assert {tuple(x) for x in parent_links(df, "q", "p").collect()} == {("a", None), ("b", "a"), ("c", None), ("d", None)}
