@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import parallelism
+from tessera.session import cut_lineage, parallelism
 
 MAX_HEAVY = 4096
 """Most keys that are split. A key is split only if it holds more than one ``MAX_HEAVY``-th of all rows, so there
@@ -47,13 +47,15 @@ def pack_loads(loads: list[tuple[object, int]], tasks: int) -> dict[object, int]
 class FragmentPlan:
     """Where the rows of each key go: whole small keys by packed groups of keys, large keys by shards.
 
-    ``counts`` holds each key once with ``n_rows``. Keys above ``total / (tasks * split)`` rows are large: at most
-    ``tasks * split`` of them exist, so they may be collected and broadcast. All other keys fall into
+    ``counts`` holds each key once with its ``load`` (rows to route) and should be written, since it is read more than
+    once. Keys above ``total / (tasks * split)`` rows are large: at most ``tasks * split`` of them exist, so they may be
+    collected and broadcast. All other keys fall into
     ``tasks * groups_per_task`` hash groups (at most ``2 * MAX_HEAVY``), whose loads (a bounded number of sums) are packed like the shards.
     """
 
-    def __init__(self, counts: DataFrame, keys: list[str], tasks: int | None = None, split: int = 2, groups_per_task: int = 32):
+    def __init__(self, counts: DataFrame, keys: list[str], tasks: int | None = None, split: int = 2, groups_per_task: int = 32, load: str = "n_rows"):
         spark = counts.sparkSession
+        counts = counts.select(*keys, F.col(load).alias("n_rows"))
         self.keys, self.tasks = keys, min(tasks or parallelism(spark), MAX_HEAVY)
         self.groups = max(2 * self.tasks, min(self.tasks * groups_per_task, 2 * MAX_HEAVY))
         self.total = counts.agg(F.sum("n_rows")).first()[0] or 0
@@ -115,17 +117,20 @@ def key_results(
     """Per key: ``n_rows``, ``n_<mean>`` (not null), ``mean_<mean>``, ``distinct_<distinct>`` and, where ``side`` (keys
     and other columns) is given, ``n_matches``, the pairs of a row and a row of ``side`` with the same key.
 
-    Rows of a large key are spread over shards by ``distinct``, so distinct values are counted whole inside a shard
-    and the shards only add up; nothing but sums per shard moves afterwards. Null keys form keys of their own (and
+    Rows are first summed per key and value of ``distinct``, map-side before the shuffle; that table is written once and
+    carries the estimated loads. Its rows of a large key are spread over shards by ``distinct``, so distinct values are
+    counted whole inside a shard and the shards only add up; nothing but sums per shard moves afterwards. Null keys form keys of their own (and
     match nulls of ``side``); null ``distinct`` and ``mean`` values are not counted. An empty table gives no rows;
     names of other columns do not matter.
     """
     left = rows.select(*keys, F.col(distinct).alias("_distinct"), F.col(mean).cast("double").alias("_mean"))
-    plan = FragmentPlan(key_counts(left, keys), keys, tasks)
-    routed = plan.route(left, ["_distinct"])
-    per_value = routed.groupBy("task", *keys, "_distinct").agg(
-        F.count("*").alias("n"), F.count("_mean").alias("n_mean"), F.sum("_mean").alias("total")
+    # one row per key and value before anything is routed: a value with most rows of a key is one row
+    per_value = cut_lineage(
+        left.groupBy(*keys, "_distinct").agg(F.count("*").alias("n"), F.count("_mean").alias("n_mean"), F.sum("_mean").alias("total"))
     )
+    counts = cut_lineage(per_value.groupBy(*keys).agg(F.count("*").alias("n_values"), F.sum("n").alias("n_rows")))
+    plan = FragmentPlan(counts, keys, tasks, load="n_values")
+    per_value = plan.route(per_value, ["_distinct"])
     per_shard = per_value.groupBy("task", *keys).agg(
         F.sum("n").alias("n"), F.sum("n_mean").alias("n_mean"), F.sum("total").alias("total"), F.count("_distinct").alias("callers")
     )
