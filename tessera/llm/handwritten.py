@@ -125,6 +125,7 @@ def glob_to_regex(glob: Column) -> Column:
     anchored = glob.contains("/")
     body = F.regexp_replace(glob, r"^/", "")
     body = F.regexp_replace(body, r"([.+^$(){}|\\])", r"\\$1")
+    body = F.regexp_replace(body, r"\[!", "[^")
     body = F.regexp_replace(body, r"\*\*/", "\u0001")
     body = F.regexp_replace(body, r"\*\*", "\u0002")
     body = F.regexp_replace(body, r"\*", "[^/]*")
@@ -133,31 +134,57 @@ def glob_to_regex(glob: Column) -> Column:
     return F.concat(F.when(anchored, "^").otherwise("^(?:.*/)?"), body, F.lit("$"))
 
 
+ATTRIBUTE = r"^([-!]?)(?:linguist-)?(generated|vendored)(?:=(\w+))?$"
+
+
 def attribute_rules(files: DataFrame) -> DataFrame:
-    """Rules of the repositories' attribute files: ``repo, directory, line, pattern, marked``.
+    """Rules of the repositories' attribute files: ``repo, directory, line, pattern, attribute, marked``.
 
-    Lines that set, unset or negate a generated or vendored mark count; ``marked`` is false for ``-mark``, ``!mark``
-    and ``mark=false``. Comments, blank lines and other attributes are left out.
+    Generated and vendored are attributes of their own: a line gives one rule for each that it sets (true), unsets or
+    negates (``-mark``, ``mark=false``: false) or takes back (``!mark``: null). Comments, blank lines and other
+    attributes are left out. Of an attribute file that was indexed twice the row with the highest id counts.
     """
-    rows = files.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).select(
+    latest = files.where(F.col("path").rlike(r"(^|/)\.gitattributes$")).groupBy("path").agg(F.max_by("content", "id").alias("content"))
+    rows = latest.select(
         F.substring_index("path", "/", 1).alias("repo"),
         F.regexp_replace("path", r"[^/]*$", "").alias("directory"),
         F.posexplode(F.split(F.regexp_replace(F.coalesce("content", F.lit("")), "\r", ""), "\n")).alias("line", "text"),
     )
-    pattern = F.regexp_extract("text", r"^\s*([^\s#]\S*)\s", 1)
-    mark = F.regexp_extract("text", r"\s([-!]?)(?:linguist-)?(?:generated|vendored)(?:=(\w+))?(?=\s|$)", 0)
-    return rows.select(
-        "repo", "directory", "line", glob_to_regex(pattern).alias("pattern"),
-        (~F.trim(mark).rlike("^[-!]") & ~F.trim(mark).rlike("=(false|unset)$")).alias("marked"), mark.alias("_mark"), pattern.alias("_glob"),
-    ).where("_mark != '' and _glob != ''").drop("_mark", "_glob")
+    quoted = F.regexp_extract("text", r'^\s*"((?:[^"\\]|\\.)*)"\s', 1)
+    glob = F.when(quoted != "", quoted).otherwise(F.regexp_extract("text", r'^\s*([^\s#"!]\S*)\s', 1))
+    told = rows.select("repo", "directory", "line", glob.alias("glob"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("place", "word")).where("glob != ''")
+    told = told.where(F.col("word").rlike(ATTRIBUTE))
+    sign, value = F.regexp_extract("word", ATTRIBUTE, 1), F.regexp_extract("word", ATTRIBUTE, 3)
+    marked = F.when(sign != "!", (sign == "") & ~value.isin("false", "unset"))
+    rules = told.select("repo", "directory", "line", glob_to_regex(F.col("glob")).alias("pattern"), F.regexp_extract("word", ATTRIBUTE, 2).alias("attribute"), marked.alias("marked"), "place")
+    # the last word of a line on an attribute counts
+    return rules.groupBy("repo", "directory", "line", "pattern", "attribute").agg(F.max_by(F.struct("marked"), "place")["marked"].alias("marked"))
+
+
+def directories_above(path: Column | str) -> Column:
+    """The directories that hold a path, each with its last slash; ``''`` is the topmost."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.concat_ws("", F.transform(F.slice(parts, 1, i), lambda p: F.concat(p, F.lit("/")))))
 
 
 def apply_attributes(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``id, marked`` of the files that a rule of their repository matches: the deepest directory's rule wins, then the
-    latest line. Rules and files meet on the repository, so only declared repositories are looked at."""
-    below = F.col("path").startswith(F.col("directory"))
-    hits = files.join(rules, F.substring_index("path", "/", 1) == F.col("repo")).where(below & F.expr("rlike(substring(path, length(directory) + 1), pattern)"))
-    return hits.groupBy("id").agg(F.max_by("marked", F.struct(F.length("directory"), "line")).alias("marked"))
+    """``id, marked`` of the files that a rule matches. For each attribute the deepest directory's rule wins, then the
+    latest line; a file is marked if either attribute is set, and unmarked if one is unset and none set.
+
+    Files meet the rules of the directories above them, one row per attribute file, so a repository with very many
+    files or rules is no group; directories that hold very many files are salted.
+    """
+    per_directory = rules.groupBy("directory").agg(F.collect_list(F.struct("line", "pattern", "attribute", "marked")).alias("rules"))
+    above = files.select("id", "path", F.explode(directories_above("path")).alias("directory"))
+    weights = above.join(per_directory.select("directory"), "directory", "left_semi").groupBy("directory").agg(F.count("*").alias("n"))
+    keyed = cut_lineage(per_directory.join(weights, "directory"))
+    met = salted_join(above, keyed, "directory", weight="n", salt="id").select(
+        "id", F.expr("filter(rules, r -> rlike(substring(path, length(directory) + 1), r.pattern))").alias("rules"), F.length("directory").alias("depth")
+    )
+    hits = met.select("id", "depth", F.inline("rules"))
+    # an unspecified attribute has to outrank shallower rules too, so the deciding rule is taken as a struct
+    decided = hits.groupBy("id", "attribute").agg(F.max_by(F.struct("marked"), F.struct("depth", "line"))["marked"].alias("marked"))
+    return decided.groupBy("id").agg(F.max("marked").alias("marked")).where("marked is not null")
 
 
 def mine_folders(folders: DataFrame, least: int = 6, share: float = 0.25) -> tuple[DataFrame, DataFrame]:
@@ -196,14 +223,28 @@ def mine_folders(folders: DataFrame, least: int = 6, share: float = 0.25) -> tup
     return kept, exceptions
 
 
+def name_tail(path: Column | str) -> Column:
+    """The end of a file name that a glob like ``*_pb2.py`` stands for: its last part before the extension, with what
+    parts it off, and the extension; empty where the name has one part only."""
+    return F.lower(F.regexp_extract(path, r"[^/]([._\-][A-Za-z0-9]+\.[A-Za-z0-9]+)$", 1))
+
+
+def mine_names(seen: DataFrame, says: Column, least: int = 6, share: float = 0.5) -> DataFrame:
+    """Ends of file names (``tail``, ``n``) that mostly files have which say so: globs equivalent to attribute rules."""
+    tails = seen.select(name_tail("path").alias("tail"), says.alias("says")).where("tail != ''").groupBy("tail").agg(F.count("*").alias("n"), F.sum("says").alias("n_said"))
+    return tails.where((F.col("n") >= least) & (F.col("n_said") > share * F.col("n"))).select("tail", "n")
+
+
 def find_not_handwritten(files: DataFrame) -> DataFrame:
     """``file_id, reason`` of the source files that a tool made, that are minified, third-party or data.
 
-    A file is a case if its content says so (a tool's or another project's head comment, minified text, tables of data,
-    lines all of one make), or if its place does: by the attribute files of its repository where there are any, else by
-    the patterns mined over all repositories and the known names. Configuration files are never cases; null or empty
-    contents are judged by place alone; rows with a null path are left out; repeated files count each; the recorded
-    size plays no part, since it is unreliable.
+    ``reason`` is ``declared`` where the attribute files of the repository mark the file. Repositories without such
+    files get the equivalent patterns that are mined over all repositories: folders and ends of names whose files mostly
+    declare themselves or are marked elsewhere, and the well-known ones (``place``). Else the content decides by what it
+    says of itself: a tool's or another project's head comment, minified text, tables of data, lines all of one make.
+    A file that attributes unmark is no case. Configuration files are never cases; null or empty contents are judged by
+    place alone; rows with a null path are left out; repeated files count each; the recorded size plays no part, since
+    it is unreliable.
     """
     chosen = files.select("id", "path", "content").where("path is not null")
     rules = attribute_rules(chosen)
@@ -220,15 +261,19 @@ def find_not_handwritten(files: DataFrame) -> DataFrame:
     nexts = steps.withColumn("child", F.lead("name").over(Window.partitionBy("folder").orderBy("depth")))
     matched = nexts.join(kept, "name").join(exceptions.withColumn("except", F.lit(True)), ["name", "child"], "left")
     placed = matched.groupBy("folder").agg(F.max_by(F.col("except").isNull(), "depth").alias("by_place"))
-    placed = cut_lineage(placed.where("by_place").join(folders, "folder").select("folder", "n"))
-    in_place = salted_join(judged.select("id", "path", "folder"), placed, "folder", weight="n", salt="id").select("id", F.lit(True).alias("by_place"))
+    # repositories that declare their own rules take no mined ones
     declared = rules.select("repo").distinct().withColumn("declared", F.lit(True))
-    verdict = (
-        seen.withColumn("repo", F.substring_index("path", "/", 1))
-        .join(in_place, "id", "left")
-        .join(declared, "repo", "left")
+    judging = folders.join(placed, "folder", "left").withColumn("repo", F.substring_index("folder", "/", 1)).join(declared, "repo", "left")
+    judging = cut_lineage(judging.where("by_place or declared").select("folder", "n", "by_place", "declared"))
+    in_place = salted_join(judged.select("id", "folder"), judging, "folder", weight="n", salt="id").select("id", "by_place", "declared").dropDuplicates(["id"])
+    tailed = judged.select("id", name_tail("path").alias("tail")).where("tail != ''")
+    by_name = salted_join(tailed, cut_lineage(mine_names(seen, says)), "tail", weight="n", salt="id").select("id", F.lit(True).alias("by_name")).dropDuplicates(["id"])
+    verdict = seen.join(in_place, "id", "left").join(by_name, "id", "left")
+    mined = F.coalesce("by_place", F.lit(False)) | F.coalesce("by_name", F.lit(False)) | F.col("path").rlike(KNOWN_NAMES)
+    reason = (
+        F.when(~F.col("marked"), None)
+        .when(F.col("marked"), "declared")
+        .when(F.col("declared").isNull() & mined, "place")
+        .otherwise(F.col("said"))
     )
-    place = F.when(F.col("marked"), "declared").when(F.col("marked").isNull() & F.col("declared").isNull() & F.col("by_place"), "place")
-    name = F.when(F.col("path").rlike(KNOWN_NAMES), "name")
-    reason = F.when(F.coalesce(~F.col("marked"), F.lit(False)), None).otherwise(F.coalesce("said", place, name))
     return verdict.select(F.col("id").alias("file_id"), reason.alias("reason")).where("reason is not null")

@@ -118,6 +118,25 @@ def test_attributes_take_the_deepest_and_latest_rule(spark):
     assert {r.file_id for r in find_not_handwritten(df).collect()} == {3, 5}
 
 
+def test_generated_and_vendored_are_resolved_each_by_itself(spark):
+    rules = "*.go linguist-generated=false linguist-vendored\nlib/** linguist-vendored\n*.py -linguist-generated\nold/*.js linguist-vendored linguist-generated=false\n*.js !linguist-vendored\n\"a b/*\" generated\n"
+    rows = [(0, "r/.gitattributes", rules)]
+    rows += [(i, p, "x = 1") for i, p in enumerate(("r/x.go", "r/lib/a.py", "r/c.py", "r/old/d.js", "r/a b/e.kt", "r/f.kt"), 1)]
+    df = spark.createDataFrame(rows, "id long, path string, content string")
+    marked = {r.id: r.marked for r in apply_attributes(df.select("id", "path"), attribute_rules(df)).collect()}
+    # in a repository without a rule for them files stay unmarked; what is taken back leaves the other attribute's word
+    assert marked == {1: True, 2: True, 3: False, 4: False, 5: True}
+
+
+def test_a_name_pattern_is_mined_where_most_such_files_say_so(spark):
+    made = "// Code generated by t. DO NOT EDIT.\n"
+    rows = [(i, f"r/s/zz{i}_deep.go", made) for i in range(8)] + [(10 + i, f"r/u/a{i}_case.go", made if i == 0 else "package a") for i in range(8)]
+    rows += [(30, "q/t/x_deep.go", "package x"), (31, "p/.gitattributes", "none/* linguist-generated\n"), (32, "p/t/y_deep.go", "package y")]
+    df = spark.createDataFrame(rows, "id long, path string, content string")
+    got = {r.file_id: r.reason for r in find_not_handwritten(df).collect()}
+    assert set(got) == {*range(8), 10, 30} and got[30] == "place" and got[10] == "generated"
+
+
 def test_mined_folders_and_their_exceptions(spark):
     rows = [("r/build/gen/", 20, 20), ("q/build/scripts/", 20, 0), ("r/src/codegen/", 30, 1), ("r/src/core/", 100, 5)]
     kept, exceptions = mine_folders(spark.createDataFrame(rows, "folder string, n long, n_said long"))
