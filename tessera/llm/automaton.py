@@ -143,69 +143,113 @@ class _Pattern:
 class Automaton:
     """The union of ``patterns`` (name, pattern, fold case), unanchored, made deterministic.
 
-    ``find`` gives the end offset and the bit set of names for every place where a pattern ends. No pattern may match a
-    NUL byte, which separates texts. Matches may be of any length: where a chunk's state after the ``overlap`` is not the
-    one that the chunk before ended in, it is run again from there until both agree.
+    ``find`` gives the end offset and the bit set of names for every place where a pattern ends, ``start_of`` the start of
+    the longest match with a given end, by the mirror image of the pattern. No pattern may match a NUL byte, which
+    separates texts. States are made when a text first needs them, so whole grammars fit beside each other. Matches may
+    be of any length: where a chunk's state after the ``overlap`` is not the one that the chunk before ended in, it is
+    run again from there until both agree.
     """
 
-    def __init__(self, patterns: list[tuple[str, str, bool]], chunk: int = 4096, overlap: int = 512, max_states: int = 60_000):
+    def __init__(self, patterns: list[tuple[str, str, bool]], chunk: int = 4096, overlap: int = 512, max_states: int = 100_000):
         self.names = [p[0] for p in patterns]
-        self.chunk, self.overlap = chunk, overlap
-        nfa = _Nfa()
+        self.chunk, self.overlap, self.max_states = chunk, overlap, max_states
+        self.nfa = nfa = _Nfa()
         start = nfa.state()
-        accept: dict[int, int] = {}
+        self.accept: dict[int, int] = {}
+        self.entries: list[int] = []
+        self.ends: list[int] = []
         for bit, (_, text, fold) in enumerate(patterns):
             entry = nfa.state()
             nfa.free[start].append(entry)
             parser = _Pattern(nfa, text, fold)
-            accept[parser.choice(entry)] = 1 << bit
+            end = parser.choice(entry)
+            self.accept[end] = 1 << bit
+            self.entries.append(entry)
+            self.ends.append(end)
             assert parser.at == len(text), text
         # byte classes: bytes that no move tells apart
         sets = list({chars for moves in nfa.moves for chars, _ in moves})
         kinds: dict[tuple, int] = {}
         self.classes = np.array([kinds.setdefault(tuple(b in s for s in sets), len(kinds)) for b in range(256)], np.uint16)
-        width = len(kinds)
-        member = {s: {self.classes[b] for b in s} for s in sets}
-
-        def closure(states: frozenset) -> frozenset:
-            todo, seen = list(states), set(states)
-            while todo:
-                for t in nfa.free[todo.pop()]:
-                    if t not in seen:
-                        seen.add(t)
-                        todo.append(t)
-            return frozenset(s for s in seen if nfa.moves[s] or s in accept)
-
-        base = closure(frozenset([start]))
-        index, rows, hits, todo = {base: 0}, [], [], [base]
-        known: dict[frozenset, int] = {frozenset(): 0}
-        for current in todo:
-            targets: list[set[int]] = [set() for _ in range(width)]
-            for s in current:
-                for chars, t in nfa.moves[s]:
-                    for k in member[chars]:
-                        targets[k].add(t)
-            row = []
-            for t in map(frozenset, targets):
-                if t not in known:
-                    nxt = closure(t) | base
-                    if nxt not in index:
-                        index[nxt] = len(index)
-                        todo.append(nxt)
-                        assert len(index) <= max_states, "the patterns need too many states"
-                    known[t] = index[nxt]
-                row.append(known[t])
-            rows.append(row)
-            hits.append(sum({accept[s] for s in current if s in accept}))
-        self.width = width
-        self.table = np.array(rows, np.int32).ravel() * width
-        self.hits = np.array(hits, np.int64)
+        self.width = len(kinds)
+        member = {s: frozenset(int(self.classes[b]) for b in s) for s in sets}
+        self.steps = [[(member[chars], t) for chars, t in moves] for moves in nfa.moves]
+        self.back: list[list[tuple[frozenset, int]]] = [[] for _ in nfa.moves]
+        self.back_free: list[list[int]] = [[] for _ in nfa.moves]
+        for s, moves in enumerate(nfa.moves):
+            for chars, t in moves:
+                self.back[t].append((member[chars], s))
+            for t in nfa.free[s]:
+                self.back_free[t].append(s)
+        self.base = self._closure(frozenset([start]), nfa.free)
+        self.mirrors: dict[tuple[int, frozenset, int], frozenset] = {}
+        self._reset()
+
+    @staticmethod
+    def _closure(states: frozenset, free: list[list[int]]) -> frozenset:
+        todo, seen = list(states), set(states)
+        while todo:
+            for t in free[todo.pop()]:
+                if t not in seen:
+                    seen.add(t)
+                    todo.append(t)
+        return frozenset(seen)
+
+    def _reset(self) -> None:
+        self.index: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.known: dict[frozenset, int] = {frozenset(): 0}
+        self.table = np.full(1024 * self.width, -1, np.int32)
+        self.hits = np.zeros(1024, np.int64)
+        self._state(self.base)
+
+    def _state(self, nfa_states: frozenset) -> int:
+        kept = frozenset(s for s in nfa_states if self.steps[s] or s in self.accept)
+        n = self.index.get(kept)
+        if n is None:
+            n = self.index[kept] = len(self.sets)
+            self.sets.append(kept)
+            if n == len(self.hits):
+                self.table = np.concatenate([self.table, np.full(len(self.table), -1, np.int32)])
+                self.hits = np.concatenate([self.hits, np.zeros(n, np.int64)])
+            self.hits[n] = sum({self.accept[s] for s in kept if s in self.accept})
+        return n
+
+    def _make(self, cell: int) -> int:
+        """The value of one cell of the table: the row offset of the state that follows."""
+        n, kind = divmod(cell, self.width)
+        targets = frozenset(t for s in self.sets[n] for chars, t in self.steps[s] if kind in chars)
+        nxt = self.known.get(targets)
+        if nxt is None:
+            nxt = self.known[targets] = self._state(self._closure(targets, self.nfa.free) | self.base)
+        self.table[cell] = nxt * self.width
+        return nxt * self.width
+
+    def start_of(self, kinds: np.ndarray, end: int, bit: int) -> int | None:
+        """Where the longest match of pattern ``bit`` that ends at ``end`` begins; ``kinds`` are byte classes."""
+        now, at, best = self._closure(frozenset([self.ends[bit]]), self.back_free), end, None
+        while at > 0:
+            key = (bit, now, int(kinds[at - 1]))
+            nxt = self.mirrors.get(key)
+            if nxt is None:
+                if len(self.mirrors) > self.max_states:
+                    self.mirrors.clear()
+                nxt = self._closure(frozenset(s for t in now for chars, s in self.back[t] if key[2] in chars), self.back_free)
+                self.mirrors[key] = nxt
+            if not nxt:
+                break
+            now, at = nxt, at - 1
+            if self.entries[bit] in now:
+                best = at
+        return best
 
     def find(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``buffer`` is one array of bytes. Offsets are those just past a match; each is given once."""
         n = len(buffer)
         if not n:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.sets) > self.max_states:
+            self._reset()
         size, step = self.chunk, self.chunk - self.overlap
         count = max(1, -(-(n - self.overlap) // step))
         padded = np.zeros(count * step + self.overlap, np.uint16)
@@ -217,7 +261,12 @@ class Automaton:
         starts = np.arange(count, dtype=np.int64) * step
         entered = state
         for j in range(size):
-            state = self.table[state + chunks[j]]
+            cells = state + chunks[j]
+            state = self.table[cells]
+            if state.min() < 0:
+                for cell in np.unique(cells[state < 0]).tolist():
+                    self._make(cell)
+                state = self.table[cells]
             if j == self.overlap - 1:
                 entered = state
             hit = self.hits[state // self.width]
@@ -234,7 +283,12 @@ class Automaton:
             more, found = [], []
             while at < stop and true != held:
                 kind = int(padded[at])
-                true, held = int(self.table[true + kind]), int(self.table[held + kind])
+                cell, other = true + kind, held + kind
+                true, held = int(self.table[cell]), int(self.table[other])
+                if true < 0:
+                    true = self._make(cell)
+                if held < 0:
+                    held = self._make(other)
                 at += 1
                 if hit := int(self.hits[true // self.width]):
                     more.append(at)

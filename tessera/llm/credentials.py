@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections.abc import Iterator
@@ -26,21 +27,35 @@ PLACEHOLDERS = frozenset(
     "your-token your_token your-password yourpassword mysecret my-secret insert-here foo bar foobar string xxx".split()
 )
 
-# each pattern ends where its credential, or the place from which it is read, is certain
+# Formats of tokens. The first two characters of the variable part already tell where a token may begin.
+TOKENS = [
+    ("cloud", r"(AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}"),
+    ("forge", r"(gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20,})"),
+    ("chat", r"xox[abeprs]-[0-9A-Za-z\-]{16,}"),
+    ("live", r"[a-z]{2,8}_live_[0-9A-Za-z]{14,}"),
+    ("search", r"AIza[0-9A-Za-z_\-]{30,}"),
+    ("mail", r"SG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}"),
+    ("package", r"(npm_[0-9A-Za-z]{30,}|pypi-[0-9A-Za-z_\-]{40,}|hvs\.[0-9A-Za-z_\-]{20,})"),
+    ("jwt", r"eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}"),
+]
+#: the whole of a key in armor: five hyphens in a row only stand at its head and its end
+ARMOR = r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----([^\-]|-[^\-]|--[^\-]|---[^\-]|----[^\-])*-----END [A-Z0-9 ]*PRIVATE KEY( BLOCK)?-----"
+#: from the end of the scheme to the end of the password; a password may hold further at signs
+CONNECTION = r"""://[^\s\n\r/@:"'`<>]*:[^\s\n\r"'`/@]+(@[^\s\n\r"'`/@]+)*@"""
+# the first patterns end where a credential ends and give its span; the others end where one may be read from
 PATTERNS = [
-    ("cloud", r"(AKIA|ASIA|AROA|AIDA)[0-9A-Z]{2}", False),
-    ("forge", r"(gh[pousr]_|github_pat_|glpat-)[A-Za-z0-9_]{2}", False),
-    ("chat", r"xox[abeprs]-[0-9A-Za-z]{2}", False),
-    ("live", r"[a-z]_(live|test)_[0-9A-Za-z]{2}", False),
-    ("other", r"(AIza[0-9A-Za-z_\-]{2}|SG\.[0-9A-Za-z_\-]{2}|npm_[0-9A-Za-z]{2}|pypi-[0-9A-Za-z]{2}|hvs\.[0-9A-Za-z]{2})", False),
-    ("jwt", r"eyJ[A-Za-z0-9_\-]{2}", False),
-    ("armor", r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY", False),
-    ("url", r"://[^\s\n\r/@:\"'`<>]*:[^\s\n\r/@\"'`]+@", False),
-    ("named", rf"({SECRET_WORDS})\w*[\"'\]\s]*[:=]", True),
+    *((name, pattern, False) for name, pattern in TOKENS),
+    ("armor", ARMOR, False),
+    ("url", CONNECTION, False),
+    ("joined", r"(AKIA|ASIA|AROA|AIDA|gh[pousr]_|github_pat_|glpat-|xox[abeprs]-|[a-z]_live_|AIza|SG\.|npm_|pypi-|hvs\.|eyJ)[0-9A-Za-z_\-]*[\"'`][ \t]*(\+|\.\.|\.)?[ \t]*\\?\n?[ \t]*[\"'`]", False),
+    ("named", rf"({SECRET_WORDS})[\w.\-]*[\"'\]\s]*[:=]", True),
     ("query", r"[?&;]\w*(token|key|secret|password|pwd|sig|signature)=", True),
     ("header", r"(basic|bearer|token)\s\w", True),
     ("remark", rf"({SECRET_WORDS}|login)", True),
 ]
+BIT = {p[0]: i for i, p in enumerate(PATTERNS)}
+SPANS = len(TOKENS) + 3
+"""The first patterns, whose matches are spans."""
 
 
 @functools.cache
@@ -48,21 +63,14 @@ def _automaton() -> Automaton:
     return Automaton(PATTERNS)
 
 
-TOKEN = re.compile(
-    r"""(?:AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}(?![0-9A-Za-z])
-    |gh[pousr]_[A-Za-z0-9]{30,255}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20,}
-    |xox[abeprs]-[0-9A-Za-z\-]{16,}
-    |\b[a-z]{2,8}_live_[0-9A-Za-z]{14,}
-    |AIza[0-9A-Za-z_\-]{30,}|SG\.[0-9A-Za-z_\-]{16,}\.[0-9A-Za-z_\-]{16,}|npm_[0-9A-Za-z]{30,}|pypi-[0-9A-Za-z_\-]{40,}|hvs\.[0-9A-Za-z_\-]{20,}
-    |eyJ[A-Za-z0-9_\-]{8,}\.eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}""",
-    re.X,
-)
-#: a token that is written as joined literals is looked for in the line with the joints taken out
+#: the same formats on a line whose joined literals are put together
+TOKEN = re.compile("|".join(pattern for _, pattern in TOKENS))
+#: what a token consists of, and what stands between the literals of one that is written in pieces
+PIECE = re.compile(r"[0-9A-Za-z_\-.]+")
 JOINT = re.compile(r"""(["'`])[ \t]*(?:\+|\.\.|\.)?[ \t]*\\?\n?[ \t]*(["'`])""")
 #: what stands between a literal and one that is added to it
 ADDED = re.compile(r"""[ \t]*(?:[+.][ \t]*(?:\r?\n[ \t]*)?|\\?\r?\n[ \t]*[+.][ \t]*)(["'`])""")
-ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
-URL = re.compile(r"""[A-Za-z][A-Za-z0-9+.\-]*://[^\s/@:"'`<>]*:(?P<v>[^\s"'`/@]+(?:@(?=[^\s"'`/@]*@)[^\s"'`/@]+)*)@""")
+HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 NAMED = re.compile(
     rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)["'\]]*\s*(?::\s*[A-Za-z&'?\[\]<>]+(?:[ \t]+[A-Za-z]+)?\s*(?==))?(?P<sep>:=|=>|=(?!=)|:(?!:))[ \t]*
     (?P<open>(?:[rbuf]|@|r\#+)?(?P<q>\"\"\"|'''|["'`]))?""",
@@ -74,6 +82,7 @@ NAME_OK = re.compile(
 QUERY = re.compile(r"""[?&;]\w*(?i:token|key|secret|password|pwd|signature)=(?P<v>[^\s"'`&;<>]+)""")
 HEADER = re.compile(r"""(?:["'\s])(?i:basic|bearer|token)\s+(?P<v>[A-Za-z0-9+/_=.\-]{12,})""")
 REMARK = re.compile(rf"""(?i:\b(?:{SECRET_WORDS}|logins?)\b)[^\n]{{0,60}}?(?:\s(?:was|is|are|now)\s+|->\s*|\s/\s|=\s*|:\s+)(?P<v>[^\s"'`,;)]+)[ \t\r*/#\->]*$""")
+BARE, BARE_CODE = re.compile(r"[^\s\"'`,]+"), re.compile(r"[^\s\"'`,;)\]}&]+")
 COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')|(?:\s//|\s#)\s")
 # Extensions of languages in which a value must be a literal.
 CODE = frozenset("py js ts tsx jsx java go cs rs kt c cc cpp h rb php swift scala".split())
@@ -108,10 +117,12 @@ def _joined(text: str, begin: int, quote: str) -> tuple[str, list[tuple[int, int
     """The value of a string literal from ``begin`` (after its quote), with further literals that are added to it."""
     parts, value, at = [], "", begin
     while True:
-        end = text.find(quote, at)
+        stop = text.find("\n", at)
+        stop = len(text) if stop < 0 else stop
+        end = text.find(quote, at, stop)
         while end > 0 and len(quote) == 1 and text[end - 1] == "\\":
-            end = text.find(quote, end + 1)
-        if end < 0 or "\n" in text[at:end]:
+            end = text.find(quote, end + 1, stop)
+        if end < 0:
             return (value, parts) if parts else None
         value += text[at:end]
         parts.append((at, end))
@@ -121,103 +132,137 @@ def _joined(text: str, begin: int, quote: str) -> tuple[str, list[tuple[int, int
         quote, at = more.group(1), more.end()
 
 
-def _spans_at(text: str, line_start: int, line_end: int, end: int, kinds: set[str], extension: str) -> Iterator[tuple[list[tuple[int, int]], str]]:
-    """The credentials that a hit ending at ``end`` in this line stands for: their parts as absolute spans, and the kind."""
-    line = text[line_start:line_end]
-    if kinds & {"cloud", "forge", "chat", "live", "other", "jwt"}:
-        for m in TOKEN.finditer(line):
-            if _usable(m.group(0)) or m.group(0).count(".") == 2:
-                yield [(line_start + m.start(), line_start + m.end())], "token"
-        if JOINT.search(line):
-            flat, where = [], []
-            last = 0
-            for j in JOINT.finditer(line):
-                flat.append(line[last : j.start()])
-                where.extend(range(last, j.start()))
-                last = j.end()
-            flat.append(line[last:])
-            where.extend(range(last, len(line)))
-            for m in TOKEN.finditer("".join(flat)):
-                at = where[m.start() : m.end()]
-                parts, begin = [], at[0]
-                for a, b in zip(at, [*at[1:], None]):
-                    if b is None or b != a + 1:
-                        parts.append((line_start + begin, line_start + a + 1))
-                        begin = b
-                if len(parts) > 1:
-                    yield parts, "token"
-    if "armor" in kinds:
-        m = ARMOR.match(text, text.rfind("-----BEGIN", line_start, end))
-        if m:
-            # the next head of the same kind ends what has no end mark of its own
-            following = text.find(m.group(0), m.end())
-            stop = text.find(f"-----END {m.group(1)}-----", m.end(), following if following >= 0 else len(text))
-            body = text[m.end() : max(stop, m.end())]
-            if len(re.findall(r"[A-Za-z0-9+/=]", body.replace("\\n", ""))) >= 48 and len(set(body)) > 12:
-                yield [(m.end(), stop)], "private key"
-    if "url" in kinds:
-        for m in URL.finditer(line):
-            v = m.group("v")
-            if len(v) >= 4 and not re.search(r"\$|\{|<|%\w*\(|^\*+$|^x+$", v) and v.lower() not in PLACEHOLDERS and len(set(v)) > 2:
-                yield [(line_start + m.start("v"), line_start + m.end("v"))], "connection"
+def _exact(text: str, begin: int, end: int, kind: str) -> tuple[tuple[int, int], str] | None:
+    """The credential inside a match of the automaton, and its kind, if it is a usable one."""
+    if kind == "armor":
+        head = HEAD.match(text, begin)
+        stop = text.rfind("-----END ", begin, end)
+        body = text[head.end() : stop]
+        if text[stop + 9 : end - 5] == head.group(1) and len(re.findall(r"[A-Za-z0-9+/=]", body.replace("\\n", ""))) >= 48 and len(set(body)) > 12:
+            return (head.end(), stop), "private key"
+    elif kind == "url":
+        v = text.index(":", begin + 3) + 1
+        value = text[v : end - 1]
+        if begin and text[begin - 1].isalnum() and len(value) >= 4 and not re.search(r"\s|\$|\{|<|%\w*\(|^\*+$|^x+$", value) and value.lower() not in PLACEHOLDERS and len(set(value)) > 2:
+            return (v, end - 1), "connection"
+    else:
+        value = text[begin:end]
+        if kind == "cloud" and text[end : end + 1].isalnum() or kind == "live" and begin and re.match(r"\w", text[begin - 1]):
+            return None
+        if _usable(value) or value.count(".") == 2:
+            return (begin, end), "token"
+    return None
+
+
+class _Line:
+    """One line of a text with what is asked of it again and again, each found once."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.start, self.end, self.line = start, end, text[start:end]
+        self.done: set[str] = set()
+
+    @functools.cached_property
+    def comment(self) -> bool:
+        return bool(COMMENT.search(self.line))
+
+    @functools.cached_property
+    def quotes(self) -> list[list[int]]:
+        return [[i for i, c in enumerate(self.line) if c == q] for q in "\"'`"]
+
+    def in_string(self, at: int) -> bool:
+        return any(bisect.bisect_left(places, at - self.start) % 2 for places in self.quotes)
+
+
+def _named_at(text: str, end: int, line: _Line, extension: str) -> list[tuple[int, int]] | None:
+    """The value that is given to the name whose separator ends at ``end``."""
+    at = end - 1
+    while at > line.start and text[at - 1] in " \t\"']":
+        at -= 1
+    begin = at
+    while begin > line.start and (text[begin - 1].isalnum() and text[begin - 1].isascii() or text[begin - 1] in "_.-"):
+        begin -= 1
+    while begin < at and not (text[begin].isalpha() or text[begin] == "_"):
+        begin += 1
+    m = NAMED.match(text, begin)
+    if not m or not NAME_OK.search(m.group("name")):
+        return None
+    if m.group("q"):
+        got = _joined(text, m.end(), m.group("q"))
+        return got[1] if got and _usable(got[0]) else None
+    v = (BARE_CODE if extension in CODE else BARE).match(text, m.end(), max(line.end, m.end()))
+    if v and (extension not in CODE or line.comment or line.in_string(begin)) and not re.match(r"[\w.]+\(|[\[{(]", v.group(0)) and _usable(v.group(0).rstrip(".")):
+        return [(v.start(), v.end())]
+    return None
+
+
+def _read_from(text: str, line: _Line, kinds: set[str]) -> Iterator[tuple[list[tuple[int, int]], str]]:
+    """Credentials of a line that has hits of ``kinds``, each kind being read once per line."""
+    kinds = kinds - line.done
+    line.done |= kinds
     if "query" in kinds:
-        for m in QUERY.finditer(line):
+        for m in QUERY.finditer(line.line):
             if _usable(m.group("v"), weak=True):
-                yield [(line_start + m.start("v"), line_start + m.end("v"))], "query"
+                yield [(line.start + m.start("v"), line.start + m.end("v"))], "query"
     if "header" in kinds:
-        for m in HEADER.finditer(line):
+        for m in HEADER.finditer(line.line):
             if _usable(m.group("v"), weak=True) and not re.search(r"(?i)[\"'\s](?:token)\s+[a-z]+[_\-]", m.group(0)):
-                yield [(line_start + m.start("v"), line_start + m.end("v"))], "header"
-    comment = COMMENT.search(line)
-    if "named" in kinds:
-        for m in NAMED.finditer(line):
-            if not NAME_OK.search(m.group("name")):
-                continue
-            begin = line_start + m.end()
-            if m.group("q"):
-                got = _joined(text, begin, m.group("q"))
-                if got and _usable(got[0]):
-                    yield got[1], "value"
-            else:
-                inside = comment or extension not in CODE or _in_string(line, m.start())
-                v = re.compile(r"[^\s\"'`,;)\]}&]+" if extension in CODE else r"[^\s\"'`,]+").match(text, begin, line_end)
-                if inside and v and not re.match(r"[\w.]+\(|[\[{(]", v.group(0)) and _usable(v.group(0).rstrip(".")):
-                    yield [(v.start(), v.end())], "value"
-    if kinds & {"remark", "named"} and comment:
-        m = REMARK.search(line)
+                yield [(line.start + m.start("v"), line.start + m.end("v"))], "header"
+    if "remark" in kinds and line.comment:
+        m = REMARK.search(line.line)
         if m and _usable(m.group("v"), weak=True):
-            yield [(line_start + m.start("v"), line_start + m.end("v"))], "remark"
-
-
-def _in_string(line: str, at: int) -> bool:
-    before = line[:at]
-    return any(before.count(q) % 2 for q in "\"'`")
-
-
-def find_in(text: str, hits: list[tuple[int, int]], extension: str) -> list[tuple[int, list[tuple[int, int]], str]]:
-    """Credentials of one text from the automaton's hits (end offset in characters, bit set): line, parts and kind.
+            yield [(line.start + m.start("v"), line.start + m.end("v"))], "remark"
+
+
+def _joined_token(text: str, begin: int) -> list[tuple[int, int]] | None:
+    """The parts of a token that begins at ``begin`` and is written as literals that are joined."""
+    parts, at = [], begin
+    while piece := PIECE.match(text, at):
+        parts.append(piece.span())
+        joint = JOINT.match(text, piece.end())
+        if not joint:
+            break
+        at = joint.end()
+    whole = TOKEN.match("".join(text[a:b] for a, b in parts))
+    if not whole or len(parts) < 2:
+        return None
+    left, held = whole.end(), []
+    for a, b in parts:
+        if left > 0:
+            held.append((a, min(b, a + left)))
+            left -= b - a
+    return held if len(held) > 1 else None
+
+
+def find_in(text: str, spans: list[tuple[int, int, str]], hits: list[tuple[int, int]], extension: str, breaks: np.ndarray) -> list[tuple[int, list[tuple[int, int]], str]]:
+    """Credentials of one text from the automaton's spans (start, end, kind) and its other hits (end offset, bit set), in
+    characters: line, parts and kind. ``breaks`` are the offsets of its line feeds.
 
     Spans are absolute, so what two overlapping chunks or two patterns saw is kept once; of overlapping spans the one
     that starts first, then the longest, stays.
     """
     found: dict[tuple, str] = {}
-    seen: dict[tuple[int, int], int] = {}
-    for end, mask in hits:
-        start = text.rfind("\n", 0, end) + 1
-        stop = text.find("\n", end)
-        stop = len(text) if stop < 0 else stop
-        fresh = mask & ~seen.get((start, stop), 0)
-        armor = 1 << [p[0] for p in PATTERNS].index("armor")
-        if not fresh and not mask & armor:
+    for begin, end, kind in spans:
+        if kind == "joined":
+            if parts := _joined_token(text, begin):
+                found.setdefault(tuple(parts), "token")
             continue
-        seen[start, stop] = seen.get((start, stop), 0) | mask
-        kinds = {p[0] for i, p in enumerate(PATTERNS) if (fresh | mask & armor) >> i & 1}
-        for parts, kind in _spans_at(text, start, stop, end, kinds, extension):
+        got = _exact(text, begin, end, kind)
+        if got:
+            found.setdefault((got[0],), got[1])
+    line: _Line | None = None
+    for end, mask in hits:
+        if line is None or not line.start < end <= line.end:
+            n = int(np.searchsorted(breaks, end - 1))
+            line = _Line(text, int(breaks[n - 1]) + 1 if n else 0, int(breaks[n]) if n < len(breaks) else len(text))
+        kinds = {name for name, bit in BIT.items() if mask >> bit & 1}
+        for parts, kind in _read_from(text, line, kinds & {"query", "header", "remark"} | ({"remark"} if "named" in kinds else set())):
             found.setdefault(tuple(parts), kind)
+        if "named" in kinds and (parts := _named_at(text, end, line, extension)):
+            found.setdefault(tuple(parts), "value")
     result, busy = [], -1
     for parts, kind in sorted(found.items(), key=lambda x: (x[0][0][0], -x[0][-1][1])):
         if parts[0][0] >= busy:
-            result.append((text.count("\n", 0, parts[0][0]) + 1, list(parts), kind))
+            result.append((int(np.searchsorted(breaks, parts[0][0])) + 1, list(parts), kind))
             busy = parts[-1][1]
     return result
 
@@ -233,30 +278,56 @@ def redact(text: str, spans: list[tuple[int, list[tuple[int, int]], str]]) -> st
 
 
 def scan(texts: list[str], extensions: list[str]) -> list[list[tuple[int, list[tuple[int, int]], str]]]:
-    """``find_in`` for many texts with one run of the automaton per slice of them."""
+    """``find_in`` for many texts with one run of the automaton per slice of them.
+
+    Offsets in characters and line feeds come from two cumulative looks at the slice's bytes, so the work is linear in
+    the length of the texts whatever they hold.
+    """
+    auto = _automaton()
     results: list[list] = [[] for _ in texts]
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    encoded = [t.encode("utf-8", "surrogatepass").replace(b"\0", b" ") for t in texts]
     i = 0
     while i < len(texts):
         j, size = i, 0
         while j < len(texts) and (j == i or size + len(encoded[j]) < SLICE_BYTES):
             size += len(encoded[j]) + 1
             j += 1
-        buffer = np.frombuffer(b"\0".join(x.replace(b"\0", b" ") for x in encoded[i:j]), np.uint8)
-        ends, masks = _automaton().find(buffer)
+        buffer = np.frombuffer(b"\0".join(encoded[i:j]), np.uint8)
+        ends, masks = auto.find(buffer)
         starts = np.cumsum([0, *(len(x) + 1 for x in encoded[i:j])])
-        owner = np.searchsorted(starts, ends, side="left") - 1
-        for k in np.unique(owner):
-            own = owner == k
-            data, text = encoded[i + k], texts[i + k]
-            offsets = ends[own] - starts[k]
-            if len(data) != len(text):
-                offsets = [len(data[:o].decode("utf-8", "replace")) for o in offsets]
-            results[i + k] = find_in(text, [(int(o), int(m)) for o, m in zip(offsets, masks[own])], extensions[i + k])
+        cuts = np.searchsorted(ends, starts, side="right")
+        held = np.flatnonzero(cuts[1:] > cuts[:-1])
+        if len(held):
+            spans = _spans(auto, auto.classes[buffer], ends, masks)
+            characters = np.r_[0, np.cumsum((buffer & 0xC0) != 0x80)]
+            feeds = np.flatnonzero(buffer == 10)
+            owners = np.searchsorted(starts, [s[0] for s in spans], side="right") - 1
+            span_cuts = np.searchsorted(owners, np.arange(j - i + 1))
+            for k in held.tolist():
+                zero = int(characters[starts[k]])
+                own = slice(cuts[k], cuts[k + 1])
+                hits = [(int(characters[e]) - zero, int(m)) for e, m in zip(ends[own].tolist(), masks[own].tolist()) if m >> SPANS]
+                mine = [(int(characters[a]) - zero, int(characters[b]) - zero, kind) for a, b, kind in spans[span_cuts[k] : span_cuts[k + 1]]]
+                lines = feeds[np.searchsorted(feeds, starts[k]) : np.searchsorted(feeds, starts[k + 1])]
+                results[i + k] = find_in(texts[i + k], mine, hits, extensions[i + k], characters[lines] - zero)
         i = j
     return results
 
 
+def _spans(auto: Automaton, kinds: np.ndarray, ends: np.ndarray, masks: np.ndarray) -> list[tuple[int, int, str]]:
+    """Start, end and name of the longest matches of the span patterns, in bytes, sorted."""
+    spans: dict[tuple[int, str], int] = {}
+    for bit in range(SPANS):
+        at = ends[(masks >> bit & 1).astype(bool)]
+        # of a run of ends one after another the last one ends the match
+        for end in at[np.r_[at[1:] != at[:-1] + 1, True]].tolist() if len(at) else ():
+            start = auto.start_of(kinds, end, bit)
+            if start is not None:
+                key = (start, PATTERNS[bit][0])
+                spans[key] = max(end, spans.get(key, 0))
+    return sorted((start, end, name) for (start, name), end in spans.items())
+
+
 def _extension(path: str | None) -> str:
     name = (path or "").rsplit("/", 1)[-1]
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
