@@ -51,6 +51,8 @@ PATTERNS = [
     ("named", rf"({SECRET_WORDS})[\w.\-]*[\"'\]\s]*[:=]", True),
     ("query", r"[?&;]\w*(token|key|secret|password|pwd|sig|signature)=", True),
     ("header", r"(basic|bearer|token)\s\w", True),
+    ("login", r"\s-(-user|u)[\s=][\"']?[\w.\-]+:", False),
+    ("option", rf"--[\w\-]*({SECRET_WORDS})[\s=]", True),
     ("remark", rf"({SECRET_WORDS}|login)", True),
 ]
 BIT = {p[0]: i for i, p in enumerate(PATTERNS)}
@@ -70,6 +72,8 @@ PIECE = re.compile(r"[0-9A-Za-z_\-.]+")
 JOINT = re.compile(r"""(["'`])[ \t]*(?:\+|\.\.|\.)?[ \t]*\\?\n?[ \t]*(["'`])""")
 #: what stands between a literal and one that is added to it
 ADDED = re.compile(r"""[ \t]*(?:[+.][ \t]*(?:\r?\n[ \t]*)?|\\?\r?\n[ \t]*[+.][ \t]*)(["'`])""")
+#: the same in the arguments of a macro that concatenates them
+CONCAT, LISTED = re.compile(r"""\s*concat!\s*\(\s*(["])"""), re.compile(r"""\s*,\s*(["])""")
 HEAD = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----")
 NAMED = re.compile(
     rf"""(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)["'\]]*\s*(?::\s*[A-Za-z&'?\[\]<>]+(?:[ \t]+[A-Za-z]+)?\s*(?==))?(?P<sep>:=|=>|=(?!=)|:(?!:))[ \t]*
@@ -79,9 +83,11 @@ NAMED = re.compile(
 NAME_OK = re.compile(
     rf"""(?:^|[_\-.]|(?<=[a-z0-9])(?=[A-Z]))(?i:{SECRET_WORDS})(?:[_\-](?:[a-z]|old|new|prod|dev|staging|live|test|value|hash_key|\d+))?\d*$""", re.X
 )
-QUERY = re.compile(r"""[?&;]\w*(?i:token|key|secret|password|pwd|signature)=(?P<v>[^\s"'`&;<>]+)""")
+QUERY = re.compile(r"""[?&;]\w*(?i:token|key|secret|password|pwd|sig|signature)=(?P<v>[^\s"'`&;<>]+)""")
 HEADER = re.compile(r"""(?:["'\s])(?i:basic|bearer|token)\s+(?P<v>[A-Za-z0-9+/_=.\-]{12,})""")
 REMARK = re.compile(rf"""(?i:\b(?:{SECRET_WORDS}|logins?)\b)[^\n]{{0,60}}?(?:\s(?:was|is|are|now)\s+|->\s*|\s/\s|=\s*|:\s+)(?P<v>[^\s"'`,;)]+)[ \t\r*/#\->]*$""")
+#: what a command is given after the name of a login or after an option that asks for a secret
+GIVEN = re.compile(r"""["']?(?P<v>[^\s"'`]+)""")
 BARE, BARE_CODE = re.compile(r"[^\s\"'`,]+"), re.compile(r"[^\s\"'`,;)\]}&]+")
 COMMENT = re.compile(r"^\s*(?://|#|/\*|\*|<!--|--|;|\"\"\"|''')|(?:\s//|\s#)\s")
 # Extensions of languages in which a value must be a literal.
@@ -113,8 +119,8 @@ def _usable(value: str, weak: bool = False) -> bool:
     return bool((mark and (lower or upper) and len(v) >= 7) or (upper and lower and turns >= 2 and len(v) >= 8 and not v.isalpha()) or (v.isalpha() and turns >= 3 and len(v) >= 10))
 
 
-def _joined(text: str, begin: int, quote: str) -> tuple[str, list[tuple[int, int]]] | None:
-    """The value of a string literal from ``begin`` (after its quote), with further literals that are added to it."""
+def _joined(text: str, begin: int, quote: str, sign: str = "+.") -> tuple[str, list[tuple[int, int]]] | None:
+    """The value of a string literal from ``begin`` (after its quote), with further literals that are added to it by ``sign``."""
     parts, value, at = [], "", begin
     while True:
         stop = text.find("\n", at)
@@ -126,7 +132,7 @@ def _joined(text: str, begin: int, quote: str) -> tuple[str, list[tuple[int, int
             return (value, parts) if parts else None
         value += text[at:end]
         parts.append((at, end))
-        more = ADDED.match(text, end + len(quote))
+        more = (LISTED if sign == "," else ADDED).match(text, end + len(quote))
         if not more:
             return value, parts
         quote, at = more.group(1), more.end()
@@ -186,8 +192,9 @@ def _named_at(text: str, end: int, line: _Line, extension: str) -> list[tuple[in
     m = NAMED.match(text, begin)
     if not m or not NAME_OK.search(m.group("name")):
         return None
-    if m.group("q"):
-        got = _joined(text, m.end(), m.group("q"))
+    listed = CONCAT.match(text, m.end())
+    if m.group("q") or listed:
+        got = _joined(text, listed.end(), listed.group(1), ",") if listed else _joined(text, m.end(), m.group("q"))
         return got[1] if got and _usable(got[0]) else None
     v = (BARE_CODE if extension in CODE else BARE).match(text, m.end(), max(line.end, m.end()))
     if v and (extension not in CODE or line.comment or line.in_string(begin)) and not re.match(r"[\w.]+\(|[\[{(]", v.group(0)) and _usable(v.group(0).rstrip(".")):
@@ -257,6 +264,8 @@ def find_in(text: str, spans: list[tuple[int, int, str]], hits: list[tuple[int,
         kinds = {name for name, bit in BIT.items() if mask >> bit & 1}
         for parts, kind in _read_from(text, line, kinds & {"query", "header", "remark"} | ({"remark"} if "named" in kinds else set())):
             found.setdefault(tuple(parts), kind)
+        if kinds & {"login", "option"} and (given := GIVEN.match(text, end, max(line.end, end))) and _usable(given.group("v"), weak=True):
+            found.setdefault((given.span("v"),), "login")
         if "named" in kinds and (parts := _named_at(text, end, line, extension)):
             found.setdefault(tuple(parts), "value")
     result, busy = [], -1
