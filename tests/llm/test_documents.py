@@ -2,14 +2,19 @@
 
 import itertools
 import random
+from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from tessera.llm import leakage
 from tessera.llm.docpairs import assign, informative, pair_documentation
 from tessera.llm.leakage import Index, covered, find_leaks, leaked_items, leaks, tiles, words_of
 from tessera.llm.packing import TOKENIZER, _encoding, first_fit_decreasing, pack_documents, pack_fill, token_counts
-from tessera.llm.reading import demanding, is_english, reading_levels
+from tessera.llm.reading import demanding, prose, reading_levels, train
+
+SF = "/root/testdata/sf0.1"
 
 
 def test_what_says_something():
@@ -178,16 +183,26 @@ def test_blocks_of_items_give_the_same_leaks(spark, monkeypatch):
     assert sorted((r.doc_id, r.item_id) for r in find_leaks(docs, bench).collect()) == [(1, 1), (2, 2)]
 
 
-def test_english_by_text():
-    from collections import Counter
+@pytest.mark.skipif(not Path(SF, "documents.parquet").exists(), reason="the driver's tables are not here")
+def test_english_by_its_letters(spark):
+    docs, levels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/doc_levels.parquet")
+    _, model = train(docs, levels)
 
     def english(text):
-        words = words_of(text)
-        return is_english(Counter(words), len(words))
-
-    assert english("We keep the report next to the record it belongs to") and english("Orthogonal monotonicity reconciles commutativity")
-    assert not english("Ohne gueltigen Schluessel bricht das Modul nach drei Versuchen ab") and not english("Le module garde le resultat dans un fichier avant la fermeture")
-    assert not english("Si falta el registro, el proceso se detiene sin tocar la base") and not english("Журнал закрыт и не может быть открыт")
+        return model.is_english(Counter(prose(text)))
+
+    assert english("We keep the report next to the record it belongs to") and english("The proof relies on the orthogonality of the two monotone operators")
+    for text in (
+        "Ohne gueltigen Schluessel bricht das Modul nach drei Versuchen ab", "Le module garde le resultat dans un fichier avant la fermeture", "Журнал закрыт и не может быть открыт",
+        "Si falta el registro, el proceso se detiene sin tocar la base", "Bu modül sonucu bir dosyada saklar ve sonra işlemi kapatır", "Modulen sparar resultatet i en fil innan den stängs och läses om",
+        "Modul uloží výsledek do souboru, než bude spojení uzavřeno",
+    ):
+        assert not english(text), text
+    told = {r.doc_id: r.english for r in reading_levels(docs, levels).collect()}
+    graded = {r.doc_id for r in levels.collect()}
+    assert all(told.get(i, True) for i in graded)
+    clear = docs.where("lang in ('de', 'fr', 'es') and length(text) > 200").collect()
+    assert sum(told[r.doc_id] for r in clear) < 0.1 * len(clear)
 
 
 def test_levels_on_held_out_documents(spark):
