@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage, release
+
 SEED = 4
 """Words of a seed that makes an item a candidate for a document."""
 TILE = 3
@@ -42,17 +44,19 @@ def sentences_of(text: str) -> list[list[str]]:
     return [w for s in SENTENCE.split(text) if (w := words_of(s))]
 
 
+def surroundings(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of at least ``TILE`` and fewer than ``LEAST_PASSAGE`` words of a text, each with the key of the run
+    and the words around it."""
+    hashed = np.r_[np.uint64(1), word_keys([w for x in sentences_of(text) for w in x]), np.uint64(2)]
+    lengths = range(TILE, LEAST_PASSAGE)
+    return np.concatenate([rolling(hashed[1:-1], n) for n in lengths]), np.concatenate([rolling(hashed, n + 2) for n in lengths])
+
+
 def turns_of(texts: list[str]) -> set[int]:
     """Keys of the runs of fewer than ``LEAST_PASSAGE`` words that stand in ``CONTEXTS`` or more different surroundings."""
-    hashed = [np.r_[np.uint64(1), word_keys([w for x in sentences_of(t) for w in x]), np.uint64(2)] for t in texts]
-    turns: set[int] = set()
-    for n in range(TILE, LEAST_PASSAGE):
-        wide = [rolling(h, n + 2) for h in hashed]
-        runs = [rolling(h[1:-1], n) for h in hashed]
-        pairs = np.unique(np.stack([np.concatenate([np.zeros(0, np.uint64), *runs]), np.concatenate([np.zeros(0, np.uint64), *wide])]), axis=1)
-        keys, contexts = np.unique(pairs[0], return_counts=True)
-        turns.update(keys[contexts >= CONTEXTS].tolist())
-    return turns
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.uint64), *(np.stack(surroundings(t)) for t in texts)], axis=1), axis=1)
+    keys, contexts = np.unique(pairs[0], return_counts=True)
+    return set(keys[contexts >= CONTEXTS].tolist())
 
 
 def word_keys(words: list[str]) -> np.ndarray:
@@ -239,25 +243,28 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     count. Null and empty texts hold nothing; repeated documents and items count each; other columns are not read.
     Documents are read once per block of items, whole, without a shuffle. A pair is looked at once it shares two
     seeds of ``SEED`` words, however many items have them: with one word in eight changed, twenty words in two passages
-    always leave such runs. What tasks of one make share is told by its surroundings in the whole test set, not by block.
+    always leave such runs. What tasks of one make share is told by its surroundings in the whole test set, not by block:
+    sentences and runs are counted on the cluster, and one block of items comes to the driver at a time.
     """
     spark = documents.sparkSession
-    items = benchmark.select("item_id", "text").where("text is not null").orderBy("item_id")
-    n_items = items.count()
+    rows = cut_lineage(benchmark.select("item_id", "text").where("text is not null"))
+    blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
+    items = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
+    facts = cut_lineage(items.mapInPandas(_facts, "block int, item_id long, turn boolean, key long, around long"))
+    shared = facts.where("not turn").groupBy("turn", "key").agg(F.count_distinct("item_id").alias("n")).where("n > 1")
+    turns = facts.where("turn").groupBy("turn", "key").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= CONTEXTS)
+    common = cut_lineage(shared.unionByName(turns).select("turn", "key"))
     result = None
-    shared_of: dict[str, int] = {}
-    blocks = []
-    for b in range(max(1, -(-n_items // BLOCK_ITEMS))):
-        rows = [(r.item_id, r.text) for r in items.offset(b * BLOCK_ITEMS).limit(BLOCK_ITEMS).collect()]
-        blocks.append(rows)
-        for _, text in rows:
-            for s in {" ".join(s) for s in sentences_of(text)}:
-                shared_of[s] = shared_of.get(s, 0) + 1
-    shared = {s for s, n in shared_of.items() if n > 1}
-    turns = turns_of([text for rows in blocks for _, text in rows])
     chosen = documents.select("doc_id", "text").where("text is not null and text != ''")
-    for rows in blocks:
-        index = spark.sparkContext.broadcast(Index(rows, shared, turns))
+    for b in range(blocks):
+        # one block at a time comes to the driver, with those of the common sentences and turns that stand in it
+        of_block = [(r.item_id, r.text) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
+        known = facts.where(F.col("block") == b).select("turn", "key").distinct().join(common, ["turn", "key"], "left_semi").collect()
+        keys = {r.key for r in known if not r.turn}
+        sentences = {" ".join(x) for _, text in of_block for x in sentences_of(text)}
+        index = spark.sparkContext.broadcast(
+            Index(of_block, {x for x in sentences if sentence_key(x) in keys}, {r.key & 0xFFFFFFFFFFFFFFFF for r in known if r.turn})
+        )
 
         def scan(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -267,9 +274,28 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = chosen.mapInPandas(scan, "doc_id long, item_id long, n_words int")
         result = part if result is None else result.unionByName(part)
+    release(rows, facts, common)
     return result
 
 
+def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The sentences of each item and its short runs with what is around them, as keys."""
+    for batch in batches:
+        for block, item, text in zip(batch["block"], batch["item_id"], batch["text"]):
+            sentences = [sentence_key(" ".join(x)) for x in sentences_of(text)]
+            runs, around = surroundings(text)
+            yield pd.DataFrame(
+                {
+                    "block": block, "item_id": item, "turn": [False] * len(sentences) + [True] * len(runs),
+                    "key": np.r_[np.array(sentences, np.int64), runs.astype(np.int64)], "around": np.r_[np.zeros(len(sentences), np.int64), around.astype(np.int64)],
+                }
+            )
+
+
+def sentence_key(sentence: str) -> int:
+    return int(pd.util.hash_array(np.array([sentence], object)).astype(np.int64)[0])
+
+
 def leaked_items(leaks_found: DataFrame) -> DataFrame:
     """Per leaked item: the number of documents that hold it and the most words that one of them holds."""
     return leaks_found.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.max("n_words").alias("most_words"))
