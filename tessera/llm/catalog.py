@@ -18,12 +18,12 @@ def _p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _p1_reasons(spark, d).select("file_id")
 
 
-def _p2_checked(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.check_files(spread(table(spark, d, "files", "id", "path", "language", "content")))
+def _p2_checked(spark: SparkSession, d: str, causes: bool = True) -> DataFrame:
+    return syntax.check_files(spread(table(spark, d, "files", "id", "path", "language", "content")), causes)
 
 
 def _p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p2_checked(spark, d).where("not valid").select("file_id")
+    return _p2_checked(spark, d, causes=False).where("not valid").select("file_id")
 
 
 def _p2_failures(spark: SparkSession, d: str) -> DataFrame:

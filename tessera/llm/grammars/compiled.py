@@ -78,7 +78,7 @@ group = label ":" bstmt*
 label = "case" ("null" ("," "default")? / pattern guard? / ternary % ",") / "default"
 guard = 'when' expr
 pattern = mod* type "(" (pattern % ",")? ")" NAME? / mod* type NAME
-expr = lambda / assignment / ternary
+expr = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / lambda / assignment / ternary
 lambda = (NAME / "(" (formals / NAME % ",")? ")") "->" (block / expr)
 ternary = binary ("?" (lambda / ternary) ":" (lambda / ternary))?
 binary = unary (binop unary / "instanceof" (pattern / mod* type))*
@@ -166,7 +166,7 @@ for = "for" (hrange / hsimple? ";" hexpr? ";" hsimple? / hexpr)? block
 hrange = (hexpr % "," (":=" / "="))? "range" hexpr
 hsimple = hexpr % "," (":=" / aop) hexpr % "," / hexpr ("++" / "--" / "<-" hexpr)?
 exprs = expr % ","
-expr = unary (binop unary)*
+expr = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / unary (binop unary)*
 binop = "||" / "&&" / "==" / "!=" / "<" / "<=" / ">" / ">=" / "+" / "-" / "|" / "^" / "*" / "/" / "%" / "<<" / ">>" / "&" / "&^"
 unary = ("+" / "-" / "!" / "^" / "*" / "&" / "<-") unary / primary
 primary = operand suffix*
@@ -290,7 +290,7 @@ label = "case" pattern ('when' expr)? ":" / "default" ":"
 catch = "catch" ("(" type NAME? ")")? ('when' "(" expr ")")? block
 exprstmt = unary aop expr / ("++" / "--" / 'await') unary / primary ("++" / "--") / callish / new
 callish = base (suffix &suffix)* (args / "." NAME targs? args / "?." NAME targs? args / "!" )
-expr = lambda / assignment / "throw" expr / "ref" expr / cond
+expr = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / lambda / assignment / "throw" expr / "ref" expr / cond
 assignment = (tupledecl / unary) aop expr
 aop = "=" / "+=" / "-=" / "*=" / "/=" / "%=" / "&=" / "|=" / "^=" / "<<=" / "??=" / ">" ">" ">"? "="
 lambda = attrs* ("static" / 'async')* (NAME / rtype? "(" (lparam % ",")? ")") "=>" (block / expr) / ("static" / 'async')* "delegate" ("(" (param % ",")? ")")? block
@@ -428,7 +428,7 @@ match = "match" nexpr "{" inner* arm* "}"
 arm = outer* pattern ("if" guard)? "=>" (blocklike ","? !("." / "?" / binop) / expr ("," / &"}"))
 guard = letcond2 ("&&" letcond2)* / expr
 letcond2 = "let" pattern "=" unary / unary
-expr = "return" expr? / "break" LIFE? expr? / "continue" LIFE? / closure / assign
+expr = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / "return" expr? / "break" LIFE? expr? / "continue" LIFE? / closure / assign
 closure = ("for" generics)? ("static" / "async" / "move" / "const")* ("||" / "|" (cparam ("," cparam)* ","?)? "|") ("->" type block / expr)
 cparam = outer* pat (":" type)?
 assign = rangex (aop expr)?
@@ -539,7 +539,7 @@ assign = target ("=" / "+=" / "-=" / "*=" / "/=" / "%=") expr
 target = prefix
 loop = "for" "(" annotation* (NAME (":" type)? / "(" vars ")") "in" expr ")" (control / ";") / "while" "(" expr ")" (control / ";") / "do" control? "while" "(" expr ")"
 control = block / stmt
-expr = disj
+expr = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / disj
 disj = operand (@nonl binop operand / elvis operand / infix operand / @nonl ("is" / "!" "is") type / @nonl ("as" "?"?) type / logic operand)*
 binop = "<" / ">" / "<=" / ">=" / "==" / "!=" / "===" / "!==" / "+" / "-" / "*" / "/" / "%" / ".." / "..<" / "in" / "!" "in"
 elvis = "?:"

@@ -160,7 +160,7 @@ stars = star ("," star)* ","?
 star = "*" bitor / named
 named = NAME ":=" expr / expr
 yieldexpr = "yield" ("from" expr / stars)?
-expr = "lambda" lparams? ":" expr / disj ("if" disj "else" expr)?
+expr = (NAME / NUM) &(")" / "," / NEWLINE / "]" / "}" / ":" / "=") / "lambda" lparams? ":" expr / disj ("if" disj "else" expr)?
 disj = inversion (("and" / "or") inversion)*
 inversion = "not"* comparison
 comparison = bitor (compop bitor)*
@@ -263,7 +263,7 @@ params = "(" (param ("," param)* ","?)? ")"
 param = decorator* pmods "..."? (binding / thisname) optional? typeann? ("=" assign)?
 decorator = "@" (primary trailer*)
 exprs = assign % ","
-assign = &( "(" / "<" / NAME ) arrow / 'yield' !("=" / "." / ")" / "," / ";") "*"? (@nonl assign)? / cond (aop assign)?
+assign = (NAME / NUM / STR) &(")" / "," / ";" / "]" / "}") / &( "(" / "<" / NAME ) arrow / 'yield' !("=" / "." / ")" / "," / ";") "*"? (@nonl assign)? / cond (aop assign)?
 aop = "=" / "+=" / "-=" / "*=" / "/=" / "%=" / "**=" / "&=" / "|=" / "^=" / "<<=" / "&&=" / "||=" / "??=" / ">" ">"? ">"? "="
 arrow = ('async' @nonl)? (NAME / tparams? params rettype?) @nonl "=>" (block / assign)
 cond = binary ("?" assign ":" assign)?

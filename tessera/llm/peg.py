@@ -14,7 +14,7 @@ LEX = re.compile(r"""\s*(?:("[^"]+")|('[^']+')|(@\w+)|([A-Za-z_]\w*)|([/?*+%!&()
 
 
 KEEP = 200_000
-"""Tokens after which a parse forgets what it has memorised."""
+"""Tokens behind which a parse forgets what it has memorised; what it tries again from within them stays known."""
 
 
 class _Reader:
@@ -107,15 +107,61 @@ class _Reader:
 
 
 class Grammar:
-    """A compiled grammar. ``parse`` gives the position after ``start`` or -1; ``furthest`` the last token tried."""
+    """A compiled grammar. ``parse`` gives the position after ``start`` or -1; ``furthest`` the last token tried.
+
+    ``parse`` looks at the next token before it tries a rule or an alternative that can't begin with it; ``furthest``
+    tries everything in order, so that the last token tried is that of the grammar alone.
+    """
 
     def __init__(self, text: str, keywords: set[str], start: str = "file"):
         self.reader = _Reader(text)
         self.start = start
         self.keywords = frozenset(keywords)
+        self.firsts: dict[str, tuple[frozenset | None, bool]] = {name: (frozenset(), False) for name in self.reader.rules}
+        changed = True
+        while changed:
+            changed = False
+            for name, node in self.reader.rules.items():
+                now = self.first(node)
+                changed |= now != self.firsts[name]
+                self.firsts[name] = now
         self.fast = self._compile(False)
         self.tracing = self._compile(True)
 
+    def first(self, node: tuple) -> tuple[frozenset | None, bool]:
+        """The token kinds that a match can begin with (nothing known: ``None``), and whether it can be empty."""
+        op = node[0]
+        if op == "word":
+            return frozenset(["NAME"]), False
+        if op in ("token", "kind"):
+            return (None if node[1] == "ANY" else self.keywords if node[1] == "KW" else frozenset([node[1]])), False
+        if op == "rule":
+            return self.firsts[node[1]]
+        if op in ("not", "and", "at"):
+            return frozenset(), True
+        if op in ("opt", "star"):
+            return self.first(node[1])[0], True
+        kinds: frozenset | None = frozenset()
+        empty = op == "seq"
+        for part in node[1]:
+            f, e = self.first(part)
+            kinds = None if kinds is None or f is None else kinds | f
+            if op == "choice":
+                empty |= e
+            elif not e:
+                return kinds, False
+        return kinds, empty
+
+    def guard(self, node: tuple, src: str) -> str | None:
+        """A test of the next token without which ``node`` can't match."""
+        kinds, empty = self.first(node)
+        if self.tracing_on or empty or kinds is None:
+            return None
+        if len(kinds) == 1:
+            return f"K[{src}] == {next(iter(kinds))!r}"
+        name = self.sets.setdefault(kinds, f"F{len(self.sets)}")
+        return f"K[{src}] in {name}"
+
     def parse(self, kinds: list[str], values: list[str], breaks: list[bool]) -> bool:
         return self.fast(kinds, values, breaks)[0] == len(kinds)
 
@@ -123,19 +169,26 @@ class Grammar:
         return self.tracing(kinds, values, breaks)[1]
 
     def _compile(self, tracing: bool):
-        self.lines = ["def parse(K, V, N):", "    far = 0", f"    keep = {KEEP}"]
-        self.count, self.tracing_on = 0, tracing
-        for name, node in self.reader.rules.items():
+        self.lines = ["def parse(K, V, N):", "    far = 0", f"    keep = {2 * KEEP}"]
+        self.count, self.tracing_on, self.sets, self.testing = 0, tracing, {}, set()
+        for name in self.reader.rules:
             self.lines += [f"    memo_{name} = {{}}"]
-        # the memo is only a cache: on long inputs it is emptied as the parse moves on, so memory stays bounded
-        self.lines += ["    def forget(p):", "        nonlocal keep", f"        keep = p + {KEEP}"]
-        self.lines += [f"        memo_{name}.clear()" for name in self.reader.rules]
+        # what lies far behind is forgotten, so that the memory of a long parse is bounded
+        self.lines += ["    def forget(p):", "        nonlocal keep", f"        keep = p + {KEEP}", f"        least = p - {KEEP}"]
+        self.lines += [f"        for memo in ({', '.join(f'memo_{name}' for name in self.reader.rules)},):"]
+        self.lines += ["            near = {k: r for k, r in memo.items() if k >= least}", "            memo.clear()", "            memo.update(near)"]
         for name, node in self.reader.rules.items():
-            self.lines += [f"    def r_{name}(p):", *(["        nonlocal far"] if tracing else []), f"        r = memo_{name}.get(p)", "        if r is not None: return r"]
+            self.lines += [f"    def r_{name}(p):", *(["        nonlocal far"] if tracing else [])]
+            test = self.test(node, "p")
+            if test and not tracing:
+                # one token: nothing to memorise
+                self.lines += [f"        return p + 1 if {test} else -1"]
+                continue
+            self.lines += [f"        r = memo_{name}.get(p)", "        if r is not None: return r"]
             self.emit(node, "p", "r", 2)
             self.lines += [f"        memo_{name}[p] = r", "        return r"]
         self.lines += [f"    return r_{self.start}(0), far"]
-        scope: dict = {"KW": self.keywords}
+        scope: dict = {"KW": self.keywords} | {name: kinds for kinds, name in self.sets.items()}
         exec(compile("\n".join(self.lines), "<grammar>", "exec"), scope)  # noqa: S102
         return scope["parse"]
 
@@ -155,6 +208,12 @@ class Grammar:
             return f"V[{src}] == {node[1]!r} and K[{src}] == 'NAME'"
         if node[0] == "choice" and all(x[0] in ("token", "kind") and x[1] not in ("KW", "ANY") for x in node[1]):
             return f"K[{src}] in {{{', '.join(repr(x[1]) for x in node[1])}}}"
+        if node[0] == "rule" and not self.tracing_on and node[1] not in self.testing:
+            # a rule of one token is tested where it is used
+            self.testing.add(node[1])
+            found = self.test(self.reader.rules[node[1]], src)
+            self.testing.discard(node[1])
+            return found
         return None
 
     def emit(self, node: tuple, src: str, dst: str, d: int) -> None:
@@ -166,7 +225,8 @@ class Grammar:
             if self.tracing_on:
                 self.out(d + 1, f"if {src} > far: far = {src}")
         elif node[0] == "rule":
-            self.out(d, f"{dst} = r_{node[1]}({src})")
+            guard = self.guard(node, src)
+            self.out(d, f"{dst} = r_{node[1]}({src})" + (f" if {guard} else -1" if guard else ""))
         elif node[0] == "at":
             self.out(d, f"{dst} = {src} if {'' if node[1] == 'nl' else 'not '}N[{src}] else -1")
         elif node[0] == "seq":
@@ -185,9 +245,12 @@ class Grammar:
                 self.out(d, f"{dst} = {src}")
         elif node[0] == "choice":
             for i, part in enumerate(node[1]):
-                if i:
-                    self.out(d, f"if {dst} < 0:")
-                self.emit(part, src, dst, d + bool(i))
+                guard = self.guard(part, src) if part[0] == "seq" else None
+                if not i and guard:
+                    self.out(d, f"{dst} = -1")
+                if i or guard:
+                    self.out(d, f"if {' and '.join(([f'{dst} < 0'] if i else []) + ([guard] if guard else []))}:")
+                self.emit(part, src, dst, d + bool(i or guard))
         elif node[0] == "opt":
             v = self.fresh()
             self.emit(node[1], src, v, d)

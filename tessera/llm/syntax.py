@@ -42,6 +42,17 @@ def language_of(path: str | None, language: str | None) -> str | None:
     return said if said in LANGUAGES.values() else None
 
 
+def is_valid(text: str, language: str) -> bool:
+    """Whether the grammar consumes the whole text, without asking where and why it doesn't."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
+    lexer, grammar = _parser(language)
+    try:
+        tokens = lexer(text.removeprefix("\ufeff"))
+    except LexError:
+        return False
+    return all(k in ("EOF", "NEWLINE") for k in tokens.kinds) or grammar.parse(tokens.kinds, tokens.values, tokens.breaks)
+
+
 def failure(text: str, language: str) -> tuple[int, str] | None:
     """Nothing if the whole text is valid, else the furthest offset that was reached and what went wrong."""
     text = text.removeprefix("﻿")
@@ -76,20 +87,21 @@ def diagnose(text: str, language: str) -> tuple[int, int, str] | None:
     if not found:
         return None
     at, cause = found
-    if cause in ("unexpected token", "unexpected character") and text.count("\n", 0, at) < 12:
+    if cause in ("unexpected token", "unexpected character"):
         for other in ("python", "typescript", "java", "go", "csharp", "rust", "kotlin"):
-            if other != language and not (language == "typescript" and other == "javascript") and failure(text, other) is None:
+            if other != language and is_valid(text, other):
                 cause = f"written in {other}"
                 break
     return text.count("\n", 0, at) + 1, at - text.rfind("\n", 0, at), cause
 
 
-def check_files(files: DataFrame) -> DataFrame:
+def check_files(files: DataFrame, causes: bool = True) -> DataFrame:
     """``file_id, repo, language, valid, line_no, column_no, cause`` for each file of a language that is judged.
 
     The language is that of the extension (the language column counts only where there is none); other files are left
     out. Null and empty contents, files of comments only and a leading byte order mark are valid. Repeated files count
-    each; a null path without a language is left out. Texts are read whole.
+    each; a null path without a language is left out. Texts are read whole. Without ``causes`` place and cause stay null,
+    and no file is parsed a second time for them.
     """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,7 +109,10 @@ def check_files(files: DataFrame) -> DataFrame:
             rows = []
             for i, path, said, text in zip(batch["id"], batch["path"], batch["language"], batch["content"]):
                 language = language_of(path, said)
-                if language:
+                if language and not causes:
+                    blank = not text or not text.strip("﻿ \t\r\n")
+                    rows.append((i, (path or "").split("/", 1)[0], language, blank or is_valid(text, language), None, None, None))
+                elif language:
                     found = diagnose(text, language) if text and text.strip("﻿ \t\r\n") else None
                     rows.append((i, (path or "").split("/", 1)[0], language, found is None, *(found or (None, None, None))))
             frame = pd.DataFrame(rows, columns=["file_id", "repo", "language", "valid", "line_no", "column_no", "cause"])

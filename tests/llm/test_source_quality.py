@@ -77,10 +77,31 @@ def test_python_and_json_agree_with_the_standard_parsers():
                 assert (failure(text, language) is None) == valid, row["path"]
 
 
+def test_forgetting_does_not_change_a_parse(monkeypatch):
+    from tessera.llm import peg
+    from tessera.llm.grammars import scripts
+
+    monkeypatch.setattr(peg, "KEEP", 40)
+    small = Grammar(scripts._JS + scripts._TYPED, scripts.JS_WORDS)
+    text = "const f = (a, b) => { return [1, {x: (a + b) * 2, y: [a, b]}] };\n" * 60
+    t = scripts.JS_LEXER(text)
+    assert small.parse(t.kinds, t.values, t.breaks)
+    t = scripts.JS_LEXER(text + "const = 1")
+    assert not small.parse(t.kinds, t.values, t.breaks)
+
+
+def test_a_file_of_another_language_is_named_wherever_it_fails():
+    text = "# a\n" * 30 + "import os\n\n\ndef f(x):\n    return [y for y in x if y]\n"
+    assert failure(text, "python") is None and diagnose(text, "rust")[2] == "written in python"
+    late = "fn a() {}\n" * 30 + "def f(x): pass\n"
+    assert diagnose(late, "rust")[2] in ("unexpected token", "unexpected character") and diagnose("x = 1\n" * 30 + "def f():\n    return 1\n", "python") is None
+
+
 def test_checked_frame(spark):
     rows = [(1, "r/a.py", None, "x = 1"), (2, "r/b.py", "java", "x = = 1"), (3, "r/c.yaml", None, "{"), (4, "r/d.py", None, None), (5, "r/e", "Golang", "package a"), (6, None, None, "x"), (2, "r/b.py", "java", "x = = 1")]
     df = spark.createDataFrame([(*r, True) for r in rows], "id long, path string, language string, content string, valid boolean")
     got = check_files(df)
+    assert sorted((r.file_id, r.valid) for r in check_files(df, causes=False).collect()) == sorted((r.file_id, r.valid) for r in got.collect())
     assert sorted((r.file_id, r.valid) for r in got.collect()) == [(1, True), (2, False), (2, False), (4, True), (5, True)]
     python = [r for r in rates(got).collect() if r.language == "python"][0]
     assert (python.n_files, python.n_invalid, python.share) == (4, 2, 0.5)
