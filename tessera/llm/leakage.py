@@ -18,6 +18,10 @@ SEED = 4
 TILE = 3
 """Least words of a tile."""
 LEAST_WORDS = 20
+LEAST_SEEDS = 5
+"""Seeds that any two passages with ``LEAST_WORDS`` words leave: a passage of n words in k tiles has n less the words
+changed (k - 1 at least) less 3k of them, which is least for 16 and 7 words with two changes and one. Each further stretch
+of an item's own words costs three more, and each seed that the item has twice one."""
 LEAST_PASSAGE = 7
 """Words below which a common run can be a turn of phrase; alone it is no passage, beside a longer one it counts unless
 it is a turn of phrase of the test set."""
@@ -73,6 +77,7 @@ class Index:
         self.vocabulary: dict[str, int] = {}
         self.content: list[np.ndarray] = []
         self.items: list[tuple[int, np.ndarray, np.ndarray]] = []
+        self.least: list[int] = []
         owners: dict[int, set[int]] = defaultdict(set)
         for n, (item, text) in enumerate(items):
             ids, counts = [], []
@@ -89,10 +94,12 @@ class Index:
                     if k in turns:
                         content[j : j + m] = False
             self.content.append(content)
-            keys = rolling(a, SEED)
-            for i in range(len(keys)):
-                if own[i : i + SEED].all():
-                    owners[int(keys[i])].add(n)
+            whole = np.convolve(own, np.ones(SEED, int), "valid") == SEED if len(a) >= SEED else np.zeros(0, bool)
+            keys = rolling(a, SEED)[whole].tolist()
+            for k in set(keys):
+                owners[k].add(n)
+            stretches = int(own[:1].sum() + (own[1:] & ~own[:-1]).sum())
+            self.least.append(max(2, LEAST_SEEDS - (SEED - 1) * (stretches - 1) - (len(keys) - len(set(keys)))))
         self.seeds = dict(owners)
         self.keys = np.array(sorted(self.seeds), np.uint64)
         self.bitmap = np.zeros(1 << BITS, bool)
@@ -229,7 +236,7 @@ def leaks(texts: list[str], index: Index) -> Iterator[tuple[int, int, int]]:
         for k in np.unique(keys[own_at]).tolist():
             for n in index.seeds[k]:
                 hits[n] += 1
-        for n in sorted(n for n, h in hits.items() if h >= 2):
+        for n in sorted(n for n, h in hits.items() if h >= index.least[n]):
             item, words, own = index.items[n]
             total = covered(doc, words, own, index.content[n])
             if total >= LEAST_WORDS:
@@ -241,9 +248,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Words count in one or two passages in which up to one word in eight differs; sentences of several items do not
     count. Null and empty texts hold nothing; repeated documents and items count each; other columns are not read.
-    Documents are read once per block of items, whole, without a shuffle. A pair is looked at once it shares two
-    seeds of ``SEED`` words, however many items have them: with one word in eight changed, twenty words in two passages
-    always leave such runs. What tasks of one make share is told by its surroundings in the whole test set, not by block:
+    Documents are read once per block of items, whole, without a shuffle. A pair is looked at once it shares as
+    many seeds of ``SEED`` words as twenty words in two passages always leave with one word in eight changed
+    (``LEAST_SEEDS``), however many items have them. What tasks of one make share is told by its surroundings in the whole test set, not by block:
     sentences and runs are counted on the cluster, and one block of items comes to the driver at a time.
     """
     spark = documents.sparkSession

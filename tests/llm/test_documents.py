@@ -125,6 +125,21 @@ def test_the_second_passage_may_be_short():
         assert found(" ".join(words[:n]) + " and then something else entirely in between " + " ".join(words[n + 1 : 20])) == [], n
 
 
+def test_no_pair_with_enough_words_has_fewer_seeds():
+    """Random passages with words changed: every pair that tiling accepts shares the seeds that make it a candidate."""
+    r = random.Random(5)
+    for _ in range(400):
+        n = r.randrange(20, 60)
+        item = [f"w{i if r.random() < 0.9 else r.randrange(n)}" for i in range(n)]
+        cut = r.randrange(3, n)
+        text = [w if r.random() > 0.14 else "zz" for w in item[:cut]] + ["qq"] * 9 + [w if r.random() > 0.14 else "yy" for w in item[cut:]]
+        index = Index([(1, " ".join(item))], set())
+        ids = np.array([index.vocabulary.get(w, 0) for w in text], np.uint64)
+        _, words, own = index.items[0]
+        accepted = covered(ids, words, own, index.content[0]) >= leakage.LEAST_WORDS
+        assert bool(list(leaks([" ".join(text)], index))) == accepted
+
+
 def test_a_short_turn_of_phrase_of_the_test_set_adds_nothing():
     words = words_of(ITEM)[:26]
     items = [(1, ITEM), *((n, f"check the {a} find the cause and match {b}") for n, (a, b) in enumerate((("pump", "hose"), ("tank", "seal"), ("gear", "bolt")), 2))]
