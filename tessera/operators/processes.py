@@ -150,3 +150,51 @@ def build(symbols: DataFrame, edges: DataFrame) -> DataFrame:
         "process_id", "process_type", "entrypoint", F.col("at").alias("terminal"), "n_steps",
         F.round(F.exp(F.col("log_sum") / F.col("n_steps")), 6).alias("confidence"), F.array_join("visited", " > ").alias("path"),
     )
+
+
+def steps(built: DataFrame, edges: DataFrame) -> DataFrame:
+    """``process_id, step, src, dst, edge_type, confidence, reason``: the steps of each process in order.
+
+    A step's type and confidence are those of the best stored edge between its ends (resolved, or by the name alone);
+    one that was made by matching a route has none and counts as ``STEP_IN_PROCESS``.
+    """
+    way = F.split("path", " > ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(way) - 1), lambda i: F.struct(i.alias("step"), F.element_at(way, i).alias("src"), F.element_at(way, i + 1).alias("dst")))
+    rows = built.where(F.size(way) > 1).select("process_id", F.inline(pairs))
+    wanted = edges.where(F.col("src").isNotNull()).select("src", F.coalesce("dst", "dst_name").alias("to"), "edge_type", "confidence", "edge_id")
+    best = wanted.join(rows.select("src").distinct(), "src", "left_semi").groupBy("src", "to").agg(
+        F.min_by(F.struct("edge_type", "confidence"), F.struct((-F.col("confidence")).alias("c"), "edge_id")).alias("b")
+    )
+    # the name of an edge that is not resolved is the last part of the target
+    told = rows.join(best.select("src", F.col("to").alias("dst"), F.col("b").alias("exact")), ["src", "dst"], "left")
+    last = F.substring_index("dst", ".", -1)
+    named = told.withColumn("to", last).join(best.withColumnRenamed("b", "by_name"), ["src", "to"], "left")
+    found = F.coalesce("exact", "by_name")
+    return named.select(
+        "process_id", "step", "src", "dst", F.coalesce(found["edge_type"], F.lit("STEP_IN_PROCESS")).alias("edge_type"), F.coalesce(found["confidence"], F.lit(ROUTE_CONFIDENCE)).alias("confidence"),
+        F.format_string("step %d of %s", "step", "process_id").alias("reason"),
+    )
+
+
+def step_edges(of_steps: DataFrame) -> DataFrame:
+    """Steps as edges of the graph, ``STEP_IN_PROCESS``, with what they are about as JSON."""
+    meta = F.to_json(F.struct("process_id", "step", "edge_type"))
+    return of_steps.select("src", "dst", F.lit("STEP_IN_PROCESS").alias("edge_type"), "confidence", F.lit(3).alias("precision_level"), F.lit("process-builder").alias("extraction_source"), "reason", meta.alias("metadata_json"))
+
+
+def touching(built: DataFrame, qname: str) -> DataFrame:
+    """Processes that a symbol is a step of."""
+    return built.where(F.array_contains(F.split("path", " > "), qname))
+
+
+def counts_by_type(built: DataFrame) -> DataFrame:
+    """Processes of each type, and all of them."""
+    per = built.groupBy("process_type").agg(F.count("*").alias("n"))
+    return per.unionByName(built.agg(F.count("*").alias("n")).select(F.lit("total").alias("process_type"), "n"))
+
+
+def route_label(routes: DataFrame) -> DataFrame:
+    """``qname, label``: method and path of a route, else its name."""
+    method, path = F.get_json_object("extras", "$.http_method"), F.get_json_object("extras", "$.path")
+    told = F.when(F.coalesce(path, F.lit("")) != "", F.trim(F.concat_ws(" ", F.nullif(method, F.lit("")), path)))
+    return routes.select("qname", F.coalesce(told, F.nullif("name", F.lit("")), "qname").alias("label"))

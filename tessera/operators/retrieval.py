@@ -42,9 +42,10 @@ CAPS = {
 }
 # Names that say little unless the question has them.
 GENERIC = (
-    "main run start stop init stats status health ping version info config settings setup configure parse_args cli command exec execute write_report "
-    "render_report to_json to_dict from_dict as_dict loads dumps echo log print debug register load build_app create_app"
-).split()
+    "main", "run", "start", "stop", "init", "stats", "status", "health", "ping", "version", "info", "config", "settings", "setup", "configure",
+    "parse_args", "cli", "command", "exec", "execute", "write_report", "render_report", "to_json", "to_dict", "from_dict", "as_dict", "loads",
+    "dumps", "echo", "log", "print", "debug", "register", "load", "build_app", "create_app",
+)
 TEST_INFRA = ("fixture", "conftest", "setup_method", "teardown_method", "setup", "teardown")
 
 
@@ -64,9 +65,14 @@ def query_terms(question: str) -> list[str]:
 
 
 def rrf(lists: DataFrame, k: int = RRF_K, limit: int = SEEDS) -> DataFrame:
-    """Reciprocal rank fusion of ``source, qname, rank`` (from 0): ``qname, rrf, sources``, the ``limit`` best."""
-    fused = lists.groupBy("qname").agg(F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return fused.orderBy(F.desc(F.round("rrf", 12)), "qname").limit(limit)
+    """Reciprocal rank fusion of ``source, qname, rank`` (from 0): ``qname, rrf, sources, pinned``, the ``limit`` best.
+
+    Pinned ones (those with a source of that name) stand before all others.
+    """
+    fused = lists.groupBy("qname").agg(
+        F.sum(1.0 / (F.lit(k) + F.col("rank"))).alias("rrf"), F.array_sort(F.collect_set("source")).alias("sources"), F.max(F.col("source") == "pinned").alias("pinned")
+    )
+    return fused.orderBy(F.desc("pinned"), F.desc(F.round("rrf", 12)), "qname").limit(limit)
 
 
 def identifier_hits(symbols: DataFrame, terms: list[str], per_term: int = 3) -> DataFrame:
@@ -87,14 +93,18 @@ def expand(seeds: DataFrame, targets: DataFrame, mode: str, depth: int) -> DataF
     out, into = MODE_EDGES[mode]
     forward = targets.where(F.col("edge_type").isin(*out)).select(F.col("src").alias("qname"), F.col("target").alias("to"), "confidence")
     backward = targets.where(F.col("dst").isNotNull() & F.col("edge_type").isin(*into)).select(F.col("dst").alias("qname"), F.col("src").alias("to"), "confidence")
-    steps = forward.unionByName(backward).where("to is not null").groupBy("qname", "to").agg(F.max("confidence").alias("confidence"))
+    steps = forward.unionByName(backward).where("to is not null")
+
+    def onward(of: DataFrame, gain: Column) -> DataFrame:
+        # at most a few thousand names go to the edges; what they reach is aggregated, not the edges of all others
+        return steps.join(of, "qname").groupBy(F.col("to").alias("qname")).agg(F.max(gain * F.col("confidence")).alias("graph"))
+
     start = seeds.select("qname", "norm", F.lit(0).alias("distance"))
-    one = steps.join(start, "qname").groupBy(F.col("to").alias("qname")).agg(F.max(F.col("norm") * DECAY * F.col("confidence")).alias("graph"))
-    one = one.withColumn("distance", F.lit(1))
+    one = onward(start.select("qname", "norm"), F.col("norm") * DECAY).withColumn("distance", F.lit(1))
     reached = start.select("qname", F.lit(0.0).alias("graph"), "distance").unionByName(one)
     if depth > 1:
         fresh = one.join(start.select("qname"), "qname", "left_anti").select("qname")
-        two = steps.join(fresh, "qname").groupBy(F.col("to").alias("qname")).agg(F.max(DECAY * F.col("confidence")).alias("graph"))
+        two = onward(fresh, F.lit(DECAY))
         reached = reached.unionByName(two.withColumn("distance", F.lit(2)))
     return reached.groupBy("qname").agg(F.least(F.max("graph"), F.lit(1.0)).alias("graph"), F.min("distance").alias("distance"))
 
@@ -105,12 +115,19 @@ def name_tokens(qname: Column | str) -> Column:
     return F.filter(F.transform(pieces, F.lower), lambda t: F.length(t) > 1)
 
 
+def overlap(terms: list[str]) -> Column:
+    """Share of the question's words in the qualified name: three make it whole."""
+    asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    return F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct(name_tokens("qname")), asked)) / 3.0)
+
+
 def rerank(candidates: DataFrame, terms: list[str], mode: str) -> DataFrame:
-    """Add ``final``: the weighted blend of the channels of ``qname, name, kind, path, bm25, vector, graph, distance, sources``."""
+    """Add ``final``: the weighted blend of the channels of ``qname, name, kind, path, bm25, vector, graph, distance, sources``,
+    with what pinned seeds gain."""
     w = WEIGHTS[mode]
     c = F.col
     asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    overlap = F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct(name_tokens("qname")), asked)) / 3.0)
+    shared = overlap(terms)
     test = (c("kind") == "test") | c("name").startswith("test") | F.lower(F.coalesce("path", F.lit(""))).contains("test")
     editing, explaining = mode in ("edit", "feature", "refactor", "debug"), mode in ("explain", "onboarding")
     secret = reduce(lambda a, b: a | b, [F.lower("qname").contains(k) for k in ("auth", "login", "session", "token", "secret")])
@@ -134,10 +151,13 @@ def rerank(candidates: DataFrame, terms: list[str], mode: str) -> DataFrame:
     generic = F.when(
         (low.isin(*GENERIC) & ~F.array_contains(asked, low)) | (low.isin(*TEST_INFRA) & F.lit("test" not in terms)), 0.20
     ).otherwise(0.0)
-    blend = w[0] * c("bm25") + w[1] * c("vector") + w[2] * c("graph") + w[3] * overlap + w[4] * fit + w[5] * near + w[6] * intent - w[7] * generic
+    blend = w[0] * c("bm25") + w[1] * c("vector") + w[2] * c("graph") + w[3] * shared + w[4] * fit + w[5] * near + w[6] * intent - w[7] * generic
     blend = blend + F.when((c("bm25") > 0) & (c("vector") > 0), 0.05).otherwise(0.0)
     blend = blend + F.when((c("distance") == 0) & F.array_contains("sources", "identifier"), 0.05).otherwise(0.0)
-    return candidates.withColumn("final", F.when(c("kind") == "file_summary", blend * 0.45).otherwise(blend))
+    pinned = F.array_contains("sources", "pinned")
+    blend = blend + F.when((c("distance") == 0) & pinned, 0.10).otherwise(0.0)
+    # a summary of a file weighs little unless the file was asked for
+    return candidates.withColumn("final", F.when((c("kind") == "file_summary") & ~pinned, blend * 0.45).otherwise(blend))
 
 
 def estimate_tokens(text: Column | str) -> Column:
@@ -145,30 +165,36 @@ def estimate_tokens(text: Column | str) -> Column:
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / 4)))
 
 
+STEP = 1000
+"""Candidates that a pack looks at at a time."""
+
+
 def pack(ranked: DataFrame, mode: str, budget: int) -> DataFrame:
     """The candidates that a pack takes in rank order: ``qname, rank, tokens``.
 
-    ``ranked`` has ``qname, path, rank, tokens, seeded``; it is a result list of at most a few thousand candidates, which
-    an ordered fold goes through once. A candidate is passed over if its file or the pack is full, if too many came by
-    the graph alone, or if it does not fit in what is left; one passed over for its size uses up its graph place.
+    ``ranked`` has ``qname, path, final, tokens, seeded`` and may have ``pinned``. A candidate is passed over if its file
+    (unless pinned) or the pack is full, if too many came by the graph alone, or if it does not fit in what is left; one
+    passed over for its size uses up its graph place. The best ``STEP`` candidates are looked at, then the next ones, until
+    the pack is full or there are no more, so the driver holds ``STEP`` names however many the graph reached.
     """
     per_file, graph_hits, capsules, _, share = CAPS[mode]
     room = max(800, int(budget * share))
-    rows = F.array_sort(F.collect_list(F.struct("rank", "qname", "path", "tokens", "seeded")))
-    start = F.struct(
-        F.array().cast("array<struct<qname:string,rank:int,tokens:int,path:string>>").alias("taken"), F.lit(0).alias("spent"), F.lit(0).alias("graph"),
-    )
-
-    def step(s: Column, r: Column) -> Column:
-        same_file = F.size(F.filter(s["taken"], lambda t: t["path"].eqNullSafe(r["path"])))
-        open_ = (F.size(s["taken"]) < capsules) & (same_file < per_file) & (r["seeded"] | (s["graph"] < graph_hits))
-        fits = open_ & (s["spent"] + r["tokens"] <= room)
-        one = F.struct(r["qname"].alias("qname"), r["rank"].alias("rank"), r["tokens"].alias("tokens"), r["path"].alias("path"))
-        return F.struct(
-            F.when(fits, F.concat(s["taken"], F.array(one))).otherwise(s["taken"]).alias("taken"),
-            (s["spent"] + F.when(fits, r["tokens"]).otherwise(0)).cast("int").alias("spent"),
-            (s["graph"] + F.when(open_ & ~r["seeded"], 1).otherwise(0)).cast("int").alias("graph"),
-        )
-
-    folded = ranked.agg(rows.alias("rows")).select(F.aggregate("rows", start, step).alias("s"))
-    return folded.select(F.inline("s.taken")).select("qname", "rank", "tokens")
+    taken: list[tuple[str, int, int]] = []
+    of_file: dict[str | None, int] = {}
+    spent = graph = at = 0
+    pinned = F.col("pinned") if "pinned" in ranked.columns else F.lit(False)
+    ordered = ranked.select("qname", "path", "tokens", "seeded", pinned.alias("pinned"), "final").orderBy(F.desc(F.round("final", 9)), "qname")
+    while len(taken) < capsules:
+        rows = ordered.offset(at).limit(STEP).collect()
+        for r in rows:
+            at += 1
+            if len(taken) >= capsules or (not r["pinned"] and of_file.get(r["path"], 0) >= per_file) or (not r["seeded"] and graph >= graph_hits):
+                continue
+            graph += not r["seeded"]
+            if spent + r["tokens"] <= room:
+                taken.append((r["qname"], at, r["tokens"]))
+                spent += r["tokens"]
+                of_file[r["path"]] = of_file.get(r["path"], 0) + 1
+        if len(rows) < STEP:
+            break
+    return ranked.sparkSession.createDataFrame(taken, "qname string, rank int, tokens int")

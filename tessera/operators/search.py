@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
-
 K1, B = 1.5, 0.75
 TOKEN = "([A-Za-z_][A-Za-z0-9_]+)"
 # Stop words of the index.
 STOP_WORDS = (
-    "the and for with from this that into onto self true false none null return import export function class const let var def type "
-    "interface extends implements public private protected static async await yield new delete typeof instanceof in of void throw try "
-    "catch finally if else elif while do switch case break continue pass raise as"
-).split()
+    "the", "and", "for", "with", "from", "this", "that", "into", "onto", "self", "true", "false", "none", "null", "return", "import", "export",
+    "function", "class", "const", "let", "var", "def", "type", "interface", "extends", "implements", "public", "private", "protected", "static",
+    "async", "await", "yield", "new", "delete", "typeof", "instanceof", "in", "of", "void", "throw", "try", "catch", "finally", "if", "else", "elif",
+    "while", "do", "switch", "case", "break", "continue", "pass", "raise", "as",
+)
 
 
 def whole_tokens(text: Column | str) -> Column:
@@ -60,37 +59,13 @@ def doc_freq(index: DataFrame) -> DataFrame:
     return index.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame) -> DataFrame:
-    """``query_id, key, score`` of every document that shares a term with a query (``query_id, query``).
-
-    Query terms count once. The terms of all queries are one small table that is broadcast only below Spark's size
-    limit; documents keep just their postings for those terms before anything is shuffled, and those are written once,
-    since frequencies and scores both read them.
-    """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.concat(whole_tokens("query"), sub_tokens(whole_tokens("query"))))).alias("term"))
-    vocabulary = terms.select("term").distinct()
-    tokens = docs.select(key, whole_tokens(text).alias("tokens"))
-    exploded = tokens.select(
-        key, F.greatest(F.size("tokens"), F.lit(1)).alias("length"), F.explode(F.concat("tokens", sub_tokens(F.col("tokens")))).alias("term")
-    )
-    wanted = cut_lineage(exploded.join(vocabulary, "term").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")))
-    scored = (
-        wanted.join(doc_freq(wanted), "term")
-        .crossJoin(F.broadcast(collection_stats(docs, key, text)))
-        .withColumn("idf", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-        .withColumn("part", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl"))))
-    )
-    return scored.join(terms, "term").groupBy("query_id", key).agg(F.sum("part").alias("score"))
-
-
 def top_per_query(scores: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` best per query with ``rank`` from 1; ties go to the lower key."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def symbol_texts(symbols: DataFrame) -> DataFrame:
-    """What a symbol is searched by: its qualified name in words, name, signature and docstring."""
-    return symbols.withColumn(
-        "text", F.concat_ws(" ", F.translate("qname", ".", " "), "name", F.coalesce("signature", F.lit("")), F.coalesce("docstring", F.lit("")))
-    )
+def symbol_texts(symbols: DataFrame, aliases: DataFrame) -> DataFrame:
+    """What a symbol is searched by: its qualified name in words, name, signature, docstring and alias words."""
+    text = F.concat_ws(" ", F.translate("qname", ".", " "), "name", F.coalesce("signature", F.lit("")), F.coalesce("docstring", F.lit("")), F.coalesce("alias", F.lit("")))
+    return symbols.join(aliases, "qname", "left").withColumn("text", text).drop("alias")

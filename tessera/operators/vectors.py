@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
@@ -80,6 +81,100 @@ def embed_text(text: str | None) -> list[float]:
     return [x / norm for x in vector] if norm else vector
 
 
+class Embedder(Protocol):
+    """What turns texts into vectors; further ones are added to ``EMBEDDERS`` by name."""
+
+    model_id: str
+    dimension: int
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]: ...
+
+
+class HashEmbedder:
+    """The stand-in that needs no model: hashed words and word pairs."""
+
+    model_id, dimension = "hash-stub", DIMENSION
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [embed_text(t) for t in texts]
+
+
+EMBEDDERS: dict[str, Callable[[str | None], Embedder]] = {}
+"""Makers of embedders by provider, in the order in which they are tried; one that can't be made raises ``ImportError``."""
+
+
+def build_embedder(model: str | None = None, prefer: str = "auto") -> Embedder:
+    """The first provider that can be made (only ``prefer``, if it names one), else the stand-in."""
+    if prefer != "hash":
+        for name, make in EMBEDDERS.items():
+            if prefer in ("auto", name):
+                try:
+                    return make(model)
+                except ImportError:
+                    continue
+    return HashEmbedder()
+
+
+def embedder_for_query(retrieval: str) -> Embedder | None:
+    """Lexical questions take no vectors, hybrid ones whatever there is, ``auto`` ones no stand-in."""
+    if retrieval == "bm25":
+        return None
+    chosen = build_embedder()
+    return None if retrieval == "auto" and isinstance(chosen, HashEmbedder) else chosen
+
+
+def text_hash(text: str | None) -> str:
+    """The 128-bit content hash under which a vector is cached."""
+    return hashlib.blake2b((text or "").encode(), digest_size=16).hexdigest()
+
+
+def pack_vector(vector: list[float]) -> bytes:
+    """Little-endian single floats, the form in which other stores keep vectors."""
+    return np.asarray(vector, "<f4").tobytes()
+
+
+def unpack_vector(blob: bytes) -> list[float]:
+    return np.frombuffer(blob, "<f4").tolist()
+
+
+def embedded_text(symbols: DataFrame) -> DataFrame:
+    """``symbol_id, text``: what is embedded of a symbol, its name, signature, the first 240 characters of its docstring
+    and its card, each on a line of its own where there is one."""
+    lines = F.array("qname", "signature", F.substring("docstring", 1, 240), *([F.col("capsule")] if "capsule" in symbols.columns else []))
+    return symbols.select("symbol_id", F.array_join(F.filter(lines, lambda x: x.isNotNull() & (x != "")), "\n").alias("text"))
+
+
+def embed_with_cache(docs: DataFrame, key: str, text: str, cache: DataFrame | None = None, embedder: Embedder | None = None, batch: int = 64) -> DataFrame:
+    """``key, model, content_hash, embedding``: cached vectors of the same key, model and content as they are, the others
+    made ``batch`` texts at a time. A second model has vectors of its own."""
+    embedder = embedder or HashEmbedder()
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], text: b[text], "content_hash": [text_hash(t) for t in b[text]]})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), batch):
+                part = b.iloc[i : i + batch]
+                made = embedder.embed_batch([t or "" for t in part[text]])
+                yield pd.DataFrame({key: part[key], "model": embedder.model_id, "content_hash": part["content_hash"], "embedding": made})
+
+    schema = f"{key} long, model string, content_hash string, embedding array<float>"
+    hashed = docs.select(key, text).mapInPandas(hashes, f"{key} long, {text} string, content_hash string")
+    if cache is None:
+        return hashed.mapInPandas(run, schema)
+    usable = cache.where(F.col("model") == embedder.model_id).select(key, "model", "content_hash", "embedding")
+    missing = hashed.join(usable.select(key, "content_hash"), [key, "content_hash"], "left_anti")
+    kept = usable.join(hashed.select(key, "content_hash"), [key, "content_hash"], "left_semi").select(key, "model", "content_hash", "embedding")
+    return kept.unionByName(missing.mapInPandas(run, schema))
+
+
+def of_model(cache: DataFrame, model: str) -> DataFrame:
+    """The vectors of one model."""
+    return cache.where(F.col("model") == model)
+
+
 def hash_embed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, embedding`` by ``embed_text``, batch by batch."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental as i
-from tessera.operators import processes, retrieval, search, vectors
-from tessera.plans.search import QUERY, SYMBOL_DOCS, bm25_sql
+from tessera.operators import processes, retrieval, vectors
+from tessera.plans.search import ALIAS_CTES, QUERY, SYMBOL_DOCS, bm25_sql, symbol_index
 from tessera.session import cut_lineage
 from tessera.sources import graph
 from tessera.sources.tables import table
@@ -100,15 +100,20 @@ def intent_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _seeds(spark: SparkSession, d: str, symbols: DataFrame) -> DataFrame:
-    one = spark.range(1).select(F.lit(0).alias("query_id"), F.lit(QUERY).alias("query"))
-    docs = search.symbol_texts(symbols)
-    scored = search.bm25(docs, "symbol_id", "text", one).join(docs.select("symbol_id", "qname"), "symbol_id")
-    top = scored.orderBy(F.desc(F.round("score", 9)), "qname").limit(25)
-    rank = (F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "qname")) - 1).alias("rank")
-    lexical = top.select(F.lit("bm25").alias("source"), "qname", rank)
-    named = retrieval.identifier_hits(symbols, retrieval.query_terms(QUERY)).orderBy("qname").limit(25)
-    ident = named.select(F.lit("identifier").alias("source"), "qname", (F.row_number().over(Window.orderBy("qname")) - 1).alias("rank"))
-    return retrieval.rrf(lexical.unionByName(ident))
+    """The lists of the index, of the stored vectors (one per symbol id; the question's is that of id 0) and of names."""
+
+    def ranked(source: str, rows: DataFrame) -> DataFrame:
+        rank = (F.row_number().over(Window.orderBy(F.desc("score"), "qname")) - 1).alias("rank")  # at most 25 rows
+        return rows.orderBy(F.desc("score"), "qname").limit(25).select(F.lit(source).alias("source"), "qname", rank)
+
+    names = symbols.select("symbol_id", "qname")
+    lexical = symbol_index(spark, d).ask(QUERY).join(names, "symbol_id").select("qname", F.round("score", 9).alias("score"))
+    rows = table(spark, d, "embeddings", "vec_id", "embedding")
+    of_symbols = rows.join(names.select(F.col("symbol_id").alias("vec_id")), "vec_id", "left_semi")
+    question = rows.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vectors.top_k(of_symbols, "vec_id", "embedding", question, 25).select(F.col("vec_id").alias("symbol_id"), "score")
+    named = retrieval.identifier_hits(symbols, retrieval.query_terms(QUERY)).withColumn("score", F.lit(1.0))
+    return retrieval.rrf(ranked("bm25", lexical).unionByName(ranked("vector", near.join(names, "symbol_id"))).unionByName(ranked("identifier", named)))
 
 
 def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
@@ -125,8 +130,8 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     facts = symbols.join(graph.files(spark, d).select("file_id", "path"), "file_id", "left").select("qname", "name", "kind", "path", "signature")
     joined = reached.join(norm, "qname", "left").join(facts, "qname")
     sources = F.coalesce("sources", F.array().cast("array<string>"))
-    return joined.select("qname", "name", "kind", "path", "signature", "graph", "distance", sources.alias("sources"),
-        F.when(F.array_contains(sources, "bm25"), F.col("norm")).otherwise(0.0).alias("bm25"), F.lit(0.0).alias("vector"))
+    channels = [F.when(F.array_contains(sources, x), F.col("norm")).otherwise(0.0).alias(x) for x in ("bm25", "vector")]
+    return joined.select("qname", "name", "kind", "path", "signature", "graph", "distance", sources.alias("sources"), *channels)
 
 
 def expand_decay(spark: SparkSession, d: str) -> DataFrame:
@@ -139,11 +144,10 @@ def mode_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_pack(spark: SparkSession, d: str) -> DataFrame:
-    ranked = retrieval.rerank(_candidates(spark, d), retrieval.query_terms(QUERY), MODE).orderBy(F.desc(F.round("final", 9)), "qname").limit(1000)
+    ranked = retrieval.rerank(_candidates(spark, d), retrieval.query_terms(QUERY), MODE)
     card = F.concat_ws("\n", F.concat_ws(" ", "kind", "qname"), F.concat(F.lit("file: "), "path"), F.nullif("signature", F.lit("")))
     listed = ranked.select(
-        "qname", "path", F.row_number().over(Window.orderBy(F.desc(F.round("final", 9)), "qname")).alias("rank"),
-        retrieval.estimate_tokens(card).cast("int").alias("tokens"), (F.size("sources") > 0).alias("seeded"),
+        "qname", "path", "final", retrieval.estimate_tokens(card).cast("int").alias("tokens"), (F.size("sources") > 0).alias("seeded"),
     )
     return retrieval.pack(listed, MODE, BUDGET)
 
@@ -154,12 +158,14 @@ ONE = f"SELECT 0 AS query_id, '{QUERY}' AS query"
 DOT = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))"
 NEAREST = f"""WITH n AS (SELECT b.vec_id AS query_id, a.vec_id, round({DOT}, 9) AS score, a.label, b.label AS wanted, row_number() OVER (PARTITION BY b.vec_id ORDER BY round({DOT}, 9) DESC, a.vec_id) AS rank
   FROM embeddings a JOIN embeddings b ON b.vec_id % 50 = 0), near AS (SELECT * FROM n WHERE rank <= 12)"""
-SEEDS_SQL = f"""{C}, {bm25_sql(SYMBOL_DOCS, ONE, "symbol_id")},
+SEEDS_SQL = f"""{ALIAS_CTES}, {bm25_sql(SYMBOL_DOCS, ONE, "symbol_id")},
 top AS (SELECT qname, row_number() OVER (ORDER BY round(score, 9) DESC, qname) - 1 AS rank FROM scores JOIN symbols_c USING (symbol_id) QUALIFY rank < 25),
 idt AS (SELECT qname, lower(name) AS term FROM symbols_c UNION SELECT qname, lower(split(qname, '.')[-1]) FROM symbols_c),
 idh AS (SELECT DISTINCT qname FROM (SELECT qname, row_number() OVER (PARTITION BY term ORDER BY qname) AS r FROM idt WHERE term IN ({WANTED})) x WHERE r <= 3),
 idr AS (SELECT qname, row_number() OVER (ORDER BY qname) - 1 AS rank FROM idh QUALIFY rank < 25),
-lists AS (SELECT 'bm25' AS source, * FROM top UNION ALL SELECT 'identifier', * FROM idr),
+vtop AS (SELECT qname, row_number() OVER (ORDER BY round({DOT}, 9) DESC, a.vec_id) AS place, round({DOT}, 9) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = 0 JOIN symbols_c ON symbol_id = a.vec_id QUALIFY place <= 25),
+vec AS (SELECT qname, row_number() OVER (ORDER BY score DESC, qname) - 1 AS rank FROM vtop),
+lists AS (SELECT 'bm25' AS source, * FROM top UNION ALL SELECT 'identifier', * FROM idr UNION ALL SELECT 'vector', * FROM vec),
 seeds AS (SELECT qname, sum(1.0::DOUBLE / (60 + rank)) AS rrf, list_sort(list(DISTINCT source)) AS sources FROM lists GROUP BY 1 ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 12) DESC, qname LIMIT 30)"""
 EXPAND_SQL = (
     SEEDS_SQL
@@ -172,7 +178,7 @@ steps AS (SELECT qname, too, max(confidence) AS confidence FROM (SELECT src AS q
 one AS (SELECT too AS qname, max(norm * 0.55 * confidence) AS graph, 1 AS distance FROM steps JOIN norm USING (qname) GROUP BY 1),
 two AS (SELECT too AS qname, max(0.55 * confidence) AS graph, 2 AS distance FROM steps WHERE qname IN (SELECT qname FROM one) AND qname NOT IN (SELECT qname FROM norm) GROUP BY 1),
 reached AS (SELECT qname, least(max(graph), 1.0) AS graph, min(distance) AS distance FROM (SELECT qname, 0.0::DOUBLE AS graph, 0 AS distance FROM norm UNION ALL SELECT * FROM one UNION ALL SELECT * FROM two) x GROUP BY 1),
-cand AS (SELECT r.*, s.name, s.kind, f.path, s.signature, coalesce(n.sources, []) AS sources, CASE WHEN list_contains(n.sources, 'bm25') THEN n.norm ELSE 0.0 END AS bm25
+cand AS (SELECT r.*, s.name, s.kind, f.path, s.signature, coalesce(n.sources, []) AS sources, CASE WHEN list_contains(n.sources, 'bm25') THEN n.norm ELSE 0.0 END AS bm25, CASE WHEN list_contains(n.sources, 'vector') THEN n.norm ELSE 0.0 END AS vector
   FROM reached r JOIN symbols_c s USING (qname) LEFT JOIN files_c f USING (file_id) LEFT JOIN norm n USING (qname))"""
 )
 GENERIC_SQL = ", ".join(f"'{g}'" for g in retrieval.GENERIC)
@@ -185,7 +191,7 @@ sig AS (SELECT *, least(1.0, len(list_intersect(list_distinct(list_filter(list_t
   CASE WHEN kind = 'test' OR starts_with(name, 'test') OR contains(lower(coalesce(path, '')), 'test') THEN 0.4 ELSE 0.0 END AS near,
   CASE WHEN kind IN ('function', 'method', 'component', 'route') THEN 0.4 ELSE 0.0 END AS it,
   CASE WHEN (lower(name) IN ({GENERIC_SQL}) AND lower(name) NOT IN ({TERMS})) OR lower(name) IN ({INFRA_SQL}) THEN 0.2 ELSE 0.0 END AS gen FROM cand),
-fin AS (SELECT *, (0.40 * bm25 + 0.10 * graph + 0.10 * ov + 0.06 * fit + 0.04 * near + 0.04 * it - 0.25 * gen + CASE WHEN distance = 0 AND list_contains(sources, 'identifier') THEN 0.05 ELSE 0.0 END)::DOUBLE
+fin AS (SELECT *, (0.40 * bm25 + 0.36 * vector + CASE WHEN bm25 > 0 AND vector > 0 THEN 0.05 ELSE 0.0 END + 0.10 * graph + 0.10 * ov + 0.06 * fit + 0.04 * near + 0.04 * it - 0.25 * gen + CASE WHEN distance = 0 AND list_contains(sources, 'identifier') THEN 0.05 ELSE 0.0 END)::DOUBLE
   * CASE WHEN kind = 'file_summary' THEN 0.45 ELSE 1.0 END AS final FROM sig)"""
 )
 QUERIES = {
@@ -229,7 +235,7 @@ FROM j LEFT JOIN th ON j.src = th.src AND j.dst = th.dst AND j.edge_type = th.ed
     "mode_rerank": RERANK_SQL + "SELECT qname, round(final, 6) AS final FROM fin",
     "greedy_pack": RERANK_SQL
     + """, rk AS (SELECT qname, path, len(sources) > 0 AS seeded, row_number() OVER (ORDER BY round(final, 9) DESC, qname) AS rank,
-  CAST(greatest(1, floor(length(concat_ws(chr(10), concat_ws(' ', kind, qname), 'file: ' || path, nullif(signature, ''))) / 4)) AS INTEGER) AS tokens FROM fin QUALIFY rank <= 1000),
+  CAST(greatest(1, floor(length(concat_ws(chr(10), concat_ws(' ', kind, qname), 'file: ' || path, nullif(signature, ''))) / 4)) AS INTEGER) AS tokens FROM fin),
 pk AS (SELECT 0::BIGINT AS rank, []::VARCHAR[] AS taken, []::BIGINT[] AS ranks, 0 AS spent, 0 AS gr UNION ALL
   SELECT rank, CASE WHEN fits THEN list_append(taken, coalesce(path, '')) ELSE taken END, CASE WHEN fits THEN list_append(ranks, rank) ELSE ranks END, CASE WHEN fits THEN spent + tokens ELSE spent END, CASE WHEN op AND NOT seeded THEN gr + 1 ELSE gr END
   FROM (SELECT r.rank, r.path, r.seeded, r.tokens, p.taken, p.ranks, p.spent, p.gr, len(p.taken) < 12 AND len(list_filter(p.taken, lambda x: x = coalesce(r.path, ''))) < 5 AND (r.seeded OR p.gr < 8) AS op,

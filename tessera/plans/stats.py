@@ -32,6 +32,17 @@ def framework_pivot(spark: SparkSession, d: str) -> DataFrame:
     return k.crossJoin(t)
 
 
+# Prefixes of names that frameworks give.
+FRAMEWORKS = ("express", "fastify", "nextjs", "fastapi", "flask", "django", "pytest", "jest", "prisma", "orm", "schema", "env", "config", "http", "spring", "react")
+
+
+def file_frameworks(spark: SparkSession, d: str) -> DataFrame:
+    """Files in which each framework shows, by the prefix of the names that it gives."""
+    prefix = F.substring_index("qname", "::", 1)
+    rows = graph.symbols(spark, d).where(F.contains("qname", F.lit("::")) & prefix.isin(*FRAMEWORKS))
+    return rows.groupBy(prefix.alias("framework")).agg(F.count_distinct("file_id").alias("n_files"), F.count("*").alias("n_symbols"))
+
+
 def repo_map(spark: SparkSession, d: str) -> DataFrame:
     top = F.when(F.instr("path", "/") > 0, F.substring_index("path", "/", 1)).otherwise("(root)")
     return graph.files(spark, d).groupBy(top.alias("folder")).agg(F.count("*").alias("n_files")).orderBy(F.desc("n_files"), "folder").limit(12)

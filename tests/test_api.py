@@ -26,9 +26,20 @@ def test_library(spark, tmp_path):
     rows = ranked.orderBy("rank").collect()
     assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and symbol.qname in {r.qname for r in rows}
     text = g.ask(f"fix {symbol.name} in the loader")
-    assert text.startswith("# fix") and symbol.qname in text
+    assert f"fix {symbol.name}" in text and f"Capsule: {symbol.qname}" in text and "Seed match via" in text and "## Repo map" in text
     plan = g.prepare_edit(f"change {symbol.name} and the auth token")
-    assert plan["files"].count() >= 1 and [r.keyword for r in plan["risk_keywords"].collect()] == ["auth", "token"]
+    assert plan["files"].count() >= 1 and {"auth", "token"} <= {r.keyword for r in plan["risk_keywords"].collect()}
+    assert {r.risk for r in plan["risks"].collect()} >= {"task"} and plan["symbols"].count() >= 1 and plan["timings"].count() == 8
+    assert plan["neighbours"].count() >= 0 and plan["traces"].count() >= 0 and plan["tests"].count() <= 5
+    assert {r.stage for r in g.audit("fix the loader").collect()} >= {"seeds.fused", "expanded_candidates"}
+    assert g.node(f"symbol:{symbol.qname}")["node"].count() == 1 and g.node("folder:x")["files"].count() == 0
+    for name in ("full", "repo", "symbols", "calls", "processes", "framework"):
+        nodes, edges = g.view(name)
+        assert nodes.columns and edges.join(nodes.withColumnRenamed("id", "source"), "source", "left_anti").count() == 0, name
+    nodes, edges = g.view("full", max_nodes=20, max_edges=5)
+    assert nodes.count() == 20 and edges.count() <= 5
+    g.export_processes(str(tmp_path / "p"))
+    g.export_impact(symbol.qname, str(tmp_path / "i"))
     assert g.patch_impact(symbol.qname).count() == 1 and g.related_tests(symbol.qname).count() >= 0 and g.callers_and_callees(symbol.qname).count() >= 0
     assert g.search("a").count() > 0 and g.object_roles().count() > 0 and g.languages().count() > 0
     g.export_graph(str(tmp_path / "g"))

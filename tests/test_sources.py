@@ -6,6 +6,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from tessera.operators.postings import StoredIndex
 from tessera.operators import retrieval, search, vectors, workflow
 from tessera.operators.resolution import js_relative_module, python_relative_module
 from tessera.sources import parsers, repository, sinks
@@ -89,11 +90,29 @@ def test_modules_of_relative_imports(spark):
     assert df.select(python_relative_module(F.lit("pkg.sub.mod"), F.lit("..x")).alias("v")).first().v == "pkg.x"
 
 
-def test_bm25_of_empty_and_null_texts(spark):
+def test_bm25_of_empty_and_null_texts(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "beta beta")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "beta beta gamma")], "query_id int, query string")
-    got = search.top_per_query(search.bm25(docs, "doc_id", "text", q), "doc_id", 5).collect()
+    got = search.top_per_query(StoredIndex.build(docs, "doc_id", "text", str(tmp_path / "i")).ask_many(q), "doc_id", 5).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank)] == [4, 1]
+    index = StoredIndex(spark, str(tmp_path / "i"), "doc_id")
+    assert [r.doc_id for r in index.ask("beta beta gamma").orderBy("score", ascending=False).collect()] == [4, 1]
+    assert index.ask("").count() == 0 and index.lookup([]).count() == 0 and index.ask("nothing here").count() == 0
+    assert {(r.term, r.df) for r in index.terms().collect()} == {("alpha", 1), ("beta", 2)} and index.figures().first().n_docs == 4
+    asked = spark.createDataFrame([(1,), (4,), (77,)], "doc_id long")
+    assert {r.doc_id: r.length for r in index.document_length(asked).collect()} == {1: 2, 4: 2, 77: 1}
+    empty = StoredIndex.build(docs.limit(0), "doc_id", "text", str(tmp_path / "e"))
+    assert empty.ask("beta").count() == 0 and empty.figures().first().n_docs == 1
+
+
+def test_a_lookup_reads_the_folders_of_its_terms_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"common word{i} other{i % 7}") for i in range(300)], "doc_id long, text string")
+    index = StoredIndex.build(docs, "doc_id", "text", str(tmp_path / "i"))
+    found = index.lookup(["common", "other3"])
+    assert found.count() == 300 + len([i for i in range(300) if i % 7 == 3])
+    plan = found._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    assert len({f.split("/bucket=")[1].split("/")[0] for f in found.inputFiles()} if found.inputFiles() else set()) <= 64
 
 
 def test_vector_search_against_brute_force(spark):
