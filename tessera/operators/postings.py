@@ -38,14 +38,15 @@ class StoredIndex:
         rows.repartitionByRange(parallelism(spark), "bucket", "term", key).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy(
             "bucket"
         ).parquet(f"{path}/postings")
-        spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+        index = cls(spark, path, key)
+        index.postings().groupBy("bucket", "term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
         search.lengths(docs, key, text).write.mode("overwrite").parquet(f"{path}/lengths")
-        figures = spark.read.parquet(f"{path}/lengths").agg(
+        figures = index.lengths().agg(
             F.greatest(F.count("*"), F.lit(1)).alias("n_docs"), F.greatest(F.coalesce(F.avg("length"), F.lit(1.0)), F.lit(1.0)).alias("avgdl")
         )
         # written last: its presence tells that the index is whole
         figures.coalesce(1).write.mode("overwrite").parquet(f"{path}/figures")
-        return cls(spark, path, key)
+        return index
 
     def postings(self) -> DataFrame:
         return self.spark.read.schema(f"{self.key} long, term string, tf long, length int, bucket int").parquet(f"{self.path}/postings")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage
+
 THRESHOLD, MOST, SIGNAL_MOST = 0.55, 0.98, 0.99
 ROUTE_TYPES, EXTERNAL_TYPES = ("HANDLES_ROUTE", "ROUTES_TO", "ROUTE_HANDLED_BY"), ("FETCHES", "CALLS_EXTERNAL")
 TEST_TYPES, DB_TYPES = ("TESTS", "TESTS_SYMBOL", "COVERS_ROUTE", "COVERS_PROCESS"), ("QUERIES", "MODEL_USED_BY")
@@ -127,15 +129,46 @@ def position_signals(edges: DataFrame, symbols: DataFrame, signals: DataFrame) -
     return at.select("qname", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("qname", "hit.*")
 
 
-def classify(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """``qname, role, confidence, n_signals`` of every role with combined confidence of at least the threshold."""
+def signals(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """``qname, role, source, confidence, n``: all evidence; ``n`` counts equal signals of edges."""
     first = symbol_signals(symbols).withColumn("n", F.lit(1).cast("long")).unionByName(edge_signals(edges, symbols))
-    every = first.unionByName(position_signals(edges, symbols, first).withColumn("n", F.lit(1).cast("long")))
+    return first.unionByName(position_signals(edges, symbols, first).withColumn("n", F.lit(1).cast("long")))
+
+
+def combine(evidence: DataFrame) -> DataFrame:
+    """``qname, role, confidence, n_signals`` of every role with combined confidence of at least the threshold."""
     doubt = F.exp(F.sum(F.col("n") * F.log(1 - F.least(F.col("confidence"), F.lit(SIGNAL_MOST)))))
-    roles = every.groupBy("qname", "role").agg(F.round(F.least(1 - doubt, F.lit(MOST)), 4).alias("confidence"), F.sum("n").alias("n_signals"))
+    roles = evidence.groupBy("qname", "role").agg(F.round(F.least(1 - doubt, F.lit(MOST)), 4).alias("confidence"), F.sum("n").alias("n_signals"))
     return roles.where(F.col("confidence") >= THRESHOLD)
 
 
+def classify(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    return combine(signals(symbols, edges))
+
+
+def reasons(evidence: DataFrame) -> DataFrame:
+    """``qname, role, reason, signals_json`` of every role: its three strongest signals as text, and all of them as JSON.
+
+    Equal signals are put together first, so a symbol with very many framework edges has few.
+    """
+    merged = evidence.groupBy("qname", "role", "source", "confidence").agg(F.sum("n").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("confidence")).alias("c"), "source", "n")))
+    listed = merged.groupBy("qname", "role").agg(order.alias("s"))
+    text = F.array_join(F.transform(F.slice("s", 1, 3), lambda x: F.format_string("%s %.2f", x["source"], -x["c"])), "; ")
+    json = F.to_json(F.transform("s", lambda x: F.struct(x["source"].alias("source"), F.round(-x["c"], 4).alias("confidence"), x["n"].alias("n"))))
+    return listed.select("qname", "role", text.alias("reason"), json.alias("signals_json"))
+
+
+def role_rows(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """Roles as they are stored: ``qname, role, confidence, n_signals, reason, signals_json``."""
+    evidence = cut_lineage(signals(symbols, edges))
+    return combine(evidence).join(reasons(evidence), ["qname", "role"])
+
+
+def roles_of(roles: DataFrame, qname: str) -> DataFrame:
+    return roles.where(F.col("qname") == qname).orderBy(F.desc("confidence"), "role")
+
+
 def primary(roles: DataFrame) -> DataFrame:
     """The most confident role of each symbol; ties go to the first name."""
     return roles.groupBy("qname").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "role")).alias("best")).select("qname", "best.role", (-F.col("best.c")).alias("confidence"))

@@ -30,7 +30,7 @@ def resolution_strategy_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resolve_import_bindings(spark: SparkSession, d: str) -> DataFrame:
-    return r.resolve_bindings(graph.imports(spark, d), graph.symbols(spark, d)).select("import_id", "target")
+    return r.resolve_bindings(graph.imports(spark, d), graph.symbols(spark, d), graph.files(spark, d)).select("import_id", "target")
 
 
 def _rate(part: str, whole: str):

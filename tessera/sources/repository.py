@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import fnmatch
+import os
 import re
+import subprocess
 import zipfile
 from pathlib import PurePosixPath
 
@@ -15,10 +17,12 @@ from tessera.sources.graph import language_of
 MAX_BYTES = 1_000_000
 # Folders and files that are never read.
 IGNORED = (
-    ".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", "dist", "build", "target", ".next", ".nuxt", "coverage", ".pytest_cache",
-    ".mypy_cache", ".ruff_cache", ".tox", ".idea", ".vscode", "vendor", "*.min.js", "*.map", "*.lock", "*.pyc",
+    ".git/", ".hg/", ".svn/", "node_modules/", "__pycache__/", ".venv/", "venv/", "env/", "dist/", "build/", "vendor/", ".next/", ".gradle/", ".idea/",
+    ".vscode/", "coverage/", ".cache/", ".pytest_cache/", ".mypy_cache/", ".ruff_cache/", "target/", "*.min.js", "*.min.css", "*.lock", "package-lock.json",
+    "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "Pipfile.lock",
 )
-SECRET_FILES = (".env", ".env.local", ".env.production", "id_rsa", "id_dsa", "credentials.json", "secrets.json", ".npmrc", ".pypirc")
+SECRET_FILES = (".env", ".env.local", ".env.production", "credentials.json", "secrets.json")
+IGNORE_FILES = (".gitignore", ".tesseraignore")
 
 
 def ignore_condition(path: Column | str, patterns: tuple[str, ...] | list[str] = IGNORED) -> Column:
@@ -48,9 +52,10 @@ def scan_repository(spark: SparkSession, root: str, ignore: list[str] | None = N
     """``path, language, content, hash, size_bytes`` of the source files below ``root``.
 
     Too large, secret, binary and ignored files and those of unknown language are left out before contents are decoded;
-    bytes that are no UTF-8 become the replacement character.
+    bytes that are no UTF-8 become the replacement character. The repository's own ignore files count like ``ignore``.
     """
     base = "/" + PurePosixPath(root).as_posix().strip("/") + "/"
+    ignore = [*(ignore or []), *own_patterns(spark, root)]
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where(F.col("length") <= MAX_BYTES)
     path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(base), "")
     rows = raw.select(path.alias("path"), "content", F.col("length").alias("size_bytes")).withColumn("language", language_of("path"))
@@ -61,6 +66,26 @@ def scan_repository(spark: SparkSession, root: str, ignore: list[str] | None = N
     return rows.select("path", "language", F.decode("content", "UTF-8").alias("content"), F.sha2("content", 256).alias("hash"), "size_bytes")
 
 
+def own_patterns(spark: SparkSession, root: str) -> list[str]:
+    """The patterns of the ignore files at the top of a repository."""
+    found: list[str] = []
+    for name in IGNORE_FILES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root, name)
+        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+            found += gitignore_patterns("\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()))
+    return found
+
+
+def file_at(files: DataFrame, path: str) -> DataFrame:
+    """The row of one path."""
+    return files.where(F.col("path") == path)
+
+
+def hash_at(files: DataFrame, path: str) -> str | None:
+    row = file_at(files, path).select("hash").first()
+    return row["hash"] if row else None
+
+
 def gitignore_patterns(text: str) -> list[str]:
     return [x.strip() for x in text.splitlines() if x.strip() and not x.strip().startswith(("#", "!"))]
 
@@ -84,9 +109,30 @@ def unsafe_entries(archive: str, max_bytes: int = 200_000_000) -> list[str]:
     return bad
 
 
+def extract_archive(archive: str, folder: str, max_bytes: int = 200_000_000) -> list[str]:
+    """Unpack a ZIP archive below ``folder`` and name the files; an archive with any unsafe entry is refused whole."""
+    bad = unsafe_entries(archive, max_bytes)
+    if bad:
+        raise ValueError(f"unsafe entries: {', '.join(bad[:5])}")
+    with zipfile.ZipFile(archive) as z:
+        z.extractall(folder)
+        return sorted(e.filename for e in z.infolist() if not e.is_dir())
+
+
+def clone_repository(url: str, folder: str, timeout: int = 300) -> str:
+    """A shallow clone of a public repository; other addresses are refused before anything is run."""
+    if not re.fullmatch(PUBLIC_URL, url):
+        raise ValueError(f"not the address of a public repository: {url}")
+    subprocess.run(["git", "clone", "--depth", "1", "--no-tags", "--single-branch", url, folder], check=True, capture_output=True, timeout=timeout, env={"GIT_TERMINAL_PROMPT": "0", "PATH": os.environ.get("PATH", "")})
+    return folder
+
+
+PUBLIC_URL = r"https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?"
+
+
 def valid_repository_url(url: Column | str) -> Column:
     """An https address of a public repository host with owner and name and nothing else."""
-    return (F.col(url) if isinstance(url, str) else url).rlike(r"^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+?(\.git)?/?$")
+    return (F.col(url) if isinstance(url, str) else url).rlike(f"^{PUBLIC_URL}$")
 
 
 def package_scripts(files: DataFrame) -> DataFrame:
@@ -94,3 +140,15 @@ def package_scripts(files: DataFrame) -> DataFrame:
     manifests = files.where(F.col("path").rlike(r"(^|/)package\.json$"))
     scripts = F.from_json(F.get_json_object("content", "$.scripts"), "map<string,string>")
     return manifests.select("path", F.explode(scripts).alias("script", "command"))
+
+
+def manifest_facts(files: DataFrame) -> DataFrame:
+    """``path, fact, name``: what the manifests of a repository tell: scripts of packages, tools of a Python project, targets
+    of a make file, and that there are modules of Go, Rust, Maven, Gradle or .NET."""
+    last = F.element_at(F.split("path", "/"), -1)
+    scripts = package_scripts(files).select("path", F.lit("script").alias("fact"), F.col("script").alias("name"))
+    python = files.where(last == "pyproject.toml").select("path", F.lit("tool").alias("fact"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^\[tool\.([A-Za-z0-9_-]+)"), F.lit(1)))).alias("name"))
+    make = files.where(last == "Makefile").select("path", F.lit("target").alias("fact"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^([A-Za-z][A-Za-z0-9_-]*):(?!=)"), F.lit(1)))).alias("name"))
+    module = F.when(last == "go.mod", "go").when(last == "Cargo.toml", "cargo").when(last == "pom.xml", "maven").when(last.rlike(r"^build\.gradle(\.kts)?$"), "gradle").when(last.rlike(r"\.(csproj|sln)$"), "dotnet")
+    modules = files.select("path", F.lit("module").alias("fact"), module.alias("name")).where("name is not null")
+    return scripts.unionByName(python).unionByName(make).unionByName(modules)

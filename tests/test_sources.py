@@ -53,6 +53,105 @@ def test_files_with_braces():
     assert ("method", "a.b.Store.Load") in {(r["kind"], r["qname"]) for r in go if r["record"] == "symbol"}
 
 
+def parsed(path, language, text):
+    rows = parsers.parse_text(path, language, text)
+    symbols = {(r["kind"], r["qname"]) for r in rows if r["record"] == "symbol"}
+    edges = {(r["kind"], r["qname"], r["dst_name"], r["confidence"]) for r in rows if r["record"] == "edge"}
+    return symbols, edges, {(r["name"], r["dst_name"]) for r in rows if r["record"] == "import"}
+
+
+JAVA = """package a;
+import java.util.List;
+@RestController
+@RequestMapping("/api")
+public class C extends Base implements Runnable, Other<String> {
+  static final int MAX_SIZE = 3;
+  public C(int x) { go(x); }
+  @GetMapping("/x/{id}")
+  public List<String> find(int id) { return load(id); }
+  @Test
+  void checksFind() { find(3); }
+}
+"""
+
+
+def test_java():
+    symbols, edges, imports = parsed("a/C.java", "java", JAVA)
+    assert {("class", "a.C.C"), ("constant", "a.C.C.MAX_SIZE"), ("constructor", "a.C.C.C"), ("method", "a.C.C.find"), ("test_block", "a.C.C.checksFind"), ("route", "route::GET /api/x/{id}")} == symbols
+    assert {("EXTENDS", "a.C.C", "Base", 0.8), ("IMPLEMENTS", "a.C.C", "Runnable", 0.8), ("IMPLEMENTS", "a.C.C", "Other", 0.8)} <= edges
+    assert {("ROUTES_TO", "route::GET /api/x/{id}", "a.C.C.find", 0.9), ("TESTS", "a.C.C.checksFind", "a.C.C.find", 0.75), ("CALLS", "a.C.C.find", "load", 0.55)} <= edges
+    assert imports == {("List", "List")}
+
+
+def test_go():
+    symbols, edges, _ = parsed("a/d.go", "go", 'package a\nconst Limit = 3\nvar table = 1\nfunc TestLoad(t *testing.T) { Load() }\nfunc Load() int { return 1 }\nfunc main() { http.HandleFunc("/x", Load); r.GET("/y", Load) }\n')
+    assert {("constant", "a.d.Limit"), ("variable", "a.d.table"), ("test_block", "a.d.TestLoad"), ("function", "a.d.Load"), ("route", "route::GET /y")} <= symbols
+    assert {("TESTS", "a.d.TestLoad", "a.d.Load", 0.75), ("ROUTES_TO", "route::GET /y", "Load", 0.9)} <= edges
+
+
+def test_csharp():
+    text = 'using System;\n[Route("api/[controller]")]\npublic class OrdersController : ControllerBase, IDisposable {\n    public const int Max = 3;\n    public string Name { get; set; }\n    [HttpGet("{id}")]\n    public Order Get(int id) { return Load(id); }\n    [Fact]\n    public void TestsGet() { Get(1); }\n}\n'
+    symbols, edges, _ = parsed("a/E.cs", "csharp", text)
+    c = "a.E.OrdersController"
+    assert {("class", c), ("constant", f"{c}.Max"), ("property", f"{c}.Name"), ("method", f"{c}.Get"), ("test_block", f"{c}.TestsGet"), ("route", "route::GET /api/orders/{id}")} == symbols
+    assert {("EXTENDS", c, "ControllerBase", 0.8), ("IMPLEMENTS", c, "IDisposable", 0.8), ("TESTS", f"{c}.TestsGet", f"{c}.Get", 0.75), ("ROUTES_TO", "route::GET /api/orders/{id}", f"{c}.Get", 0.9)} <= edges
+
+
+def test_rust():
+    text = "use std::fmt::{Display, Debug};\nconst MAX_LEN: usize = 3;\nstruct S { a: i32 }\nimpl Display for S { fn show(&self) -> i32 { helper(1) } }\nfn helper(x: i32) -> i32 { x }\nmod tests {\n    #[test]\n    fn it_works() { helper(2); }\n}\n"
+    symbols, edges, imports = parsed("a/f.rs", "rust", text)
+    assert {("constant", "a.f.MAX_LEN"), ("struct", "a.f.S"), ("method", "a.f.S.show"), ("function", "a.f.helper"), ("module", "a.f.tests"), ("test_block", "a.f.tests.it_works")} == symbols
+    assert {("IMPLEMENTS", "a.f.S", "Display", 0.8), ("TESTS", "a.f.tests.it_works", "a.f.helper", 0.75)} <= edges and imports == {("Display", "Display"), ("Debug", "Debug")}
+
+
+def test_kotlin():
+    symbols, edges, _ = parsed("a/g.kt", "kotlin", "import a.b.C\ndata class P(val x: Int)\nclass K(val n: Int) : Base(n), Iface {\n    private val size = 3\n    fun twice(x: Int) = x * 2\n    @Test\n    fun checks() { twice(2) }\n}\n")
+    assert {("class", "a.g.P"), ("class", "a.g.K"), ("property", "a.g.K.size"), ("method", "a.g.K.twice"), ("test_block", "a.g.K.checks")} == symbols
+    assert {("EXTENDS", "a.g.K", "Base", 0.8), ("IMPLEMENTS", "a.g.K", "Iface", 0.8), ("TESTS", "a.g.K.checks", "a.g.K.twice", 0.75)} <= edges
+
+
+SCRIPT = """import def, { one as uno, two } from './m';
+const { a, b: c } = require('x');
+const f = <T,>(x: T) => x;
+const g = async (x: number): Promise<number> => x + uno(1);
+router.get('/z', auth, limit, handler);
+fastify.route({ method: 'GET', url: '/w', handler: show });
+it('adds', () => { two(1); });
+fetch(`/api/${id}`); fetch(url); fetch('/plain');
+class A extends B<C<D>> implements I { m(x: Map<string, number>): void { uno(x) } }
+"""
+
+
+def test_scripts():
+    symbols, edges, imports = parsed("a/h.ts", "typescript", SCRIPT)
+    assert {("function", "a.h.f"), ("function", "a.h.g"), ("class", "a.h.A"), ("route", "express::GET /z"), ("route", "fastify::GET /w"), ("test_block", "jest::a/h.ts::adds")} <= symbols
+    assert {("USES_MIDDLEWARE", "express::GET /z", "auth", 0.8), ("HANDLES_ROUTE", "express::GET /z", "handler", 0.85), ("HANDLES_ROUTE", "fastify::GET /w", "show", 0.85)} <= edges
+    assert {("TESTS_SYMBOL", "jest::a/h.ts::adds", "two", 0.55), ("EXTENDS", "a.h.A", "B", 0.8), ("IMPLEMENTS", "a.h.A", "I", 0.8)} <= edges
+    assert {(e[2], e[3]) for e in edges if e[0] == "FETCHES"} == {("/api/:param", 0.55), ("url", 0.55), ("/plain", 0.75)}
+    assert imports == {("def", "default"), ("uno", "one"), ("two", "two"), ("a", "a"), ("c", "b")}
+
+
+def test_python_frameworks():
+    text = 'LIMIT = 3\nurlpatterns = [path("x/<int:id>/", views.show)]\nclass M(Base):\n    __tablename__ = "ms"\n@pytest.fixture\ndef db(): return 1\ndef f(): return LIMIT + LIMIT\ndef test_f(db): assert f()\n'
+    symbols, edges, _ = parsed("a/u.py", "python", text)
+    assert {("route", "django::ANY /x/<int:id>"), ("model", "orm::M"), ("fixture", "pytest::a/u.py::db")} <= symbols
+    assert {("ROUTE_HANDLED_BY", "django::ANY /x/<int:id>", "show", 0.9), ("READS_CONSTANT", "a.u.f", "a.u.LIMIT", 0.85), ("USES_FIXTURE", "pytest::a/u.py::test_f", "pytest::a/u.py::db", 0.8)} <= edges
+    assert parsers.join_route("/api/", "/x/") == "/api/x" and parsers.join_route("", "") == "/"
+
+
+def test_long_labels_stay_apart():
+    long = "x" * 300
+    names = {q for k, q in parsed("a.ts", "typescript", f"it('{long}1', () => {{}});\nit('{long}2', () => {{}});\n")[0] if k == "test_block"}
+    assert len(names) == 2
+
+
+def test_a_provider_and_a_detector_can_be_added(monkeypatch):
+    monkeypatch.setitem(parsers.PROVIDERS, "php", lambda x, language: x.symbol("function", "f", 1, 1))
+    monkeypatch.setattr(parsers, "DETECTORS", [*parsers.DETECTORS, lambda x, language: x.edge("SEES", x.module, "it", 1, 0.5)])
+    symbols, edges, _ = parsed("a.php", "php", "<?php")
+    assert symbols == {("function", "a.f")} and ("SEES", "a", "it", 0.5) in edges
+
+
 def test_broken_and_empty_files_get_a_summary(spark):
     for text in ("def broken(:\n", ""):
         assert [r["kind"] for r in parsers.parse_text("x.py", "python", text)] == ["file_summary"]
@@ -133,8 +232,8 @@ def test_vector_search_against_brute_force(spark):
 def test_intents_keywords_and_packs(spark):
     df = spark.createDataFrame([("What breaks if I change it",), ("rename the parser",), ("hello",)], "q string")
     assert [r.i for r in df.select(retrieval.classify_intent("q").alias("i")).collect()] == ["impact_analysis", "refactor", "explain"]
-    assert workflow.task_keyword("Fix the parser and lexers") == "parser" and workflow.risk_keywords("rotate auth token") == ["auth", "token"]
-    ranked = spark.createDataFrame([(f"q{i}", "same.py", i, 10, True) for i in range(1, 9)], "qname string, path string, rank int, tokens int, seeded boolean")
+    assert workflow.task_keyword("Fix the parser and lexers") == "parser" and workflow.risk_keywords("rotate auth token") == ["rotate", "auth", "token"]
+    ranked = spark.createDataFrame([(f"q{i}", "same.py", 1.0 / i, 10, True) for i in range(1, 9)], "qname string, path string, final double, tokens int, seeded boolean")
     assert [r.rank for r in retrieval.pack(ranked, "edit", 6000).collect()] == [1, 2, 3, 4, 5]
 
 
