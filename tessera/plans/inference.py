@@ -53,10 +53,10 @@ def _list_sql(values: tuple[str, ...]) -> str:
 
 
 SIGNALS = " UNION ALL ".join(
-    [f"SELECT qname, '{role}' AS role, {c}::DOUBLE AS c, 1 AS n FROM base WHERE k IN ({_list_sql(n)})" for role, n, c in r.KIND_RULES]
-    + [f"SELECT qname, '{role}', {c}, 1 FROM base WHERE {_any_sql('pth', n)}" for role, n, c in r.PATH_RULES]
-    + [f"SELECT qname, '{role}', {c}, 1 FROM base WHERE list_has_any(words, [{_list_sql(n)}])" for role, n, c in r.NAME_RULES]
-    + [f"SELECT qname, '{role}', {c}, 1 FROM base WHERE {_any_sql('blob', n)}" for role, n, c in r.METADATA_RULES]
+    [f"SELECT qname, '{role}' AS role, {c}::DOUBLE AS c, 1 AS n, 'framework' AS s FROM base WHERE k IN ({_list_sql(n)})" for role, n, c in r.KIND_RULES]
+    + [f"SELECT qname, '{role}', {c}, 1, 'path' FROM base WHERE {_any_sql('pth', n)}" for role, n, c in r.PATH_RULES]
+    + [f"SELECT qname, '{role}', {c}, 1, 'name' FROM base WHERE list_has_any(words, [{_list_sql(n)}])" for role, n, c in r.NAME_RULES]
+    + [f"SELECT qname, '{role}', {c}, 1, 'metadata' FROM base WHERE {_any_sql('blob', n)}" for role, n, c in r.METADATA_RULES]
 )
 EVERY = (*r.ROUTE_TYPES, *r.EXTERNAL_TYPES, *r.TEST_TYPES, *r.DB_TYPES)
 ROLES_SQL = (
@@ -70,11 +70,11 @@ base AS (SELECT qname, lower(coalesce(kind, '')) AS k, replace(lower(coalesce(pa
   lower(concat_ws(' ', coalesce(signature, ''), coalesce(docstring, ''), coalesce(return_type, ''), coalesce(declared_type, ''), coalesce(parser_backend, ''), coalesce(extras, ''), coalesce(metadata_json, ''))) AS blob FROM pre),
 ed AS (SELECT *, coalesce(dst, dst_name) AS target FROM edges_c WHERE edge_type IN ({_list_sql(EVERY)})),
 first AS ({SIGNALS}
-  UNION ALL SELECT s.qname, 'handler', 0.88, 1 FROM ed JOIN sym s ON s.qname = target WHERE edge_type IN ({_list_sql(r.ROUTE_TYPES)})
-  UNION ALL SELECT s.qname, 'handler', 0.8, 1 FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.ROUTE_TYPES)}) AND kind <> 'route'
-  UNION ALL SELECT s.qname, 'repository', 0.84, 1 FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.DB_TYPES)})
-  UNION ALL SELECT s.qname, 'client', 0.82, 1 FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.EXTERNAL_TYPES)})
-  UNION ALL SELECT s.qname, 'test', 0.84, 1 FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.TEST_TYPES)})),
+  UNION ALL SELECT s.qname, 'handler', 0.88, 1, 'framework' FROM ed JOIN sym s ON s.qname = target WHERE edge_type IN ({_list_sql(r.ROUTE_TYPES)})
+  UNION ALL SELECT s.qname, 'handler', 0.8, 1, 'framework' FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.ROUTE_TYPES)}) AND kind <> 'route'
+  UNION ALL SELECT s.qname, 'repository', 0.84, 1, 'framework' FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.DB_TYPES)})
+  UNION ALL SELECT s.qname, 'client', 0.82, 1, 'framework' FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.EXTERNAL_TYPES)})
+  UNION ALL SELECT s.qname, 'test', 0.84, 1, 'framework' FROM ed JOIN sym s ON s.qname = src WHERE edge_type IN ({_list_sql(r.TEST_TYPES)})),
 h AS (SELECT DISTINCT qname FROM first WHERE role = 'handler'), rp AS (SELECT DISTINCT qname FROM first WHERE role = 'repository'),
 inb AS (SELECT dst AS qname, bool_or(edge_type IN ('CALLS', 'ROUTES_TO', 'HANDLES_ROUTE') AND coalesce(src IN (SELECT qname FROM h), false)) AS cbh, bool_and(edge_type IN ({_list_sql(r.TEST_TYPES)})) AS tested,
   count(*) FILTER (edge_type = 'CALLS') AS cin FROM edges_c WHERE dst IS NOT NULL GROUP BY 1),
@@ -82,9 +82,9 @@ outb AS (SELECT src AS qname, bool_or(edge_type IN ('CALLS', {_list_sql(r.DB_TYP
   count(*) FILTER (edge_type = 'CALLS') AS cout, count(*) AS nout FROM edges_c WHERE src IS NOT NULL GROUP BY 1),
 pos AS (SELECT sym.qname, coalesce(cbh, false) AS cbh, coalesce(tested, false) AS tested, coalesce(cst, false) AS cst, coalesce(cex, false) AS cex, coalesce(cin, 0) AS cin, coalesce(cout, 0) AS cout, coalesce(nout, 0) AS nout,
   sym.qname IN (SELECT qname FROM h) AS ish FROM sym LEFT JOIN inb USING (qname) LEFT JOIN outb USING (qname)),
-every AS (SELECT * FROM first UNION ALL SELECT qname, 'service', 0.88, 1 FROM pos WHERE cbh AND cst UNION ALL SELECT qname, 'service', 0.72, 1 FROM pos WHERE cbh AND NOT cst AND nout > 0 AND NOT ish
-  UNION ALL SELECT qname, 'service', 0.68, 1 FROM pos WHERE cst UNION ALL SELECT qname, 'client', 0.72, 1 FROM pos WHERE cex AND NOT ish UNION ALL SELECT qname, 'test', 0.62, 1 FROM pos WHERE tested
-  UNION ALL SELECT qname, 'utility', 0.56, 1 FROM pos WHERE cin >= 5 AND cout = 0),
+every AS (SELECT * FROM first UNION ALL SELECT qname, 'service', 0.88, 1, 'graph_position' FROM pos WHERE cbh AND cst UNION ALL SELECT qname, 'service', 0.72, 1, 'graph_position' FROM pos WHERE cbh AND NOT cst AND nout > 0 AND NOT ish
+  UNION ALL SELECT qname, 'service', 0.68, 1, 'graph_position' FROM pos WHERE cst UNION ALL SELECT qname, 'client', 0.72, 1, 'graph_position' FROM pos WHERE cex AND NOT ish UNION ALL SELECT qname, 'test', 0.62, 1, 'graph_position' FROM pos WHERE tested
+  UNION ALL SELECT qname, 'utility', 0.56, 1, 'graph_position' FROM pos WHERE cin >= 5 AND cout = 0),
 roles AS (SELECT * FROM (SELECT qname, role, round(least(1 - exp(sum(ln(1 - least(c, 0.99)))), 0.98), 4) AS confidence, CAST(sum(n) AS BIGINT) AS n_signals FROM every GROUP BY 1, 2) x WHERE confidence >= 0.55)"""
 )
 TRACE_SQL = (
