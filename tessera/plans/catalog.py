@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import data_problems, graph, inference, lookups, maintenance, parsing, resolution, search, stats, workflow
+from tessera.plans import data_problems, graph, inference, lookups, maintenance, parsing, resolution, search, stats, stored, workflow
 
-MODULES = (data_problems, search, resolution, graph, stats, inference, maintenance, workflow, parsing, lookups)
+MODULES = (data_problems, search, resolution, graph, stats, inference, maintenance, workflow, parsing, lookups, stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
