@@ -116,13 +116,18 @@ def fingerprint(df: DataFrame) -> str:
     return hashlib.sha256("\n".join(told).encode()).hexdigest()[:24]
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def stored_index(make: Callable[[], DataFrame], key: str, text: str, name: str, sources: list[DataFrame]) -> StoredIndex:
     """The index of the documents that ``make`` gives in the shared folder, built if there is none for the present state
     of the files behind ``sources``."""
     spark = sources[0].sparkSession
     mark = hashlib.sha256(" ".join(map(fingerprint, sources)).encode()).hexdigest()[:24]
     path = f"{shared_folder(spark)}/tessera-index-{name}-{mark}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/figures/_SUCCESS")
-    if not done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done):
+    if not complete(spark, f"{path}/figures"):
         StoredIndex.build(make(), key, text, path)
     return StoredIndex(spark, path, key)

@@ -6,11 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import graph as g
+from tessera.operators import postings
+from tessera.session import shared_folder
 from tessera.sources import graph, parsers, sinks
+from tessera.sources.tables import spread, table
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return parsers.parse_files(graph.files(spark, d, content=True))
+    """All records of all stored files, parsed once for each state of the files and kept in the shared folder."""
+    mark = postings.fingerprint(table(spark, d, "files"))
+    path = f"{shared_folder(spark)}/tessera-parsed-{mark}"
+    if not postings.complete(spark, path):
+        parsers.parse_files(spread(graph.files(spark, d, content=True))).write.mode("overwrite").partitionBy("record").parquet(path)
+    return spark.read.schema(parsers.SCHEMA).parquet(path)
 
 
 def parse_symbols(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +53,10 @@ def line_counts(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (parse_symbols, parse_edges, parse_imports, parse_parameters, graph_payload, line_counts)}
 SQL = {
+    "graph_payload": graph.CANONICAL_SQL
+    + """SELECT 'node' AS part, CAST(json_object('qname', qname, 'kind', kind, 'name', name) AS VARCHAR) AS payload FROM symbols_c UNION ALL
+SELECT 'edge', CAST(json_object('edge_id', edge_id, 'source', 'symbol:' || src, 'target', 'symbol:' || dst, 'rel_type', upper(array_to_string(regexp_extract_all(edge_type, '[A-Za-z0-9]+'), '_'))) AS VARCHAR)
+FROM edges_c WHERE src IN (SELECT qname FROM symbols_c) AND dst IN (SELECT qname FROM symbols_c)""",
     "line_counts": graph.CANONICAL_SQL
     + "SELECT path, length(content) - length(replace(content, chr(10), '')) + 1 AS n_lines, CAST(CASE WHEN length(content) = 0 THEN 0 ELSE greatest(1, floor(length(content) / 4)) END AS BIGINT) AS n_tokens FROM files_c WHERE content IS NOT NULL"
 }

@@ -68,11 +68,18 @@ def scan_repository(spark: SparkSession, root: str, ignore: list[str] | None = N
 
 def own_patterns(spark: SparkSession, root: str) -> list[str]:
     """The patterns of the ignore files at the top of a repository."""
+    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     found: list[str] = []
     for name in IGNORE_FILES:
-        path = spark._jvm.org.apache.hadoop.fs.Path(root, name)
-        if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
-            found += gitignore_patterns("\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}").collect()))
+        # readers of tables take names with a leading dot for hidden files, so the file system is asked
+        path = jvm.org.apache.hadoop.fs.Path(root, name)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            stream = fs.open(path)
+            try:
+                found += gitignore_patterns(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
     return found
 
 
