@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import processes, retrieval, vectors
+from tessera.operators import retrieval, vectors
 from tessera.operators.postings import StoredIndex
 from tessera.session import cut_lineage
 
@@ -61,8 +61,7 @@ def candidates(
     seeds = cut_lineage(retrieval.rrf(lists))
     best = seeds.agg(F.max("rrf").alias("m"))
     norm = seeds.crossJoin(F.broadcast(best)).select("qname", (F.col("rrf") / F.col("m")).alias("norm"), "sources")
-    targets = processes.resolved_targets(edges, symbols)
-    reached = retrieval.expand(norm, targets, mode, 2 if mode in DEEP else 1)
+    reached = retrieval.expand(norm, edges, symbols, mode, 2 if mode in DEEP else 1)
     facts = symbols.join(files.select("file_id", "path"), "file_id", "left").select("qname", "name", "kind", "path", "signature", "start_line", "end_line")
     sources = F.coalesce("sources", F.array().cast("array<string>"))
     joined = reached.join(norm, "qname", "left").join(facts, "qname").withColumn("sources", sources)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import salted_join
 from tessera.session import cut_lineage, release
 
 FOLLOW = ("CALLS", "QUERIES", "CALLS_EXTERNAL", "FETCHES", "ROUTES_TO")
@@ -32,12 +33,24 @@ def unique_names(symbols: DataFrame) -> DataFrame:
 
 
 def resolved_targets(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Edges with ``target``: the resolved end, else the symbol that the bare name alone can mean; others are left out."""
+    """Edges with ``target``: the resolved end, else the symbol that the bare name alone can mean; others are left out.
+
+    A name means one symbol at most, so the join adds no rows; Spark splits a name with very many edges (skew join).
+    """
     named = edges.where("dst is null and dst_name is not null").join(unique_names(symbols), "dst_name").withColumnRenamed("qname", "target")
     given = edges.where("dst is not null").withColumn("target", F.col("dst"))
     return given.unionByName(named)
 
 
+def salted_targets(edges: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``resolved_targets`` over whole tables, with names of very many edges spread over tasks before the join."""
+    open_edges = edges.where("dst is null and dst_name is not null")
+    counts = open_edges.groupBy("dst_name").agg(F.count("*").alias("n"))
+    keyed = cut_lineage(unique_names(symbols).join(counts, "dst_name").withColumnRenamed("qname", "target"))
+    named = salted_join(open_edges, keyed.select("dst_name", "target", "n"), "dst_name", weight="n", salt="edge_id").drop("n")
+    return edges.where("dst is not null").withColumn("target", F.col("dst")).unionByName(named)
+
+
 def best_steps(targets: DataFrame, keep: int = MAX_DEPTH + 2) -> DataFrame:
     """The ``keep`` best edges of each symbol to different targets: a walk of at most ``MAX_DEPTH`` steps has visited
     fewer targets than that, so no walk can need a worse one, and a symbol with very many edges stays small."""
@@ -139,7 +152,7 @@ def build(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     interface at an edge that fetches, with the route and handler that answer it. The confidence is the
     geometric mean of the steps'.
     """
-    targets = resolved_targets(edges, symbols)
+    targets = salted_targets(edges, symbols)
     starts = cut_lineage(
         entry_traces(symbols, targets, "route", "HANDLES_ROUTE", MIN_CONFIDENCE, "api_flow", MAX_DEPTH).unionByName(
             entry_traces(symbols, targets, "test_block", "TESTS", MIN_CONFIDENCE - 0.05, "test_flow", MAX_DEPTH // 2)

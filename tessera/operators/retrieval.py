@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.processes import resolved_targets
+from tessera.session import cut_lineage
+
 RRF_K, SEEDS, DECAY = 60, 30, 0.55
 
 # Needles of each intent, in the order in which they are tried.
@@ -84,28 +87,31 @@ def identifier_hits(symbols: DataFrame, terms: list[str], per_term: int = 3) ->
     return hit.withColumn("r", F.row_number().over(w)).where(F.col("r") <= per_term).select("qname").distinct()
 
 
-def expand(seeds: DataFrame, targets: DataFrame, mode: str, depth: int) -> DataFrame:
+def expand(seeds: DataFrame, edges: DataFrame, symbols: DataFrame, mode: str, depth: int) -> DataFrame:
     """``qname, graph, distance`` of what the graph reaches from ``seeds`` (``qname, norm``) in at most two hops.
 
     One hop gives the seed's normalised score times decay times the edge's confidence; a second hop gives decay times
-    confidence, since a symbol found on the way has no score of its own yet. The greatest contribution counts.
+    confidence, since a symbol found on the way has no score of its own yet. The greatest contribution counts. The
+    symbols of a level go to the edges first; only the names of the edges that are left are resolved.
     """
     out, into = MODE_EDGES[mode]
-    forward = targets.where(F.col("edge_type").isin(*out)).select(F.col("src").alias("qname"), F.col("target").alias("to"), "confidence")
-    backward = targets.where(F.col("dst").isNotNull() & F.col("edge_type").isin(*into)).select(F.col("dst").alias("qname"), F.col("src").alias("to"), "confidence")
-    steps = forward.unionByName(backward).where("to is not null")
 
     def onward(of: DataFrame, gain: Column) -> DataFrame:
-        # at most a few thousand names go to the edges; what they reach is aggregated, not the edges of all others
-        return steps.join(of, "qname").groupBy(F.col("to").alias("qname")).agg(F.max(gain * F.col("confidence")).alias("graph"))
-
-    start = seeds.select("qname", "norm", F.lit(0).alias("distance"))
-    one = onward(start.select("qname", "norm"), F.col("norm") * DECAY).withColumn("distance", F.lit(1))
-    reached = start.select("qname", F.lit(0.0).alias("graph"), "distance").unionByName(one)
+        from_here = edges.where(F.col("edge_type").isin(*out)).join(of.withColumnRenamed("qname", "src"), "src")
+        forward = resolved_targets(from_here, symbols).select(F.col("target").alias("qname"), (gain * F.col("confidence")).alias("graph"))
+        to_here = edges.where(F.col("edge_type").isin(*into)).join(of.withColumnRenamed("qname", "dst"), "dst")
+        backward = to_here.select(F.col("src").alias("qname"), (gain * F.col("confidence")).alias("graph"))
+        return forward.unionByName(backward).where("qname is not null").groupBy("qname").agg(F.max("graph").alias("graph"))
+
+    start = seeds.select("qname", "norm")
+    one = onward(start, F.col("norm") * DECAY)
+    levels = [start.select("qname", F.lit(0.0).alias("graph"), F.lit(0).alias("distance")), one.withColumn("distance", F.lit(1))]
     if depth > 1:
+        one = cut_lineage(one)
+        levels[1] = one.withColumn("distance", F.lit(1))
         fresh = one.join(start.select("qname"), "qname", "left_anti").select("qname")
-        two = onward(fresh, F.lit(DECAY))
-        reached = reached.unionByName(two.withColumn("distance", F.lit(2)))
+        levels.append(onward(fresh, F.lit(DECAY)).withColumn("distance", F.lit(2)))
+    reached = reduce(DataFrame.unionByName, levels)
     return reached.groupBy("qname").agg(F.least(F.max("graph"), F.lit(1.0)).alias("graph"), F.min("distance").alias("distance"))
 
 

@@ -80,20 +80,19 @@ def symbol_signals(symbols: DataFrame) -> DataFrame:
 def edge_signals(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """Signals of framework edges, one per edge: ``qname, role, source, confidence, n``, counted before the join."""
     target = F.coalesce("dst", "dst_name")
-    typed = edges.select("src", target.alias("target"), "edge_type").where(F.col("edge_type").isin(*ROUTE_TYPES, *EXTERNAL_TYPES, *TEST_TYPES, *DB_TYPES))
-    routes = F.col("edge_type").isin(*ROUTE_TYPES)
-
-    def side(column: str, when: Column, role: str, c: float) -> DataFrame:
-        return typed.where(when).select(F.col(column).alias("qname"), F.lit(role).alias("role"), F.lit(c).alias("confidence"), F.lit(column == "src").alias("by_src"))
-
-    rows = reduce(
-        DataFrame.unionByName,
-        [
-            side("target", routes, "handler", 0.88), side("src", routes, "handler", 0.8), side("src", F.col("edge_type").isin(*DB_TYPES), "repository", 0.84),
-            side("src", F.col("edge_type").isin(*EXTERNAL_TYPES), "client", 0.82), side("src", F.col("edge_type").isin(*TEST_TYPES), "test", 0.84),
-        ],
-    )
-    counted = rows.where("qname is not null").groupBy("qname", "role", "confidence", "by_src").agg(F.count("*").alias("n"))
+    t = F.col("edge_type")
+
+    def hit(when: Column, name: Column, role: str, c: float, by_src: bool) -> Column:
+        return F.when(when & name.isNotNull(), F.struct(name.alias("qname"), F.lit(role).alias("role"), F.lit(c).alias("confidence"), F.lit(by_src).alias("by_src")))
+
+    # one pass over the edges; each gives up to two signals
+    src, routes = F.col("src"), t.isin(*ROUTE_TYPES)
+    hits = [
+        hit(routes, target, "handler", 0.88, False), hit(routes, src, "handler", 0.8, True), hit(t.isin(*DB_TYPES), src, "repository", 0.84, True),
+        hit(t.isin(*EXTERNAL_TYPES), src, "client", 0.82, True), hit(t.isin(*TEST_TYPES), src, "test", 0.84, True),
+    ]
+    rows = edges.where(t.isin(*ROUTE_TYPES, *EXTERNAL_TYPES, *TEST_TYPES, *DB_TYPES)).select(F.inline(F.array_compact(F.array(*hits))))
+    counted = rows.groupBy("qname", "role", "confidence", "by_src").agg(F.count("*").alias("n"))
     known = symbols.select("qname", "kind")
     joined = counted.join(known, "qname").where(~((F.col("role") == "handler") & F.col("by_src") & (F.col("kind") == "route")))
     return joined.select("qname", "role", F.lit("framework").alias("source"), "confidence", "n")

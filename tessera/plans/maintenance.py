@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import incremental as i
-from tessera.operators import processes, retrieval, vectors
+from tessera.operators import retrieval, vectors
 from tessera.plans.search import ALIAS_CTES, QUERY, SYMBOL_DOCS, bm25_sql, symbol_index
 from tessera.session import cut_lineage
 from tessera.sources import graph
@@ -125,8 +125,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
     symbols = graph.symbols(spark, d, "signature", "docstring")
     seeds = cut_lineage(_seeds(spark, d, symbols))
     norm = seeds.crossJoin(F.broadcast(seeds.agg(F.max("rrf").alias("m")))).select("qname", (F.col("rrf") / F.col("m")).alias("norm"), "sources")
-    targets = processes.resolved_targets(graph.edges(spark, d, "confidence"), symbols)
-    reached = retrieval.expand(norm, targets, MODE, 2)
+    reached = retrieval.expand(norm, graph.edges(spark, d, "confidence"), symbols, MODE, 2)
     facts = symbols.join(graph.files(spark, d).select("file_id", "path"), "file_id", "left").select("qname", "name", "kind", "path", "signature")
     joined = reached.join(norm, "qname", "left").join(facts, "qname")
     sources = F.coalesce("sources", F.array().cast("array<string>"))

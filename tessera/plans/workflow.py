@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import intervals, workflow
 from tessera.sources import graph
 from tessera.sources.tables import table
-from tessera.streaming.ingest import windowed_counts
+from tessera.session import shared_folder
+from tessera.streaming.ingest import stream_windowed_counts, windowed_counts
 
 C = graph.CANONICAL_SQL
 
@@ -36,8 +39,8 @@ def patch_impact(spark: SparkSession, d: str) -> DataFrame:
 def tests_by_mention(spark: SparkSession, d: str) -> DataFrame:
     files = graph.files(spark, d, content=True)
     stem = F.regexp_extract("path", r"([^/.]+)[^/]*$", 1)
-    linked = graph.edges(spark, d).where("edge_type = 'TESTS' and dst is not null").select(F.col("dst").alias("qname")).distinct()
-    targets = graph.symbols(spark, d).join(linked, "qname", "left_semi").join(files.select("file_id", stem.alias("stem")), "file_id").select(F.col("qname").alias("target"), "stem")
+    code = graph.symbols(spark, d).where("kind in ('function', 'method', 'class')")
+    targets = code.join(files.select("file_id", stem.alias("stem")), "file_id").select(F.col("qname").alias("target"), "stem")
     return workflow.tests_by_mention(files, targets)
 
 
@@ -70,9 +73,21 @@ def events_windowed(spark: SparkSession, d: str) -> DataFrame:
     return windowed_counts(table(spark, d, "events", "ts", "event_type", "value")).withColumn("total", F.round("total", 6))
 
 
+def events_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same counts by a stream over the stored events."""
+    name = f"{shared_folder(spark)}/tessera-stream-{uuid.uuid4().hex}"
+    # a pattern, since a stream reads folders, and the table may be one file
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    stream_windowed_counts(stream, f"{name}/counts", f"{name}/checkpoint").awaitTermination()
+    schema = "window_start timestamp, event_type string, n long, total double"
+    kept = spark.read.schema(schema).parquet(f"{name}/counts")
+    # watermarks need a time with a zone; the stored one has none
+    return kept.withColumns({"window_start": F.col("window_start").cast("timestamp_ntz"), "total": F.round("total", 6)})
+
+
 QUERIES = {
     f.__name__: f
-    for f in (enclosing_interval, longest_prefix, patch_impact, tests_by_mention, validation_commands, entity_graph_edges, conditional_pivot, events_windowed)
+    for f in (events_streamed, enclosing_interval, longest_prefix, patch_impact, tests_by_mention, validation_commands, entity_graph_edges, conditional_pivot, events_windowed)
 }
 _LC = " ".join(f"WHEN '{k}' THEN '{c}'" for k, (c, _) in workflow.LANGUAGE_COMMANDS.items())
 _LX = " ".join(f"WHEN '{k}' THEN {x}" for k, (_, x) in workflow.LANGUAGE_COMMANDS.items())
@@ -92,12 +107,13 @@ SELECT *, CASE WHEN regexp_matches(lower(qname), '(auth|login|session|token|secr
   WHEN n_routes >= 1 OR n_callers >= 8 THEN 'medium' WHEN n_callers >= 3 AND n_tests = 0 THEN 'medium' ELSE 'low' END AS risk FROM x""",
     "tests_by_mention": C
     + r""", w AS (SELECT path, unnest(list_distinct(regexp_extract_all(coalesce(content, ''), '[A-Za-z_][A-Za-z0-9_]+'))) AS word FROM files_c WHERE regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec)/|(^|/)test_|_test\.|\.(test|spec)\.')),
-t AS (SELECT qname AS target, regexp_extract(path, '([^/.]+)[^/]*$', 1) AS stem FROM symbols_c JOIN files_c USING (file_id) WHERE qname IN (SELECT dst FROM edges_c WHERE edge_type = 'TESTS' AND dst IS NOT NULL))
+t AS (SELECT qname AS target, regexp_extract(path, '([^/.]+)[^/]*$', 1) AS stem FROM symbols_c JOIN files_c USING (file_id) WHERE kind IN ('function', 'method', 'class'))
 SELECT target, path, max(c) AS confidence FROM w JOIN (SELECT target, split(target, '.')[-1] AS word, 0.78::DOUBLE AS c FROM t UNION ALL SELECT target, stem, 0.6 FROM t) x USING (word) GROUP BY 1, 2""",
     "validation_commands": C + f"SELECT DISTINCT split_part(path, '/', 1) AS repo, CASE language {_LC} END AS command, CAST(CASE language {_LX} END AS DOUBLE) AS confidence FROM files_c WHERE CASE language {_LC} END IS NOT NULL",
     "entity_graph_edges": """SELECT src, dst, edge_type, count(*) AS n FROM (SELECT 'customer:' || o_custkey AS src, 'order:' || o_orderkey AS dst, 'PLACED' AS edge_type FROM orders
 UNION ALL SELECT 'order:' || l_orderkey, 'part:' || l_partkey, 'CONTAINS' FROM lineitem UNION ALL SELECT 'part:' || l_partkey, 'supplier:' || l_suppkey, 'SUPPLIED_BY' FROM lineitem
 UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'IN_NATION' FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'IN_REGION' FROM nation) x GROUP BY 1, 2, 3""",
     "conditional_pivot": "SELECT user_id, " + ", ".join(f"count(*) FILTER (event_type = '{k}') AS n_{k}" for k in ("signup", "error", "click", "view", "purchase")) + " FROM events GROUP BY 1",
+    "events_streamed": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
     "events_windowed": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2",
 }

@@ -16,6 +16,16 @@ def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "1
     return counted.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
+def stream_windowed_counts(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the windowed counts of a stream as a table: every micro-batch that changes them writes all of them anew."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(out)
+
+    counts = windowed_counts(events)
+    return counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingest_files(stream: DataFrame, index_path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep a table of the latest row per path up to date from a stream of file rows (``path, indexed_at, id`` and more).
 
