@@ -257,16 +257,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = cut_lineage(benchmark.select("item_id", "text").where("text is not null"))
     blocks = max(1, -(-rows.count() // BLOCK_ITEMS))
     items = rows.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int"))
-    facts = cut_lineage(items.mapInPandas(_facts, "block int, item_id long, turn boolean, key long, around long"))
-    shared = facts.where("not turn").groupBy("turn", "key").agg(F.count_distinct("item_id").alias("n")).where("n > 1")
-    turns = facts.where("turn").groupBy("turn", "key").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= CONTEXTS)
-    common = cut_lineage(shared.unionByName(turns).select("turn", "key"))
+    facts = items.mapInPandas(_facts, "block int, turn boolean, key long, place long")
+    # a sentence is common if several items have it, a short run if it has several surroundings
+    counted = facts.groupBy("turn", "key").agg(F.count_distinct("place").alias("n"), F.collect_set("block").alias("blocks"))
+    common = cut_lineage(counted.where(F.when(F.col("turn"), F.col("n") >= CONTEXTS).otherwise(F.col("n") > 1)).select("turn", "key", "blocks"))
     result = None
     chosen = documents.select("doc_id", "text").where("text is not null and text != ''")
     for b in range(blocks):
         # one block at a time comes to the driver, with those of the common sentences and turns that stand in it
-        of_block = [(r.item_id, r.text) for r in items.where(F.col("block") == b).orderBy("item_id", "text").collect()]
-        known = facts.where(F.col("block") == b).select("turn", "key").distinct().join(common, ["turn", "key"], "left_semi").collect()
+        of_block = sorted((r.item_id, r.text) for r in items.where(F.col("block") == b).select("item_id", "text").collect())
+        known = common.where(F.array_contains("blocks", b)).select("turn", "key").collect()
         keys = {r.key for r in known if not r.turn}
         sentences = {" ".join(x) for _, text in of_block for x in sentences_of(text)}
         index = spark.sparkContext.broadcast(
@@ -281,20 +281,20 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         part = chosen.mapInPandas(scan, "doc_id long, item_id long, n_words int")
         result = part if result is None else result.unionByName(part)
-    release(rows, facts, common)
+    release(rows, common)
     return result
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The sentences of each item and its short runs with what is around them, as keys."""
+    """The sentences of each item and its short runs as keys, with the item or what is around the run."""
     for batch in batches:
         for block, item, text in zip(batch["block"], batch["item_id"], batch["text"]):
-            sentences = [sentence_key(" ".join(x)) for x in sentences_of(text)]
+            sentences = np.array([sentence_key(" ".join(x)) for x in sentences_of(text)], np.int64)
             runs, around = surroundings(text)
             yield pd.DataFrame(
                 {
-                    "block": block, "item_id": item, "turn": [False] * len(sentences) + [True] * len(runs),
-                    "key": np.r_[np.array(sentences, np.int64), runs.astype(np.int64)], "around": np.r_[np.zeros(len(sentences), np.int64), around.astype(np.int64)],
+                    "block": block, "turn": np.r_[np.zeros(len(sentences), bool), np.ones(len(runs), bool)],
+                    "key": np.r_[sentences, runs.astype(np.int64)], "place": np.r_[np.full(len(sentences), -1 if item is None else item, np.int64), around.astype(np.int64)],
                 }
             )
 

@@ -149,7 +149,7 @@ def train(documents: DataFrame, levels: DataFrame, labelled: int = LABELLED) ->
         *[F.sum(F.when(F.col("grade") == g, F.col("n")).otherwise(0.0)).alias(f"g{g}") for g in GRADES],
         *[F.sum(F.when(F.col("fold") != f, F.col("n")).otherwise(0.0)).alias(f"f{f}") for f in range(FOLDS)],
     )
-    rows = counted.orderBy("word").collect()
+    rows = sorted(counted.collect(), key=lambda r: r["word"] or "")
     per_grade = {r["word"]: [r[f"g{g}"] for g in GRADES] for r in rows}
     n_documents = per_grade.pop(None, [0.0] * len(GRADES))
     english = English((w, sum(c)) for w, c in per_grade.items())
