@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import search
@@ -64,16 +66,16 @@ class StoredIndex:
         """Postings of some terms: their folders are chosen when the question is planned."""
         if not words:
             return self.postings().limit(0)
-        asked = self.spark.createDataFrame([(w,) for w in words], "term string")
-        buckets = sorted({r[0] for r in asked.select(bucket_of("term")).collect()})
+        row = self.spark.range(1).select(F.array(*[bucket_of(F.lit(w)) for w in words]).alias("b")).first()
+        buckets = sorted(set(row["b"]))
         return self.postings().where(F.col("bucket").isin(*buckets) & F.col("term").isin(*words))
 
     def document_length(self, keys: DataFrame) -> DataFrame:
         """``key, length`` of some documents; those that the index does not have count as 1."""
         return keys.select(self.key).join(self.lengths(), self.key, "left").select(self.key, F.coalesce("length", F.lit(1)).alias("length"))
 
-    def _scored(self, wanted: DataFrame) -> DataFrame:
-        figures = self.figures().first()
+    @staticmethod
+    def _weighed(wanted: DataFrame, figures: Row) -> DataFrame:
         n_docs, avgdl = figures["n_docs"], figures["avgdl"]
         idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weight = F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("length") / F.lit(avgdl)))
@@ -81,27 +83,82 @@ class StoredIndex:
 
     def ask(self, question: str) -> DataFrame:
         """``key, score`` of every document that shares a term with a question; its terms count once."""
-        words = question_terms(self.spark, question)
+        words = search.question_terms(question)
         df = {r["term"]: r["df"] for r in self.terms().where(F.col("term").isin(*words)).collect()} if words else {}
         if not df:
             return self.postings().limit(0).select(self.key, F.lit(0.0).alias("score"))
         table = F.create_map(*[F.lit(x) for pair in df.items() for x in pair])
-        return self._scored(self.lookup(list(df)).withColumn("df", table[F.col("term")])).groupBy(self.key).agg(F.sum("part").alias("score"))
-
-    def ask_many(self, queries: DataFrame) -> DataFrame:
-        """``query_id, key, score`` for each of ``queries`` (``query_id, query``). The terms carry their buckets, so that
-        folders no query asks for are pruned while the join runs."""
-        whole = search.whole_tokens("query")
-        terms = queries.select("query_id", F.explode(F.array_distinct(F.concat(whole, search.sub_tokens(whole)))).alias("term")).withColumn("bucket", bucket_of("term"))
-        known = terms.join(self.terms(), ["bucket", "term"])
-        wanted = self.postings().join(known, ["bucket", "term"])
-        return self._scored(wanted).groupBy("query_id", self.key).agg(F.sum("part").alias("score"))
-
-
-def question_terms(spark: SparkSession, question: str) -> list[str]:
-    whole = search.whole_tokens("q")
-    row = spark.createDataFrame([(question,)], "q string").select(F.array_distinct(F.concat(whole, search.sub_tokens(whole))).alias("t")).first()
-    return list(row["t"])
+        return self._weighed(self.lookup(list(df)).withColumn("df", table[F.col("term")]), self.figures().first()).groupBy(self.key).agg(F.sum("part").alias("score"))
+
+    def top_many(self, queries: DataFrame, k: int, block: int = 512) -> DataFrame:
+        """``query_id, key, score, rank``: the ``k`` best documents for each of ``queries`` (``query_id, query``); ties go to
+        the lower key.
+
+        A block of queries is a matrix of their terms. Postings of these terms are brought together by document once, each
+        batch of documents is multiplied with the matrix, and a task passes on only its own ``k`` best per query, so the
+        scores of all pairs never leave a task.
+        """
+        asked = queries.select("query_id", "query").where("query is not null").orderBy("query_id")
+        figures = self.figures().first()
+        parts = None
+        for b in range(max(1, -(-asked.count() // block))):
+            rows = asked.offset(b * block).limit(block).collect()
+            terms = [search.question_terms(r["query"]) for r in rows]
+            words = sorted({w for t in terms for w in t})
+            if not words:
+                continue
+            place = {w: i for i, w in enumerate(words)}
+            matrix = np.zeros((len(words), len(rows)))
+            for j, t in enumerate(terms):
+                matrix[[place[w] for w in t], j] = 1.0
+            told = self.spark.sparkContext.broadcast((place, matrix, [r["query_id"] for r in rows]))
+            names = self.spark.createDataFrame([(w,) for w in words], "term string").withColumn("bucket", bucket_of("term"))
+            wanted = self._weighed(self.postings().join(names.join(self.terms(), ["bucket", "term"]), ["bucket", "term"]), figures)
+            found = wanted.select(self.key, "term", "part").repartition(self.key).sortWithinPartitions(self.key).mapInPandas(_best_of(self.key, told, k), f"query_id long, {self.key} long, score double")
+            parts = found if parts is None else parts.unionByName(found)
+        if parts is None:
+            return self.spark.createDataFrame([], f"query_id long, {self.key} long, score double, rank int")
+        return search.top_per_query(parts, self.key, k)
+
+
+def _best_of(key: str, told, k: int):
+    """The ``k`` best documents per query of one task, whose rows come sorted by document."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, matrix, ids = told.value
+        best: list[pd.DataFrame] = []
+        rest: pd.DataFrame | None = None
+
+        def score(rows: pd.DataFrame) -> pd.DataFrame:
+            keys, row = np.unique(rows[key].to_numpy(), return_inverse=True)
+            out = []
+            for first in range(0, len(keys), 512):
+                mine = (row >= first) & (row < first + 512)
+                docs = np.zeros((min(512, len(keys) - first), len(place)))
+                docs[row[mine] - first, [place[t] for t in rows["term"].to_numpy()[mine]]] = rows["part"].to_numpy()[mine]
+                scores = docs @ matrix
+                d, q = np.nonzero(scores > 0)
+                out.append(pd.DataFrame({"query_id": np.array(ids)[q], key: keys[first : first + 512][d], "score": scores[d, q]}))
+            return top(pd.concat(out))
+
+        def top(rows: pd.DataFrame) -> pd.DataFrame:
+            ordered = rows.assign(_s=-rows["score"].round(9)).sort_values(["query_id", "_s", key])
+            return ordered.groupby("query_id", sort=False).head(k).drop(columns="_s")
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch])
+            if not len(rows):
+                continue
+            # the last document of a batch may go on in the next one
+            last = rows[key] == rows[key].iloc[-1]
+            rest = rows[last]
+            if (~last).any():
+                best = [top(pd.concat([*best, score(rows[~last])]))]
+        if rest is not None and len(rest):
+            best = [top(pd.concat([*best, score(rest)]))]
+        yield from best
+
+    return run
 
 
 def fingerprint(df: DataFrame) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +36,13 @@ def sub_tokens(tokens: Column) -> Column:
     return F.flatten(parts)
 
 
+def question_terms(question: str) -> list[str]:
+    """The distinct terms of one question on the driver: whole tokens, then sub-tokens."""
+    whole = [t for t in (m.lower() for m in re.findall(TOKEN, question)) if t not in STOP_WORDS and len(t) > 1]
+    parts = [p for t in whole if re.search("[0-9_]", t) for p in re.findall("[a-z]+|[0-9]+", t) if p != t and len(p) > 1 and p not in STOP_WORDS]
+    return list(dict.fromkeys(whole + parts))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``key, term, tf, length``: term frequencies with sub-tokens; ``length`` counts whole tokens only, at least one.
 

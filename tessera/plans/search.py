@@ -54,7 +54,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_multi_query(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    top = s.top_per_query(document_index(spark, d).ask_many(items), "doc_id", 3)
+    top = document_index(spark, d).top_many(items, 3)
     return top.select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 

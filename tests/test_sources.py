@@ -7,7 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from tessera.operators.postings import StoredIndex
-from tessera.operators import retrieval, search, vectors, workflow
+from tessera.operators import retrieval, vectors, workflow
 from tessera.operators.resolution import js_relative_module, python_relative_module
 from tessera.sources import parsers, repository, sinks
 from tessera.streaming import ingest
@@ -192,10 +192,11 @@ def test_modules_of_relative_imports(spark):
 def test_bm25_of_empty_and_null_texts(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (3, ""), (4, "beta beta")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "beta beta gamma")], "query_id int, query string")
-    got = search.top_per_query(StoredIndex.build(docs, "doc_id", "text", str(tmp_path / "i")).ask_many(q), "doc_id", 5).collect()
+    got = StoredIndex.build(docs, "doc_id", "text", str(tmp_path / "i")).top_many(q, 5).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r.rank)] == [4, 1]
     index = StoredIndex(spark, str(tmp_path / "i"), "doc_id")
     assert [r.doc_id for r in index.ask("beta beta gamma").orderBy("score", ascending=False).collect()] == [4, 1]
+    assert index.top_many(q.where("query = 'none'"), 5).count() == 0
     assert index.ask("").count() == 0 and index.lookup([]).count() == 0 and index.ask("nothing here").count() == 0
     assert {(r.term, r.df) for r in index.terms().collect()} == {("alpha", 1), ("beta", 2)} and index.figures().first().n_docs == 4
     asked = spark.createDataFrame([(1,), (4,), (77,)], "doc_id long")
