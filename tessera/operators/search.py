@@ -64,10 +64,6 @@ def collection_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def doc_freq(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count("*").alias("df"))
-
-
 def top_per_query(scores: DataFrame, key: str, k: int) -> DataFrame:
     """The ``k`` best per query with ``rank`` from 1; ties go to the lower key."""
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)

@@ -30,7 +30,7 @@ def doc_lengths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def term_doc_freq(spark: SparkSession, d: str) -> DataFrame:
-    return s.doc_freq(s.postings(_documents(spark, d), "doc_id", "text"))
+    return document_index(spark, d).terms().select("term", "df")
 
 
 def document_index(spark: SparkSession, d: str) -> postings.StoredIndex:
