@@ -17,7 +17,7 @@ from tessera.sources import parsers, repository, sinks
 SYMBOL_COLUMNS = ("start_line", "end_line", "signature", "docstring", "extras", "return_type", "declared_type", "parser_backend", "metadata_json")
 
 
-class CodeGraph:
+class IndexedGraph:
     """The tables of ``folder`` as a code graph. Every method gives a DataFrame unless it says otherwise."""
 
     def __init__(self, spark: SparkSession, folder: str, embedder: vectors.Embedder | None = None):

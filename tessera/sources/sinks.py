@@ -88,8 +88,8 @@ def batches(rows: Iterator, size: int = 500) -> Iterator[list]:
         yield part
 
 
-NODE_QUERY = "UNWIND $rows AS row MERGE (n:CodeNode {{id: row.id}}) SET n += row.props SET n:`{label}`"
-EDGE_QUERY = "UNWIND $rows AS row MATCH (a:CodeNode {{id: row.source}}), (b:CodeNode {{id: row.target}}) MERGE (a)-[r:`{type}` {{id: row.id}}]->(b) SET r += row.props"
+NODE_QUERY = "UNWIND $rows AS row MERGE (n:IndexedNode {{id: row.id}}) SET n += row.props SET n:`{label}`"
+EDGE_QUERY = "UNWIND $rows AS row MATCH (a:IndexedNode {{id: row.source}}), (b:IndexedNode {{id: row.target}}) MERGE (a)-[r:`{type}` {{id: row.id}}]->(b) SET r += row.props"
 
 
 def label_of(kind: str | None) -> str:

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.api import CodeGraph
+from tessera.api import IndexedGraph
 from tessera.operators import evaluation as e
 from tessera.operators import lookups
 
@@ -15,7 +15,7 @@ needs_data = pytest.mark.skipif(not Path(FOLDER).exists(), reason="the driver's
 
 @needs_data
 def test_library(spark, tmp_path):
-    g = CodeGraph(spark, FOLDER)
+    g = IndexedGraph(spark, FOLDER)
     symbol = g.symbols.where("kind = 'function'").orderBy("qname").first()
     path = g.files.where(F.col("file_id") == symbol.file_id).first()
     assert g.resolve_symbol(symbol.qname).select("qname").first().qname == symbol.qname
@@ -49,7 +49,7 @@ def test_library(spark, tmp_path):
 
 def test_index_of_a_folder(spark, tmp_path):
     (tmp_path / "a.py").write_text("def f():\n    return g()\n")
-    rows = CodeGraph.index(spark, str(tmp_path)).collect()
+    rows = IndexedGraph.index(spark, str(tmp_path)).collect()
     assert {r.qname for r in rows if r.record == "symbol"} == {"a.f"}
 
 
