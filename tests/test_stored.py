@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import session
-from tessera.operators import context, evaluation, incremental, resolution, retrieval, vectors, views, workflow
+from tessera.operators import context, evaluation, incremental, pipeline, resolution, retrieval, vectors, views, workflow
 from tessera.operators.aliases import alias_words
 from tessera.sources import repository, semantic, sinks
 
@@ -259,6 +259,24 @@ def test_views_of_small_graphs(spark):
         views.graph_view("none", files, symbols, symbols)
 
 
+def test_phases_run_after_what_they_need():
+    from dataclasses import dataclass
+
+    @dataclass
+    class Step:
+        name: str
+        needs: tuple
+
+        def run(self, state):
+            return sum(state[n] for n in self.needs) + 1
+
+    results, took = pipeline.run_phases([Step("c", ("a", "b")), Step("a", ("start",)), Step("b", ("a",))], {"start": 1})
+    assert results == {"start": 1, "a": 2, "b": 3, "c": 6} and list(took) == ["a", "b", "c"]
+    for bad in ([Step("a", ("b",)), Step("b", ("a",))], [Step("a", ("none",))], [Step("a", ()), Step("a", ())]):
+        with pytest.raises(ValueError):
+            pipeline.run_phases(bad)
+
+
 def test_risks_of_a_task(spark):
     chosen = spark.createDataFrame([("a.login", "function", 1)], "qname string, kind string, place int")
     plan = spark.createDataFrame([("a.py", "edit")], "path string, role string")
