@@ -122,15 +122,15 @@ def rrf_fuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
-    symbols = graph.symbols(spark, d, "signature", "docstring")
+    symbols = graph.symbols(spark, d, "signature", "docstring", "start_line", "end_line")
     seeds = cut_lineage(_seeds(spark, d, symbols))
     norm = seeds.crossJoin(F.broadcast(seeds.agg(F.max("rrf").alias("m")))).select("qname", (F.col("rrf") / F.col("m")).alias("norm"), "sources")
     reached = retrieval.expand(norm, graph.edges(spark, d, "confidence"), symbols, MODE, 2)
-    facts = symbols.join(graph.files(spark, d).select("file_id", "path"), "file_id", "left").select("qname", "name", "kind", "path", "signature")
+    facts = symbols.join(graph.files(spark, d).select("file_id", "path"), "file_id", "left").select("qname", "name", "kind", "path", "signature", "start_line", "end_line")
     joined = reached.join(norm, "qname", "left").join(facts, "qname")
     sources = F.coalesce("sources", F.array().cast("array<string>"))
     channels = [F.when(F.array_contains(sources, x), F.col("norm")).otherwise(0.0).alias(x) for x in ("bm25", "vector")]
-    return joined.select("qname", "name", "kind", "path", "signature", "graph", "distance", sources.alias("sources"), *channels)
+    return joined.select("qname", "name", "kind", "path", "signature", "start_line", "end_line", "graph", "distance", sources.alias("sources"), *channels)
 
 
 def expand_decay(spark: SparkSession, d: str) -> DataFrame:
@@ -193,6 +193,15 @@ sig AS (SELECT *, least(1.0, len(list_intersect(list_distinct(list_filter(list_t
 fin AS (SELECT *, (0.40 * bm25 + 0.36 * vector + CASE WHEN bm25 > 0 AND vector > 0 THEN 0.05 ELSE 0.0 END + 0.10 * graph + 0.10 * ov + 0.06 * fit + 0.04 * near + 0.04 * it - 0.25 * gen + CASE WHEN distance = 0 AND list_contains(sources, 'identifier') THEN 0.05 ELSE 0.0 END)::DOUBLE
   * CASE WHEN kind = 'file_summary' THEN 0.45 ELSE 1.0 END AS final FROM sig)"""
 )
+PACK_SQL = (
+    RERANK_SQL
+    + """, rk AS (SELECT qname, path, len(sources) > 0 AS seeded, row_number() OVER (ORDER BY round(final, 9) DESC, qname) AS rank,
+  CAST(greatest(1, floor(length(concat_ws(chr(10), concat_ws(' ', kind, qname), 'file: ' || path, nullif(signature, ''))) / 4)) AS INTEGER) AS tokens FROM fin),
+pk AS (SELECT 0::BIGINT AS rank, []::VARCHAR[] AS taken, []::BIGINT[] AS ranks, 0 AS spent, 0 AS gr UNION ALL
+  SELECT rank, CASE WHEN fits THEN list_append(taken, coalesce(path, '')) ELSE taken END, CASE WHEN fits THEN list_append(ranks, rank) ELSE ranks END, CASE WHEN fits THEN spent + tokens ELSE spent END, CASE WHEN op AND NOT seeded THEN gr + 1 ELSE gr END
+  FROM (SELECT r.rank, r.path, r.seeded, r.tokens, p.taken, p.ranks, p.spent, p.gr, len(p.taken) < 12 AND len(list_filter(p.taken, lambda x: x = coalesce(r.path, ''))) < 5 AND (r.seeded OR p.gr < 8) AS op,
+    len(p.taken) < 12 AND len(list_filter(p.taken, lambda x: x = coalesce(r.path, ''))) < 5 AND (r.seeded OR p.gr < 8) AND p.spent + r.tokens <= 2400 AS fits FROM pk p JOIN rk r ON r.rank = p.rank + 1) x)"""
+)
 QUERIES = {
     f.__name__: f
     for f in (
@@ -232,12 +241,6 @@ FROM j LEFT JOIN th ON j.src = th.src AND j.dst = th.dst AND j.edge_type = th.ed
     "rrf_fuse": SEEDS_SQL + "SELECT qname, round(rrf, 9) AS rrf, array_to_string(sources, ',') AS sources FROM seeds",
     "expand_decay": EXPAND_SQL + "SELECT qname, round(graph, 6) AS graph, CAST(distance AS INTEGER) AS distance FROM cand",
     "mode_rerank": RERANK_SQL + "SELECT qname, round(final, 6) AS final FROM fin",
-    "greedy_pack": RERANK_SQL
-    + """, rk AS (SELECT qname, path, len(sources) > 0 AS seeded, row_number() OVER (ORDER BY round(final, 9) DESC, qname) AS rank,
-  CAST(greatest(1, floor(length(concat_ws(chr(10), concat_ws(' ', kind, qname), 'file: ' || path, nullif(signature, ''))) / 4)) AS INTEGER) AS tokens FROM fin),
-pk AS (SELECT 0::BIGINT AS rank, []::VARCHAR[] AS taken, []::BIGINT[] AS ranks, 0 AS spent, 0 AS gr UNION ALL
-  SELECT rank, CASE WHEN fits THEN list_append(taken, coalesce(path, '')) ELSE taken END, CASE WHEN fits THEN list_append(ranks, rank) ELSE ranks END, CASE WHEN fits THEN spent + tokens ELSE spent END, CASE WHEN op AND NOT seeded THEN gr + 1 ELSE gr END
-  FROM (SELECT r.rank, r.path, r.seeded, r.tokens, p.taken, p.ranks, p.spent, p.gr, len(p.taken) < 12 AND len(list_filter(p.taken, lambda x: x = coalesce(r.path, ''))) < 5 AND (r.seeded OR p.gr < 8) AS op,
-    len(p.taken) < 12 AND len(list_filter(p.taken, lambda x: x = coalesce(r.path, ''))) < 5 AND (r.seeded OR p.gr < 8) AND p.spent + r.tokens <= 2400 AS fits FROM pk p JOIN rk r ON r.rank = p.rank + 1) x)
-SELECT qname, CAST(rank AS INTEGER) AS rank, tokens FROM rk WHERE rank IN (SELECT unnest(ranks) FROM (SELECT ranks FROM pk ORDER BY rank DESC LIMIT 1) l)""",
+    "greedy_pack": PACK_SQL
+    + """ SELECT qname, CAST(rank AS INTEGER) AS rank, tokens FROM rk WHERE rank IN (SELECT unnest(ranks) FROM (SELECT ranks FROM pk ORDER BY rank DESC LIMIT 1) l)""",
 }

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tessera.functions.text import name_or_null, stripped
 from tessera.operators import context, evaluation, resolution, retrieval, vectors
 from tessera.operators import incremental as i
-from tessera.plans.maintenance import MODE, RERANK_SQL, SEEDS_SQL, _candidates, _seeds
+from tessera.plans.maintenance import BUDGET, MODE, PACK_SQL, RERANK_SQL, SEEDS_SQL, _candidates, _seeds
 from tessera.plans.resolution import BINDINGS_SQL
 from tessera.plans.search import QUERY
+from tessera.session import cut_lineage
 from tessera.sources import graph
 from tessera.sources.tables import table
 
@@ -116,6 +117,12 @@ def edit_plan(spark: SparkSession, d: str) -> DataFrame:
     return context.edit_plan(ranked, QUERY).select("path", "role", "place", F.round("score", 6).alias("score"))
 
 
+def context_pack(spark: SparkSession, d: str) -> DataFrame:
+    """The capsules of a pack with why they are in it."""
+    ranked = cut_lineage(retrieval.rerank(_candidates(spark, d), retrieval.query_terms(QUERY), MODE))
+    return context.capsules(ranked, MODE, BUDGET).select("qname", "path", "rank", "tokens", "reason")
+
+
 def retrieval_sources(spark: SparkSession, d: str) -> DataFrame:
     """In how many seeds each list shows."""
     return evaluation.source_counts(_seeds(spark, d, graph.symbols(spark, d, "signature", "docstring")))
@@ -167,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         index_changes, stale_parsers, replaced_edges, replaced_counts, reparsed_edges, merged_names, binding_targets, enriched_symbols, type_facts, migrated_symbols, decoded_metadata, embedded_texts,
-        cut_documents, fallback_cards, edit_plan, retrieval_sources, eval_symbol_recall, eval_misses, eval_file_recall, eval_dataset, slowest_stage,
+        cut_documents, fallback_cards, edit_plan, context_pack, retrieval_sources, eval_symbol_recall, eval_misses, eval_file_recall, eval_dataset, slowest_stage,
     )
 }
 SPACE = graph.SPACE
@@ -217,6 +224,9 @@ SELECT so.owner_qname, so.name, so.kind, coalesce(nw.declared_type, so.declared_
     + """, rl AS (SELECT *, CASE WHEN kind = 'test' OR starts_with(name, 'test') OR regexp_matches('/' || lower(coalesce(path, '')) || '/', '/(tests?|__tests__)/|fixture') THEN 'test' WHEN final >= 0.45 OR (final >= 0.38 AND ov >= 0.25) THEN 'edit' ELSE 'read' END AS role FROM fin WHERE path IS NOT NULL),
 pf AS (SELECT path, round(max(final), 6) AS score, min(CASE role WHEN 'edit' THEN 0 WHEN 'test' THEN 1 ELSE 2 END) AS r FROM rl GROUP BY 1), nm AS (SELECT path, score, ['edit', 'test', 'read'][r + 1] AS role FROM pf)
 SELECT path, role, CAST(row_number() OVER (PARTITION BY role ORDER BY score DESC, path) AS INTEGER) AS place, score FROM nm QUALIFY place <= 6""",
+    "context_pack": PACK_SQL
+    + f""", got AS (SELECT qname, CAST(rank AS INTEGER) AS rank, tokens FROM rk WHERE rank IN (SELECT unnest(ranks) FROM (SELECT ranks FROM pk ORDER BY rank DESC LIMIT 1) l))
+SELECT got.qname, path, rank, tokens, CASE WHEN distance = 0 THEN 'Seed match via ' || array_to_string(sources, ', ') ELSE distance || '-hop neighbor: ' || got.qname END || '  ·  ' || printf('score=%.3f', final) || '  ·  mode={MODE}' AS reason FROM got JOIN fin USING (qname)""",
     "retrieval_sources": SEEDS_SQL + "SELECT source, count(*) AS n FROM (SELECT unnest(sources) AS source FROM seeds) x GROUP BY 1",
     "eval_symbol_recall": TASKS
     + ", be AS (SELECT id, oracle, min(rank) AS best FROM hi GROUP BY 1, 2) SELECT id, k, round(avg(CASE WHEN best <= k THEN 1.0 ELSE 0.0 END), 6) AS recall FROM ta LEFT JOIN be USING (id, oracle) CROSS JOIN (VALUES (3), (5), (8), (12), (20)) v(k) GROUP BY 1, 2",
