@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,15 @@ GROUP_PACKS = 512
 def _encoding(path: str):
     import tiktoken
 
-    with open(path, "rb") as f:
+    # workers that lack the file have it from the driver
+    with open(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     return tiktoken.Encoding("pack", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, n_tokens`` of whole texts; null and empty texts have none. Marks of special tokens are ordinary text."""
+    """``doc_id, n_tokens`` of whole texts; null and empty texts have none. Marks of special tokens are ordinary text. The
+    vocabulary file is sent to workers that do not have it at its path."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoding(tokenizer).encode_ordinary
@@ -38,6 +42,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             sizes = [len(encode(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": sizes})
 
+    documents.sparkSession.sparkContext.addFile(tokenizer)
     return documents.select("doc_id", "text").mapInPandas(count, "doc_id long, n_tokens long")
 
 
