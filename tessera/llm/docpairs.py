@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import functools
+import heapq
+import math
 import re
-from collections.abc import Iterator
-from itertools import groupby
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -63,6 +65,7 @@ ENTRY = re.compile(r"^(?P<name>[A-Za-z_]\w*)\s*(?:\([^)]*\)|:\s*[A-Za-z_\[\], ]+
 MARKS = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\w)|//[/!]?|#+!?(?=\s|$)|<!--|-->|\"\"\"|'''|--\s|;+\s)\s?")
 XML = re.compile(r"</?[A-Za-z][^<>]*/?>")
 LETTERS = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
+WORD = re.compile(r"\w+")
 CAMEL = re.compile(r"[A-Z]+(?=[A-Z][a-z])|[A-Z]?[a-z]+|[A-Z]+|[^\W\d_A-Za-z]+")
 
 
@@ -153,10 +156,15 @@ def informative(comment: str | None, name: str | None, signature: str | None) ->
 
 
 OWN, NEAR, TAGS, NAMED = 1.0, 0.3, 0.6, 0.4
-"""Weights of a link: the comment is stored with the function; it stands beside it; its parameter tags name the
-function's parameters; it names the function. A link below ``OWN`` that no tag and no name supports is implausible."""
+"""Weights of a link: the comment is stored with the function; it stands in the same file, less by the distance; its
+parameter tags name the function's parameters; it names the function. A link below ``OWN`` that no tag and no name
+supports is implausible."""
 LINES = 512
-"""Lines of a file that form one group: comments and functions are matched inside it, so no file is one group."""
+"""Lines over which a distance takes away a weight of one."""
+REACH = math.ceil((NEAR + TAGS + NAMED) * LINES)
+"""Lines from which on no comment has a link to a function that it is not stored with."""
+SCALE = 1 << 40
+"""Weights are compared as whole numbers of this part of one, so prices of an assignment stay exact."""
 
 
 def tag_names(comment: str) -> frozenset[str]:
@@ -193,78 +201,195 @@ def link_weight(comment: str, tags: frozenset[str], name: str | None, signature:
     return max(0.0, NEAR + TAGS * agree * (1 if agree == 1 else 0.5) + NAMED * named - distance / LINES)
 
 
-def assign(weights: dict[tuple[int, int], float], n_functions: int, n_comments: int) -> dict[int, int]:
-    """Links ``function -> comment`` of greatest total weight, each side used once (ties: lower numbers).
+class Assignment:
+    """Links of greatest total weight, each side used once, that grow by one comment at a time.
 
-    A pair that weighs at least as much as the best other links of both sides together is in some best assignment and is
-    fixed first; what is left is solved by augmenting paths of greatest gain.
+    ``links(comment, least)`` gives ``(function, weight)``, in whole numbers, of every link heavier than ``least``. Each
+    comment has a worth and each function a price whose sum no link between them exceeds and links in use reach; free
+    functions cost nothing. A comment is added along the path of least loss (Dijkstra), so only what it can displace at
+    less than the loss of a way already known is looked at.
     """
-    of_f: dict[int, list[float]] = {}
-    of_c: dict[int, list[float]] = {}
-    for (f, c), w in weights.items():
-        of_f.setdefault(f, []).append(w)
-        of_c.setdefault(c, []).append(w)
-
-    def rival(links: list[float], w: float) -> float:
-        """The best other link: the second best where this one is the best."""
-        top = sorted(links, reverse=True)
-        return (top[1] if len(top) > 1 else 0.0) if top[0] == w else top[0]
-
-    fixed: dict[int, int] = {}
-    taken: set[int] = set()
-    for (f, c), w in sorted(weights.items()):
-        if w > 0 and f not in fixed and c not in taken and w >= rival(of_f[f], w) + rival(of_c[c], w):
-            fixed[f] = c
-            taken.add(c)
-    rest = {(f, c): w for (f, c), w in weights.items() if f not in fixed and c not in taken and w > 0}
-    match_c: dict[int, int] = {}
-    match_f: dict[int, int] = {}
-    while True:  # Bellman-Ford over the alternating graph; components are small
-        gain = {("f", f): 0.0 for f, _ in rest if f not in match_f}
-        back: dict = {}
-        for _ in range(2 * len(rest) + 1):
-            changed = False
-            for (f, c), w in rest.items():
-                if match_f.get(f) != c and ("f", f) in gain and gain["f", f] + w > gain.get(("c", c), float("-inf")) + 1e-12:
-                    gain["c", c], back["c", c], changed = gain["f", f] + w, ("f", f), True
-                if match_c.get(c) == f and ("c", c) in gain and gain["c", c] - w > gain.get(("f", f), float("-inf")) + 1e-12:
-                    gain["f", f], back["f", f], changed = gain["c", c] - w, ("c", c), True
-            if not changed:
+
+    def __init__(self, links: Callable[[int, int], Iterable[tuple[int, int]]]):
+        self.links = links
+        self.function: dict[int, int] = {}
+        self.comment: dict[int, int] = {}
+        self.worth: dict[int, int] = {}
+        self.price: dict[int, int] = {}
+
+    def keep(self, c: int, f: int, weight: int) -> None:
+        """Use the link of ``c`` that is heaviest, to a function that is free."""
+        self.function[c], self.comment[f], self.worth[c] = f, c, weight
+
+    def add(self, c: int, most: int, known: tuple[int, int] | None = None) -> None:
+        """Add ``c``, whose links weigh ``most`` at most; ``known`` is one of them, looked at first."""
+        self.worth[c] = most
+        loss, end, left_out = most, -1, c  # of the best way: to a free function, or to a comment that is left out
+        near: dict[int, int] = {}
+        back: dict[int, int] = {}
+        done: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        at, now = 0, c
+        while True:
+            base = at + self.worth[now]
+            for some in ([known] if known and now == c else [], None):
+                for f, weight in self.links(now, base - loss) if some is None else some:
+                    way = base + self.price.get(f, 0) - weight
+                    if f in done or way >= loss or way >= near.get(f, loss):
+                        continue
+                    near[f], back[f] = way, now
+                    if f in self.comment:
+                        heapq.heappush(heap, (way, f))
+                    else:
+                        loss, end = way, f
+            while heap and (heap[0][1] in done or heap[0][0] > near[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= loss:
                 break
-        ends = [(g, -k[1]) for k, g in gain.items() if k[0] == "c" and k[1] not in match_c and g > 1e-9]
-        if not ends:
-            return fixed | match_f
-        node = ("c", -max(ends)[1])
-        while node in back:
-            f = back[node]
-            nxt = back.get(f)
-            match_c[node[1]], match_f[f[1]] = f[1], node[1]
-            node = nxt if nxt else ("", 0)
+            at, f = heapq.heappop(heap)
+            done[f], now = at, self.comment[f]
+            if at + self.worth[now] < loss:
+                loss, end, left_out = at + self.worth[now], -1, now
+        self.worth[c] -= loss
+        for f, at in done.items():
+            self.price[f] = self.price.get(f, 0) + loss - at
+            self.worth[self.comment[f]] -= loss - at
+        if end < 0:
+            if left_out == c:
+                return
+            end = self.function.pop(left_out)
+        while True:
+            now = back[end]
+            before = self.function.get(now, -1)
+            self.function[now], self.comment[end] = end, now
+            if now == c:
+                return
+            end = before
+
+
+def assign(weights: dict[tuple[int, int], float], n_functions: int, n_comments: int) -> dict[int, int]:
+    """Links ``function -> comment`` of greatest total weight, each side used once."""
+    links: dict[int, list[tuple[int, int]]] = {}
+    for (f, c), w in sorted(weights.items()):
+        if w > 0:
+            links.setdefault(c, []).append((f, round(w * SCALE)))
+    best = Assignment(lambda c, least: (x for x in links[c] if x[1] > least))
+    for c in sorted(links):
+        best.add(c, max(w for _, w in links[c]))
+    return best.comment
+
+
+class Links:
+    """The links of functions with stored comments by indexes of names and of words of signatures.
+
+    ``rows`` are ``(start_line, qualified_name, key, n_rows, name, signature, docstring)`` in order of lines, those without
+    a line last: an unknown line is no distance.
+    """
+
+    def __init__(self, rows: list[tuple]):
+        self.rows = rows
+        self.lines = [r[0] for r in rows if r[0] is not None]
+        tags = self.tags = {i: tag_names(r[6]) for i, r in enumerate(rows) if r[6] and r[6].strip()}
+        self.named = self._index((i, r[4]) for i, r in enumerate(rows) if r[4])
+        self.beside = functools.lru_cache(1 << 16)(lambda c, name, signature: link_weight(rows[c][6], tags[c], name, signature, False, 0))
+
+    @staticmethod
+    def _index(texts: Iterable[tuple[int, str]]) -> dict[str, list[int]]:
+        """Rows by the longest word of their text, by '' if it has none: a text that holds it has that word too."""
+        index: dict[str, list[int]] = {}
+        for i, text in texts:
+            index.setdefault(max(WORD.findall(text), key=len, default=""), []).append(i)
+        return index
+
+    @functools.cached_property
+    def signed(self) -> dict[str, list[int]]:
+        """Rows by each word of their signature."""
+        index: dict[str, list[int]] = {}
+        for i, r in enumerate(self.rows):
+            for word in set(WORD.findall(r[5])):
+                index.setdefault(word, []).append(i)
+        return index
+
+    def weight(self, f: int, c: int) -> float:
+        at, to = self.rows[c][0], self.rows[f][0]
+        if f == c:
+            return link_weight(self.rows[c][6], self.tags[c], self.rows[f][4], self.rows[f][5], True, 0)
+        far = 0 if at is None or to is None else abs(to - at)
+        return max(0.0, self.beside(c, self.rows[f][4], self.rows[f][5]) - far / LINES)
+
+    def own(self, c: int) -> tuple[int, int]:
+        return c, round(self.weight(c, c) * SCALE)
+
+    def others(self, c: int, least: int) -> Iterator[tuple[int, int]]:
+        """``(function, weight)`` of the links of ``c`` heavier than ``least`` to functions that it is not stored with."""
+        reach = (NEAR + TAGS + NAMED - least / SCALE) * LINES
+        if reach < 0:
+            return
+        low, high, unplaced = 0, len(self.rows), len(self.lines)
+        if c < unplaced:
+            low, high = bisect_left(self.lines, self.lines[c] - reach - 1), bisect_right(self.lines, self.lines[c] + reach + 1)
+
+        def within(found: Sequence[int]) -> list[int]:
+            return [*found[bisect_left(found, low) : bisect_left(found, high)], *found[bisect_left(found, max(high, unplaced)) :]]
+
+        lists = [within(self.named[word]) for word in {"", *WORD.findall(self.rows[c][6])} if word in self.named]
+        if self.tags[c] and least < round((NEAR + TAGS) * SCALE):  # a link that no name supports may be heavy enough
+            words = [max(WORD.findall(t), key=len, default="") for t in self.tags[c]]
+            tagged = [within(self.signed.get(word, []) if word else range(len(self.rows))) for word in words]
+            if least >= round((NEAR + TAGS / 2) * SCALE):  # only if the signature holds every tag
+                tagged = [min(tagged, key=len)]
+            lists += tagged
+        for f in sorted(set().union(*lists)):
+            if f != c:
+                weight = round(self.weight(f, c) * SCALE)
+                if weight > max(least, 0):
+                    yield f, weight
+
+    def all(self, c: int, least: int) -> Iterator[tuple[int, int]]:
+        own = self.own(c)
+        if own[1] > least:
+            yield own
+        yield from self.others(c, least)
 
 
 def pair_group(rows: list[tuple]) -> Iterator[tuple]:
     """The accepted pairs ``(key, n_rows, description, weight)`` of one group of functions with their stored comments.
 
-    ``rows`` are ``(start_line, qualified_name, key, n_rows, name, signature, docstring)``.
+    ``rows`` are those of ``Links``. Comments without a heavier link than their own keep it, which no other assignment of
+    them exceeds; the others are added to these.
     """
     rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2]))
-    comments = [(i, r[6]) for i, r in enumerate(rows) if r[6] and r[6].strip()]
-    weights: dict[tuple[int, int], float] = {}
-    for c, (i, text) in enumerate(comments):
-        tags = tag_names(text)
-        for f in (i - 1, i, i + 1):
-            if 0 <= f < len(rows) and (f == i or rows[f][4] != rows[i][4]):
-                far = 0 if rows[f][0] is None or rows[i][0] is None else abs(rows[f][0] - rows[i][0])
-                w = link_weight(text, tags, rows[f][4], rows[f][5], f == i, far)
-                if w > 0:
-                    weights[f, c] = w
-    for f, c in sorted(assign(weights, len(rows), len(comments)).items()):
+    links = Links(rows)
+    best = Assignment(links.all)
+    drawn = []
+    for c in links.tags:
+        _, own = links.own(c)
+        if next(links.others(c, own), None):
+            drawn.append((c, own))
+        else:
+            best.keep(c, c, own)
+    for c, own in drawn:
+        best.add(c, round((OWN + TAGS + NAMED) * SCALE), (c, own))
+    for f, c in sorted(best.comment.items()):
         _, _, key, n_rows, name, signature, _ = rows[f]
-        if informative(comments[c][1], name, signature):
-            yield key, n_rows, " ".join(s for _, s in statements(comments[c][1])), weights[f, c]
+        if informative(rows[c][6], name, signature):
+            yield key, n_rows, " ".join(s for _, s in statements(rows[c][6])), links.weight(f, c)
+
+
+GROUPED = ["place", "start_line", "qualified_name", "key", "n_rows", "name", "signature", "docstring"]
 
 
-GROUPED = ["file_id", "place", "start_line", "qualified_name", "key", "n_rows", "name", "signature", "docstring"]
+def groups(rows: Iterable[tuple]) -> Iterator[list[tuple]]:
+    """Rows, sorted by place and line (unknown ones first), of one place each; a place without unknown lines is also cut
+    where ``REACH`` lines hold no row, over which there is no link."""
+    held: list[tuple] = []
+    for r in rows:
+        if held and (r[0] != held[-1][0] or (held[0][1] is not None and r[1] - held[-1][1] >= REACH)):
+            yield held
+            held = []
+        held.append(r)
+    if held:
+        yield held
 
 
 def _pair_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,8 +401,8 @@ def _pair_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield from zip(*(batch[c].tolist() for c in GROUPED))
 
     out: list[tuple] = []
-    for _, group in groupby(rows(), key=lambda r: r[:2]):
-        out += pair_group([(None if r[2] is None else int(r[2]), r[3], r[4], int(r[5]), *r[6:]) for r in group])
+    for group in groups(rows()):
+        out += pair_group([(None if r[1] is None else int(r[1]), r[2], r[3], int(r[4]), *r[5:]) for r in group])
         if len(out) >= 5000:
             yield pd.DataFrame(out, columns=["key", "n_rows", "description", "weight"])
             out = []
@@ -288,11 +413,11 @@ def pair_documentation(symbols: DataFrame) -> DataFrame:
     """``symbol_id, signature, description, weight`` for each function or method with documentation that says something.
 
     Kinds compare without case and blanks; blank signatures have no pair; repeated rows each get theirs. Comments are
-    matched to the functions of the same ``LINES`` lines of a file by best total weight of stored place, parameter
-    tags, names and distance. A description says something if at least two of its words are neither fillers nor said
-    by the signature (one in a condition or an effect). Rows without a line form groups by their name, rows without a
-    file by what their name lies in; null docstrings give nothing; constructors are
-    another kind. Equal rows are matched once, so a row repeated very often is no group.
+    matched to the functions of the same file by best total weight of stored place, parameter tags, names and distance;
+    every link that has a weight counts. A description says something if at least two of its words are neither fillers
+    nor said by the signature (one in a condition or an effect). An unknown line is no distance; rows without a file are
+    grouped by what their name lies in, and stand alone if they have no name either; null docstrings give nothing;
+    constructors are another kind. Equal rows are matched once, so a row repeated very often is no group.
     """
     kind = F.lower(stripped("kind"))
     chosen = symbols.select("id", "file_id", "name", "qualified_name", "start_line", "signature", "docstring", kind.alias("kind")).where(
@@ -300,12 +425,11 @@ def pair_documentation(symbols: DataFrame) -> DataFrame:
     )
     keys = ["file_id", "qualified_name", "start_line", "name", "signature", "docstring"]
     keyed = chosen.withColumn("key", F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256))
-    # rows without a line stand alone by their name, rows without a file are grouped by what their name lies in
-    stretch = F.when(F.col("file_id").isNotNull(), F.floor(F.col("start_line") / LINES))
-    inside = F.when(F.col("start_line").isNotNull(), F.regexp_replace("qualified_name", r"\.[^.]*$", "")).otherwise(F.col("qualified_name"))
-    place = F.coalesce(stretch, -1 - F.pmod(F.xxhash64(inside), F.lit(1 << 40)))
+    named = F.when(stripped("qualified_name") != "", F.col("qualified_name"))
+    inside = F.concat(F.lit("in "), F.regexp_replace(named, r"\.[^.]*$", ""))
+    place = F.coalesce(F.concat(F.lit("file "), F.col("file_id").cast("string")), inside, F.concat(F.lit("key "), "key"))
     distinct = keyed.groupBy("key", *keys).agg(F.count("*").alias("n_rows")).withColumn("place", place)
-    pairs = distinct.select(*GROUPED).repartition("file_id", "place").sortWithinPartitions("file_id", "place")
+    pairs = distinct.select(*GROUPED).repartition("place").sortWithinPartitions("place", "start_line")
     found = pairs.mapInPandas(_pair_sorted, "key string, n_rows long, description string, weight double")
     return salted_join(keyed.select("id", "signature", "key"), cut_lineage(found), "key", weight="n_rows", salt="id").select(
         F.col("id").alias("symbol_id"), "signature", "description", "weight"
